@@ -100,14 +100,14 @@ def stitched_series(
     continuations  keys, t, seed, step (from 1), I, wait
     """
     head = prefix_rows(_with_seeds(estimates.select(*keys, "t"), seeds), observed.select(*keys, "step", "I"), keys)
-    head = head.select(*keys, "t", "seed", "step", F.col("step").cast("double").alias("at"), F.col("I").cast("double").alias("I"))
+    head = head.select(*keys, "t", "seed", "step", F.col("step").cast("double").alias("clock"), F.col("I").cast("double").alias("I"))
     along = (
         Window.partitionBy(*keys, "t", "seed").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     tail = continuations.select(
         *keys, "t", "seed",
         (F.col("t") + F.col("step")).alias("step"),
-        (F.col("t") + F.sum("wait").over(along)).cast("double").alias("at"),
+        (F.col("t") + F.sum("wait").over(along)).cast("double").alias("clock"),
         F.col("I").cast("double").alias("I"),
     )
     return head.unionByName(tail)
@@ -129,7 +129,7 @@ def stitched_peak(
     timed = continuations.withColumn("_at", F.sum("wait").over(steps))
     tail = timed.groupBy(*keys, "t", "seed").agg(
         F.max(
-            F.struct(F.col("I").cast("double").alias("I"), (-F.col("step")).cast("long").alias("back"), F.col("_at").alias("at"))
+            F.struct(F.col("I").cast("double").alias("I"), (-F.col("step")).cast("long").alias("back"), F.col("_at").alias("clock"))
         ).alias("_tail")
     )
     both = (
@@ -140,7 +140,7 @@ def stitched_peak(
     from_tail = F.coalesce(F.col("_tail.I") > F.col("_head.I"), F.lit(False))
     return both.select(
         *keys, "t", "seed",
-        F.when(from_tail, F.col("t") + F.col("_tail.at")).otherwise(-F.col("_head.back")).cast("double").alias("peak_t"),
+        F.when(from_tail, F.col("t") + F.col("_tail.clock")).otherwise(-F.col("_head.back")).cast("double").alias("peak_t"),
         F.when(from_tail, F.col("_tail.I")).otherwise(F.col("_head.I")).alias("peak_I"),
     )
 

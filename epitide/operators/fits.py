@@ -218,7 +218,7 @@ def profile_fit_bass(
     ``m = rho + (1 - rho) I / mean I`` and ``w = 1 - C / N``; the best scale is
     ``s = sum X / sum m w``. The likelihood splits into sums that depend on ``N`` or on
     ``rho`` alone, so a series of n rows costs n (G_N + G_rho) terms and not n G_N G_rho;
-    the pairs of grid points are weighed inside one row per series.
+    the pairs of grid points are weighed per series, not per row.
     """
     pairs = fit_pairs(series, keys, order, gamma, samples=1)
     whole = Window.partitionBy(*keys)
@@ -235,70 +235,65 @@ def profile_fit_bass(
             }
         )
         .where(c0.isNotNull())
+        .select(*keys, "C0", "I0", "X", "_n", "_m", "_high", "_low", "_mean")
     )
-    kinds = F.array_distinct(
-        F.concat(
-            F.transform(log_grid(F.col("_low"), F.col("_high"), size_points),
-                        lambda n: F.struct(F.lit("N").alias("kind"), n.alias("value"))),
-            F.transform(F.sequence(F.lit(0), F.lit(mix_points - 1)),
-                        lambda r: F.struct(F.lit("rho").alias("kind"), (r / F.lit(float(mix_points - 1))).alias("value"))),
-        )
-    )
-    gridded = data.withColumn("_g", F.explode(kinds)).withColumns({"kind": F.col("_g.kind"), "value": F.col("_g.value")})
-    value = F.col("value")
-    inner = F.when(F.col("kind") == "N", 1 - c0 / value).otherwise(
-        value + (1 - value) * F.coalesce(F.try_divide(i0, F.col("_mean")), F.lit(0.0))
+    # grid points 0..size_points-1 are sizes, those after them are mixes
+    point = F.col("_point")
+    is_size = point < size_points
+    size = F.col("_low") * F.pow(F.col("_high") / F.col("_low"), point / F.lit(float(max(size_points - 1, 1))))
+    mix = (point - size_points) / F.lit(float(max(mix_points - 1, 1)))
+    inner = F.when(is_size, 1 - c0 / size).otherwise(
+        mix + (1 - mix) * F.coalesce(F.try_divide(i0, F.col("_mean")), F.lit(0.0))
     )
-    term = F.when(x > 0, x * safe_ln(inner)).otherwise(0.0)
-    per_point = gridded.groupBy(*keys, "kind", "value").agg(
-        F.sum(term).alias("xln"),
-        F.sum(x).alias("sx"),
-        F.sum(i0).alias("si"),
-        F.sum(c0).alias("sc"),
-        F.sum(i0 * c0).alias("sic"),
-        F.count(F.lit(1)).alias("pairs"),
-        *[F.max(c).alias(c) for c in ("_n", "_m", "_high", "_low", "_mean")],
+    shared = ["sx", "si", "sc", "sic", "pairs", "_n", "_m", "_high", "_low", "_mean"]
+    per_point = (
+        data.withColumn("_point", F.explode(F.sequence(F.lit(0), F.lit(size_points + mix_points - 1))))
+        .groupBy(*keys, "_point")
+        .agg(
+            F.sum(F.when(x > 0, x * safe_ln(inner)).otherwise(0.0)).alias("xln"),
+            F.sum(x).alias("sx"),
+            F.sum(i0).alias("si"),
+            F.sum(c0).alias("sc"),
+            F.sum(i0 * c0).alias("sic"),
+            F.count(F.lit(1)).alias("pairs"),
+            *[F.max(c).alias(c) for c in ("_n", "_m", "_high", "_low", "_mean")],
+        )
+        .withColumns({"_value": F.when(is_size, size).otherwise(mix)})
     )
-    # at most size_points + mix_points entries per series
-    entry = F.struct("value", "xln")
+    # one row per series; the lists have as many entries as the grids have points
+    entry = F.struct(F.col("_value").alias("at"), "xln")
     per_series = per_point.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "N", entry))).alias("_sizes"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "rho", entry))).alias("_mixes"),
-        *[F.max(c).alias(c) for c in ("sx", "si", "sc", "sic", "pairs", "_n", "_m", "_high", "_low", "_mean")],
+        F.collect_list(F.when(is_size, entry)).alias("_sizes"),
+        F.collect_list(F.when(~is_size, entry)).alias("_mixes"),
+        *[F.max(c).alias(c) for c in shared],
     )
-    sx = F.col("sx")
-
-    def score(n: Column, r: Column) -> Column:
-        flat = F.col("pairs") - F.col("sc") / n["value"]
-        tilt = F.coalesce(F.try_divide(F.col("si") - F.col("sic") / n["value"], F.col("_mean")), F.lit(0.0))
-        weight = r["value"] * flat + (1 - r["value"]) * tilt
-        scale = F.try_divide(sx, weight)
-        llh = r["xln"] + n["xln"] + F.when(sx > 0, sx * safe_ln(scale)).otherwise(0.0) - sx
-        fine = scale.isNotNull() & (llh > MINUS_INF)
-        return F.when(
-            fine,
-            F.struct(
-                F.rint(llh * 1e8).alias("rank"), (-n["value"]).alias("minus_n"), (-r["value"]).alias("minus_rho"),
-                scale.alias("scale"), llh.alias("llh"),
-            ),
-        )
-
-    best = per_series.withColumn(
-        "_best",
-        F.array_max(
-            F.transform(F.col("_sizes"), lambda n: F.array_max(F.transform(F.col("_mixes"), lambda r: score(n, r))))
-        ),
+    tried = per_series.withColumn("_size", F.explode("_sizes")).withColumn("_mix", F.explode("_mixes")).select(
+        *keys, *shared,
+        F.col("_size.at").alias("N"), F.col("_mix.at").alias("rho"),
+        (F.col("_size.xln") + F.col("_mix.xln")).alias("xln"),
+    )
+    flat = F.col("pairs") - F.col("sc") / F.col("N")
+    tilt = F.coalesce(F.try_divide(F.col("si") - F.col("sic") / F.col("N"), F.col("_mean")), F.lit(0.0))
+    scored = tried.withColumn(
+        "scale", F.try_divide(F.col("sx"), F.col("rho") * flat + (1 - F.col("rho")) * tilt)
+    ).withColumn(
+        "llh", F.col("xln") + F.when(F.col("sx") > 0, F.col("sx") * safe_ln(F.col("scale"))).otherwise(0.0) - F.col("sx")
     )
-    rho, size = -F.col("_best.minus_rho"), -F.col("_best.minus_n")
-    upper, lower = at_grid_end(size, F.col("_low"), F.col("_high"))
+    fine = F.col("scale").isNotNull() & (F.col("llh") > MINUS_INF)
+    rank = F.when(fine, F.struct(F.rint(F.col("llh") * 1e8), -F.col("N"), -F.col("rho")))
+    best = scored.groupBy(*keys).agg(
+        F.max_by(F.struct("N", "rho", "scale", "llh"), rank).alias("_best"),
+        *[F.max(c).alias(c) for c in ("_n", "_m", "_high", "_low", "_mean")],
+    ).select(*keys, "_best.*", "_n", "_m", "_high", "_low", "_mean")
+    upper, lower = at_grid_end(F.col("N"), F.col("_low"), F.col("_high"))
     return best.select(
         *keys,
         F.col("_n").alias("t"),
-        size.alias("N"),
-        (F.col("_best.scale") * rho).alias("a"),
-        F.try_divide(F.col("_best.scale") * (1 - rho), F.col("_mean")).alias("beta"),
+        "N",
+        (F.col("scale") * F.col("rho")).alias("a"),
+        F.try_divide(F.col("scale") * (1 - F.col("rho")), F.col("_mean")).alias("beta"),
         F.lit(0.0).alias("gamma"),
-        F.col("_best.llh").alias("llh"),
+        "llh",
         F.col("_m").alias("m"),
         upper.alias("is_ub_binding"),
         lower.alias("is_lb_binding"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from epitide.functions.model import ratio, sample_threshold
 from epitide.operators.series import first_crossing, observed_peak
 from epitide.operators.spread import exact_median, lay_out, running
+from epitide.session import cut
 
 
 def final_results(final: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,19 +69,23 @@ def crossing_report(joined: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 def median_ratio(df: DataFrame, a: str, b: str) -> DataFrame:
     """Exact median of ``a / b`` over all rows."""
-    rows = df.select(F.lit(1).alias("_all"), ratio(F.col(a), F.col(b)).alias("median_ratio"))
-    return exact_median(rows, ["_all"], ["median_ratio"]).drop("_all")
+    rows = df.select(F.lit(1).alias("_every"), ratio(F.col(a), F.col(b)).alias("median_ratio"))
+    return exact_median(rows, ["_every"], ["median_ratio"]).drop("_every")
 
 
 def share_of_total(df: DataFrame, count: str = "n", name: str = "share") -> DataFrame:
-    """Each row's part of the total over all rows; the total is one aggregated number."""
+    """Each row's part of the total over all rows; the total is one aggregated number.
+
+    ``df`` is cut first: what leads to it is worked out once, not once more for the total.
+    """
+    df = cut(df, "counts")
     total = df.agg(F.sum(count).alias("_total")).scalar()
     return df.withColumn(name, F.col(count) / total)
 
 
 def joint_share(df: DataFrame, a: str, b: str) -> DataFrame:
     """Number of rows per pair of values, and whole percents (half to even) as a fraction."""
-    counts = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")), "counts")
     total = counts.agg(F.sum("n").alias("_total")).scalar()
     return counts.select(a, b, "n", (F.bround(F.col("n") * 100 / total) / 100).alias("pct"))
 
@@ -102,9 +107,9 @@ def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), whole: bool = False)
     """
     by = list(by)
     base = df.where(F.col(value).isNotNull())
-    group = by or ["_all"]
+    group = by or ["_every"]
     if not by:
-        base = base.withColumn("_all", F.lit(1))
+        base = base.withColumn("_every", F.lit(1))
     counts = base.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_cnt"))
     if whole:
         along = Window.partitionBy(*group).orderBy(value)

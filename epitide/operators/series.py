@@ -142,13 +142,14 @@ def state_fold(
         by_block = Window.partitionBy(*keys).orderBy("_block")
         q = F.lit(keep)
         at_end = dS * F.pow(q, F.lit(length - 1) - F.col("_at"))
-        own = F.sum(dS * F.pow(q, -F.col("_at"))).over(in_block) * F.pow(q, F.col("_at"))
+        # the windows over blocks reuse the sort of the window inside a block
+        placed = placed.withColumn("_own", F.sum(dS * F.pow(q, -F.col("_at"))).over(in_block) * F.pow(q, F.col("_at")))
         carried = F.lit(0.0)
         for back in (1, 2, 3):
             block_sum = F.sum(at_end).over(by_block.rangeBetween(-back, -back))
             carried = carried + F.coalesce(block_sum, F.lit(0.0)) * keep ** (length * (back - 1))
         carried = carried * F.pow(q, F.col("_at") + 1)
-        infected = placed.withColumn("I", own + carried).drop("_pos", "_block", "_at")
+        infected = placed.withColumn("I", F.col("_own") + carried).drop("_pos", "_block", "_at", "_own")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     return infected.withColumn("R", F.lit(leave) * F.coalesce(F.sum("I").over(before), F.lit(0.0)))
 
@@ -169,7 +170,8 @@ def actual_trajectories(series: DataFrame, keys: Sequence[str], order: Sequence[
 
 def prefix_levels(samples: int) -> list[float]:
     """Evenly spaced levels of log progress from 0.4 to 1."""
-    return [0.4 + 0.6 * j / (samples - 1) for j in range(samples)]
+    # the 1e-12 makes a progress that equals a level count as having reached it
+    return [0.4 + 0.6 * j / (samples - 1) - 1e-12 for j in range(samples)]
 
 
 def mark_prefix_points(

@@ -28,7 +28,7 @@ _SEASON_IDS = """
     WITH asked AS (""" + _ASKED + """),
     valid AS (SELECT id FROM asked WHERE id IN (SELECT year - 1960 FROM ili))
     SELECT id FROM valid
-    UNION ALL SELECT max(year - 1960) FROM ili WHERE NOT EXISTS (SELECT 1 FROM valid)"""
+    UNION ALL SELECT max(year - 1960) FROM ili WHERE NOT EXISTS (SELECT 1 FROM valid) HAVING count(*) > 0"""
 
 _QUARTER_LONG = """(SELECT region, year, 'const_frac_t' AS var, const_frac_t AS val FROM quarters
                     UNION ALL SELECT region, year, 'mstar_t', mstar_t FROM quarters)"""
@@ -70,7 +70,7 @@ SQL = {
         SELECT DISTINCT region, year, t FROM (
             SELECT p.region, p.year, j,
                    coalesce(min(p.t) FILTER (WHERE p.total > 1 AND p.m > 0
-                                             AND ln(greatest(p.m, 1e-9)) / ln(greatest(p.total, 1.5)) >= 0.4 + 0.6 * j / 9), 1) AS t
+                                             AND ln(greatest(p.m, 1e-9)) / ln(greatest(p.total, 1.5)) >= 0.4 + 0.6 * j / 9 - 1e-12), 1) AS t
             FROM placed AS p, range(10) AS r(j) WHERE p.n > 10 GROUP BY p.region, p.year, j
             UNION ALL SELECT region, year, 0, t FROM placed WHERE n <= 10)
         WHERE t > 1""",
@@ -146,7 +146,7 @@ SQL = {
                min(t) FILTER (WHERE "I" > "Ntrue" / 50) AS high_t,
                coalesce(min(t) FILTER (WHERE "I" > "Ntrue" / 50), 52) AS high_or_52_t
         FROM trajectories JOIN results USING (region, year) GROUP BY region, year, seed""",
-    "crossing_report": "SELECT region, year, m_star_t, m_star_50_t, m_peak_t, peak_t FROM crossings WHERE year > 1996",
+    "crossing_report": "SELECT region, year, m_star_t, m_star_50_t, m_peak_t, peak_t FROM crossings",
     "quarter_crossing": "SELECT region, year, peak_t, const_frac_t, mstar_t FROM quarters",
     "joint_share": """
         SELECT m_star_t, m_peak_t, count(*) AS n,
@@ -323,7 +323,7 @@ SQL = {
     "weighted_llh": _WEIGHTED.format(weight='"I"'),
     "unweighted_llh": _WEIGHTED.format(weight="1"),
     # replicates and peaks
-    "stitched_series": 'SELECT region, year, t, seed, step, at, "I" FROM stitched',
+    "stitched_series": 'SELECT region, year, t, seed, step, clock, "I" FROM stitched',
     "stitched_peak": 'SELECT region, year, t, seed, peak_t, "peak_I" FROM stitched_peaks',
     "peak_report": """
         SELECT region, year, t, round(e."N", 4) AS "N", round(e.beta, 4) AS beta, e.gamma, e.a, round(e.llh, 4) AS llh, e.m,

@@ -54,13 +54,14 @@ VIEWS = {
                    - beta * "I" * (1 - c / "N")) AS llh
         FROM (
             SELECT p.region, p.year, e.t, s."N", s.high, p."I", p."X", p."I" + p."R" AS c,
-                   sum(p."X") OVER w / sum(p."I" * (1 - (p."I" + p."R") / s."N")) OVER w AS beta,
-                   max(p."I" + p."R") OVER w AS cmax
+                   sum(p."X") OVER w / nullif(sum(p."I" * (1 - (p."I" + p."R") / s."N")) OVER w, 0) AS beta,
+                   max(p."I" + p."R") OVER w AS cmax,
+                   max(CASE WHEN p."X" > 0 AND p."I" = 0 THEN 1 ELSE 0 END) OVER w AS spoiled
             FROM prefixes AS e
             JOIN pairs AS p ON p.region = e.region AND p.year = e.year AND p.t <= e.t
             JOIN sizes AS s ON s.region = e.region AND s.year = e.year
             WINDOW w AS (PARTITION BY e.region, e.year, e.t, s."N"))
-        WHERE "N" > cmax
+        WHERE "N" > cmax AND spoiled = 0 AND beta IS NOT NULL
         GROUP BY region, year, t, "N", high, beta""",
     "estimates": """
         SELECT e.region, e.year, e.t, b."N", b.beta, 1.68::DOUBLE AS gamma, 0.0::DOUBLE AS a, b.llh, p.m,
@@ -80,10 +81,10 @@ VIEWS = {
         FROM final, range(1, 1000000) AS r(x) WHERE x <= floor("N")""",
     "results": """
         SELECT f.region, f.year,
-               coalesce(min(i.x) FILTER (WHERE i.total > 1), 1) AS m_star,
-               coalesce(min(i.x) FILTER (WHERE i.total > 1 / sqrt(0.5)), 1) AS m_star_50,
+               CASE WHEN f."N" IS NOT NULL THEN coalesce(min(i.x) FILTER (WHERE i.total > 1), 1) END AS m_star,
+               CASE WHEN f."N" IS NOT NULL THEN coalesce(min(i.x) FILTER (WHERE i.total > 1 / sqrt(0.5)), 1) END AS m_star_50,
                f."N" AS "Ntrue", f.beta, f.gamma
-        FROM final AS f JOIN information AS i USING (region, year)
+        FROM final AS f LEFT JOIN information AS i USING (region, year)
         GROUP BY f.region, f.year, f."N", f.beta, f.gamma""",
     "peaks": """
         SELECT region, year, week AS peak_t, "dS" AS "peak_dS" FROM (
@@ -102,7 +103,7 @@ VIEWS = {
                row_number() OVER (PARTITION BY e.region, e.year, e.t, j.seed ORDER BY j.t) AS step, j."I", j."R", j.wait
         FROM prefixes AS e JOIN trajectories AS j ON j.region = e.region AND j.year = e.year AND j.t > e.t""",
     "stitched": """
-        SELECT o.region, o.year, e.t, CAST(s.seed AS INTEGER) AS seed, o.step, CAST(o.step AS DOUBLE) AS at, o."I"
+        SELECT o.region, o.year, e.t, CAST(s.seed AS INTEGER) AS seed, o.step, CAST(o.step AS DOUBLE) AS clock, o."I"
         FROM prefixes AS e JOIN observed AS o ON o.region = e.region AND o.year = e.year AND o.step <= e.t,
              range(1, 6) AS s(seed)
         UNION ALL
@@ -110,7 +111,7 @@ VIEWS = {
                CAST(t + sum(wait) OVER (PARTITION BY region, year, t, seed ORDER BY step) AS DOUBLE), "I"
         FROM continuations""",
     "stitched_peaks": """
-        SELECT region, year, t, seed, at AS peak_t, "I" AS "peak_I" FROM (
+        SELECT region, year, t, seed, clock AS peak_t, "I" AS "peak_I" FROM (
             SELECT *, row_number() OVER (PARTITION BY region, year, t, seed ORDER BY "I" DESC, step) AS pick FROM stitched)
         WHERE pick = 1""",
     "actual": """
@@ -137,7 +138,8 @@ VIEWS = {
         GROUP BY region, year""",
     "season_data": """
         SELECT s.*, e."Ntrue", e.m_star, e.m_star_50, e.m_peak, l.m_leftover
-        FROM series AS s JOIN ensemble AS e USING (region, year) JOIN leftover AS l USING (region, year)""",
+        FROM series AS s JOIN ensemble AS e USING (region, year) JOIN leftover AS l USING (region, year)
+        WHERE s.year > 1996""",
     "crossings": """
         SELECT region, year,
                coalesce(min(pos) FILTER (WHERE m > m_star), 1) AS m_star_t,
