@@ -15,31 +15,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epitide.functions.model import MINUS_INF, at_grid_end, count_term, log_grid, new_case_rate, safe_ln
 from epitide.operators.series import last_row, mark_prefix_points, state_fold
+from epitide.operators.spread import spread_rows
 
 #: points of the grid of population sizes
 SIZE_POINTS = 200
 
 
-def _spread_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keep whole series together and use all shuffle partitions, however small the input is.
-
-    The rows are few before the grid multiplies them; left to itself, adaptive coalescing
-    would put them on one task.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
 def fit_pairs(
     series: DataFrame, keys: Sequence[str], order: Sequence[str], gamma: float, samples: int
 ) -> DataFrame:
     """Rows ``t`` of each series with the state one row earlier (``I0, R0``) and new cases ``X``."""
-    folded = state_fold(_spread_series(series, keys), keys, order, gamma)
+    folded = state_fold(spread_rows(series, keys), keys, order, gamma)
     along = Window.partitionBy(*keys).orderBy(*order)
     paired = mark_prefix_points(folded, keys, order, samples).withColumns(
         {"I0": F.lag("I").over(along), "R0": F.lag("R").over(along), "X": F.col("dS").cast("double")}
@@ -204,6 +197,40 @@ def final_estimate(estimates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last_row(estimates, keys, "t")
 
 
+def _best_of_grid(size_points: int):
+    """Arrow UDF: best pair of size and mix of each series, over whole batches of series.
+
+    The inputs are one short row per series; numpy weighs all pairs of a batch at once
+    without laying them out as rows. Likelihoods are compared to 8 digits; the smaller size,
+    then the smaller mix wins among equals. NULL if no pair has a finite likelihood.
+    """
+
+    @F.pandas_udf("N double, rho double, scale double, llh double")
+    def best(values: pd.Series, logs: pd.Series, sums: pd.DataFrame) -> pd.DataFrame:
+        value, log = np.stack(values.to_numpy()), np.stack(logs.to_numpy())
+        n, rho = value[:, :size_points, None], value[:, None, size_points:]
+        sx, sc, pairs, si, sic, mean = (
+            sums[c].to_numpy(dtype=float)[:, None, None] for c in ("sx", "sc", "pairs", "si", "sic", "_mean")
+        )
+        with np.errstate(all="ignore"):
+            tilt = np.where(mean == 0, 0.0, (si - sic / n) / mean)
+            scale = sx / (rho * (pairs - sc / n) + (1 - rho) * tilt)
+            grown = np.where(sx > 0, sx * np.log(np.where(scale > 0, scale, 0.0)), 0.0)
+            llh = log[:, :size_points, None] + log[:, None, size_points:] + grown - sx
+        llh = np.where(np.isfinite(scale) & np.isfinite(llh), llh, -np.inf).reshape(len(value), -1)
+        pick = np.argmax(np.rint(llh * 1e8), axis=1)
+        mixes, row = rho.shape[2], np.arange(len(value))
+        out = pd.DataFrame({
+            "N": n[row, pick // mixes, 0],
+            "rho": rho[row, 0, pick % mixes],
+            "scale": scale.reshape(len(value), -1)[row, pick],
+            "llh": llh[row, pick],
+        })
+        return out.where(np.isfinite(out["llh"]), None)
+
+    return best
+
+
 def profile_fit_bass(
     series: DataFrame,
     keys: Sequence[str],
@@ -261,29 +288,15 @@ def profile_fit_bass(
         .withColumns({"_value": F.when(is_size, size).otherwise(mix)})
     )
     # one row per series; the lists have as many entries as the grids have points
-    entry = F.struct(F.col("_value").alias("at"), "xln")
+    entry = F.struct("_point", "_value", "xln")
     per_series = per_point.groupBy(*keys).agg(
-        F.collect_list(F.when(is_size, entry)).alias("_sizes"),
-        F.collect_list(F.when(~is_size, entry)).alias("_mixes"),
-        *[F.max(c).alias(c) for c in shared],
-    )
-    tried = per_series.withColumn("_size", F.explode("_sizes")).withColumn("_mix", F.explode("_mixes")).select(
-        *keys, *shared,
-        F.col("_size.at").alias("N"), F.col("_mix.at").alias("rho"),
-        (F.col("_size.xln") + F.col("_mix.xln")).alias("xln"),
-    )
-    flat = F.col("pairs") - F.col("sc") / F.col("N")
-    tilt = F.coalesce(F.try_divide(F.col("si") - F.col("sic") / F.col("N"), F.col("_mean")), F.lit(0.0))
-    scored = tried.withColumn(
-        "scale", F.try_divide(F.col("sx"), F.col("rho") * flat + (1 - F.col("rho")) * tilt)
-    ).withColumn(
-        "llh", F.col("xln") + F.when(F.col("sx") > 0, F.col("sx") * safe_ln(F.col("scale"))).otherwise(0.0) - F.col("sx")
+        F.array_sort(F.collect_list(entry)).alias("_grid"), *[F.max(c).alias(c) for c in shared]
     )
-    fine = F.col("scale").isNotNull() & (F.col("llh") > MINUS_INF)
-    rank = F.when(fine, F.struct(F.rint(F.col("llh") * 1e8), -F.col("N"), -F.col("rho")))
-    best = scored.groupBy(*keys).agg(
-        F.max_by(F.struct("N", "rho", "scale", "llh"), rank).alias("_best"),
-        *[F.max(c).alias(c) for c in ("_n", "_m", "_high", "_low", "_mean")],
+    best = per_series.withColumn(
+        "_best",
+        _best_of_grid(size_points)(
+            "_grid._value", "_grid.xln", F.struct("sx", "sc", "pairs", "si", "sic", "_mean")
+        ),
     ).select(*keys, "_best.*", "_n", "_m", "_high", "_low", "_mean")
     upper, lower = at_grid_end(F.col("N"), F.col("_low"), F.col("_high"))
     return best.select(

@@ -56,6 +56,16 @@ def attach_key_stats(
     return in_large.unionByName(in_small).drop("_rows")
 
 
+def spread_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash rows by ``keys`` over all shuffle partitions, however few bytes they are.
+
+    For rows that a grid is about to multiply: left to itself, adaptive coalescing would go
+    by their present size and put them on one task. Later steps by these keys, or by more,
+    need no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def lay_out(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Write ``rows`` in ranges of (keys, order) and add the range number ``_part``.
 
@@ -76,6 +86,7 @@ def running(
     totals: Mapping[str, Column] | None = None,
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Running sums, key totals and neighbours over a table from :func:`lay_out`.
 
@@ -84,6 +95,9 @@ def running(
     previous   name -> column, its value one row earlier (NULL at the first)
     following  name -> column, its value one row later (NULL at the last)
 
+    ``spread`` keeps the rows over all shuffle partitions, for a grid that follows (see
+    :func:`spread_rows`; a repartition after the window would be optimised away).
+
     Each range is reduced to one row per key, map-side; a window over those rows (no more
     than there are ranges) gives what lies before and after; a second window runs inside
     one range only.
@@ -113,7 +127,7 @@ def running(
 
     inside = Window.partitionBy(*part_keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = laid.join(outside, part_keys)
+    joined = (spread_rows(laid, part_keys) if spread else laid).join(outside, part_keys)
     return joined.select(
         *laid.columns,
         *[(F.sum(e).over(upto) + F.col(f"_sum_{n}")).alias(n) for n, e in sums.items()],

@@ -29,7 +29,7 @@ def next_state_pair(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ``n_states`` is the number of states of the key.
     """
-    paired = running(states, keys, ["k"], totals={"n_states": F.lit(1)}, following={"next_wait": "wait"})
+    paired = running(states, keys, ["k"], totals={"n_states": F.lit(1)}, following={"next_wait": "wait"}, spread=True)
     return paired.where(F.col("next_wait").isNotNull())
 
 
@@ -68,22 +68,37 @@ def grid_search_mle(
     """
     low, high = _theta_bounds(param, sir, low, high)
     theta = F.col("theta")
-    gridded = pairs.select(*keys, "k", "_part", "I", "R", "next_wait",
-                           F.explode(linear_grid(low, high, points)).alias("theta"))
-    scored = gridded.select(
-        *keys, "k", "_part", "theta", waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait")).alias("llh")
+    part = [*keys, "_part"]
+    rows = pairs.select(*part, "k", "I", "R", "next_wait")
+    scored = rows.withColumn("theta", F.explode(linear_grid(low, high, points))).withColumn(
+        "llh", waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait"))
     )
-    summed = running(scored, [*keys, "theta"], ["k"], sums={"_sum": F.col("llh")})
-    rank = F.struct(F.rint(F.col("_sum") / F.col("k") * 1e8), -theta)
-    best = summed.groupBy(*keys, "_part", "k").agg(F.max_by(F.struct("theta", "llh"), rank).alias("_best"))
-    upper, lower = at_grid_end(F.col("_best.theta"), F.lit(low), F.lit(high))
+    # sums of the ranges before, as one short list per range, so that the join is not with the product
+    before = Window.partitionBy(*keys, "theta").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = scored.groupBy(*part, "theta").agg(F.sum("llh").alias("_sum"))
+    offsets = (
+        per_part.select(*part, "theta", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
+        .groupBy(*part)
+        .agg(F.collect_list(F.struct("theta", "_before")).alias("_grid"))
+    )
+    upto = Window.partitionBy(*part, "theta").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        rows.join(offsets, part)
+        .withColumn("_at", F.explode("_grid"))
+        .select(*part, "k", "I", "R", "next_wait", "_at.*")
+        .withColumn("llh", waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait")))
+    )
+    summed = placed.select(
+        *part, "k", "theta", "llh", (F.sum("llh").over(upto) + F.col("_before")).alias("_sum")
+    )
+    best = (
+        summed.groupBy(*part, "k")
+        .agg(F.max(F.struct(F.rint(F.col("_sum") / F.col("k") * 1e8).alias("rank"), (-theta).alias("minus"), "llh")).alias("_best"))
+        .select(*keys, "k", (-F.col("_best.minus")).alias("estimate"), "_best.llh")
+    )
+    upper, lower = at_grid_end(F.col("estimate"), F.lit(low), F.lit(high))
     return best.select(
-        *keys,
-        "k",
-        F.col("_best.theta").alias("estimate"),
-        upper.alias("is_ub_binding"),
-        lower.alias("is_lb_binding"),
-        F.col("_best.llh").alias("llh"),
+        *keys, "k", "estimate", upper.alias("is_ub_binding"), lower.alias("is_lb_binding"), "llh"
     )
 
 
@@ -105,18 +120,22 @@ def log_prefix_mle(
     """
     low, high = _theta_bounds(param, sir, low, high)
     total = F.lit(float(sir["N"]))
-    held = pairs.withColumn("_k", next_log_spaced(F.col("k") + 1, total, F.col("n_states"))).where("_k < n_states")
+    # transitions of prefixes that are too short to be reported count in the first that is
+    at_least = F.greatest(F.col("k") + 1, F.lit(11))
+    held = pairs.withColumn("_k", next_log_spaced(at_least, total, F.col("n_states"))).where("_k < n_states")
     theta = F.col("theta")
+    part = [*keys, "_part"]
     per_prefix = (
-        held.withColumn("theta", F.explode(linear_grid(low, high, points)))
-        .groupBy(*keys, "_k", "theta")
+        held.select(*part, "_k", "I", "R", "next_wait")
+        .withColumn("theta", F.explode(linear_grid(low, high, points)))
+        .groupBy(*part, "_k", "theta")
         .agg(F.sum(waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait"))).alias("_llh"))
     )
-    upto = Window.partitionBy(*keys, "theta").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a prefix may hold transitions of several ranges: the frame takes in all rows of equal _k
+    upto = Window.partitionBy(*keys, "theta").orderBy("_k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     summed = per_prefix.select(*keys, F.col("_k").alias("k"), "theta", F.sum("_llh").over(upto).alias("llh"))
     best = (
-        summed.where("k > 10")
-        .groupBy(*keys, "k")
+        summed.groupBy(*keys, "k")
         .agg(F.max_by(F.struct("theta", "llh"), F.struct(F.rint(F.col("llh") * 1e6), -theta)).alias("_best"))
     )
     upper, lower = at_interval_end(F.col("_best.theta"), F.lit(low), F.lit(high))
