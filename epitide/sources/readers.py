@@ -22,16 +22,18 @@ def read_csv_header(spark: SparkSession, path: str, schema: T.StructType | None
     return reader.csv(path)
 
 
-def read_skip_preamble(spark: SparkSession, path: str, names: list[str], number: str) -> DataFrame:
+def read_skip_preamble(spark: SparkSession, path: str, names: list[str], *numbers: str) -> DataFrame:
     """CSV with a line above its header, as text columns with clean names.
 
     ``names`` are the columns as the header spells them. The reader splits large files and
-    cannot skip a number of lines, so lines whose ``number`` column holds no whole number,
-    which are the preamble and the header, are dropped by that test.
+    cannot skip a number of lines, so lines whose ``numbers`` columns do not all hold whole
+    numbers, which are the preamble and the header, are dropped by that test.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = clean_names(spark.read.schema(schema).option("header", False).csv(path))
-    return rows.where(F.col(number).try_cast("int").isNotNull())
+    for number in numbers:
+        rows = rows.where(F.col(number).try_cast("int").isNotNull())
+    return rows
 
 
 def keys_from_path(path: Column) -> tuple[Column, Column]:
