@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def joined_query(fn: Query) -> Query:
+    """A query over several tables that come from the same visits."""
+
+    @wraps(fn)
+    def run(spark, folder):
+        with v.one_scan():
+            return fn(spark, folder)
+
+    return query(run)
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Round doubles, so that engines that add in another order give the same value."""
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
@@ -184,7 +195,7 @@ def year_shift(spark, d):
 VAR_LABELS = {"m_peak_t": "Weeks to Ctot / 8 infections", "m_star_t": "Weeks to RelError bound = 1"}
 
 
-@query
+@joined_query
 def label_case(spark, d):
     long = _crossings(spark, d).unpivot(KEYS, ["m_star_t", "m_peak_t", "peak_t"], "var", "val")
     return long.withColumn("var", text.relabel(F.col("var"), VAR_LABELS))
@@ -212,12 +223,12 @@ def _season_ids(spark, d, shift):
     return se.season_ids(asked, there)
 
 
-@query
+@joined_query
 def season_ids(spark, d):
     return _season_ids(spark, d, 0)
 
 
-@query
+@joined_query
 def season_ids_fallback(spark, d):
     return _season_ids(spark, d, 500)
 
@@ -252,24 +263,24 @@ def _quarters(spark, d):
     return reports.quarter_crossing(joined, KEYS, ["week", *ORDER])
 
 
-@query
+@joined_query
 def fit_vs_data(spark, d):
     return rounded(en.fit_vs_data(v.trajectories(spark, d), v.series(spark, d), KEYS), "val")
 
 
-@query
+@joined_query
 def estimates_peaks_data(spark, d):
     joined = reports.estimates_peaks_data(_results(spark, d), v.series(spark, d), KEYS)
     return rounded(joined, "Ntrue", "beta", digits=4)
 
 
-@query
+@joined_query
 def trajectories_with_estimate(spark, d):
     joined = en.trajectories_with_estimate(v.trajectories(spark, d), _results(spark, d), KEYS)
     return rounded(joined, "Ntrue", "beta", digits=4)
 
 
-@query
+@joined_query
 def data_agg_leftovers(spark, d):
     return rounded(
         _season_data(spark, d), "Ntrue", "m_star_t", "m_star_50_t", "m_peak_t", "m_peak", "m_tot", "m_leftover", digits=4
@@ -282,7 +293,7 @@ def available_semi(spark, d):
     return v.reviews(spark, d).join(chosen.select("id"), "id", "left_semi")
 
 
-@query
+@joined_query
 def prefix_range_join(spark, d):
     seen = v.observed(spark, d).select(*KEYS, "step", "I", "R")
     return se.prefix_rows(v.prefixes(spark, d), seen, KEYS)
@@ -301,7 +312,7 @@ def key_grid(spark, d):
     )
 
 
-@query
+@joined_query
 def column_append(spark, d):
     peaks = en.stitched_peak(v.prefixes(spark, d), v.observed(spark, d), v.continuations(spark, d), KEYS, SEEDS)
     means = en.mean_over_replicates(peaks, [*KEYS, "t"], ["peak_t", "peak_I"])
@@ -309,7 +320,7 @@ def column_append(spark, d):
     return rounded(en.column_append(est, means, KEYS), "N", "beta", "peak_t", "peak_I", digits=4)
 
 
-@query
+@joined_query
 def last_N_lookup(spark, d):
     sizes = fits.last_size(v.estimates(spark, d), KEYS)
     return rounded(v.series(spark, d).join(sizes, KEYS), "N", digits=4)
@@ -332,12 +343,12 @@ def mean_trajectory(spark, d):
     return rounded(en.mean_trajectory(v.trajectories(spark, d), KEYS), "I")
 
 
-@query
+@joined_query
 def replicate_summary(spark, d):
     return rounded(_summary(spark, d), "Ntrue", digits=4)
 
 
-@query
+@joined_query
 def ensemble_summary(spark, d):
     return rounded(
         en.ensemble_summary(_summary(spark, d), KEYS),
@@ -364,7 +375,7 @@ def _replicate_peaks(spark, d):
     return en.stitched_peak(v.prefixes(spark, d), v.observed(spark, d), v.continuations(spark, d), KEYS, SEEDS)
 
 
-@query
+@joined_query
 def median_over_replicates(spark, d):
     return rounded(
         en.median_over_replicates(_replicate_peaks(spark, d), [*KEYS, "t"], ["peak_t", "peak_I", "seed"]),
@@ -372,7 +383,7 @@ def median_over_replicates(spark, d):
     )
 
 
-@query
+@joined_query
 def mean_over_replicates(spark, d):
     return rounded(
         en.mean_over_replicates(_replicate_peaks(spark, d), [*KEYS, "t"], ["peak_t", "peak_I"]), "peak_t", "peak_I"
@@ -384,7 +395,7 @@ def final_estimate(spark, d):
     return rounded(fits.final_estimate(v.estimates(spark, d), KEYS), "N", "beta", "llh", digits=4)
 
 
-@query
+@joined_query
 def first_crossing(spark, d):
     joined = en.trajectories_with_estimate(v.trajectories(spark, d), _results(spark, d), KEYS)
     cond = F.col("I") + F.col("R") > F.col("m_star")
@@ -396,28 +407,28 @@ def first_crossing(spark, d):
     )
 
 
-@query
+@joined_query
 def crossing_report(spark, d):
     return _crossings(spark, d)
 
 
-@query
+@joined_query
 def quarter_crossing(spark, d):
     return _quarters(spark, d)
 
 
-@query
+@joined_query
 def joint_share(spark, d):
     return reports.joint_share(_crossings(spark, d), "m_star_t", "m_peak_t")
 
 
-@query
+@joined_query
 def hist_share(spark, d):
     value = F.col("m_peak_t") - F.col("m_star_t")
     return rounded(reports.hist_share(_crossings(spark, d), value), "share")
 
 
-@query
+@joined_query
 def median_ratio(spark, d):
     return rounded(reports.median_ratio(_quarters(spark, d), "mstar_t", "const_frac_t"), "median_ratio")
 
@@ -454,13 +465,13 @@ def offset_running_total(spark, d):
     return se.less_group_minimum(se.running_total(v.series(spark, d), KEYS, ORDER), KEYS)
 
 
-@query
+@joined_query
 def ecdf(spark, d):
     long = _quarters(spark, d).unpivot(KEYS, ["const_frac_t", "mstar_t"], "var", "val")
     return rounded(reports.ecdf(long, "val", ["var"], whole=True), "ecdf")
 
 
-@query
+@joined_query
 def ecdf_by_year(spark, d):
     long = _quarters(spark, d).unpivot(KEYS, ["const_frac_t", "mstar_t"], "var", "val")
     return rounded(reports.ecdf(long, "val", ["year", "var"], whole=True), "ecdf")
@@ -510,7 +521,7 @@ def region_order(spark, d):
     return v.ili(spark, d).withColumn("rank", text.region_number("region")).orderBy("rank", "year", "week")
 
 
-@query
+@joined_query
 def append_runs(spark, d):
     mean = en.mean_trajectory(v.trajectories(spark, d), KEYS).withColumn("dataset", F.lit("predicted"))
     seen = v.observed(spark, d).select(*KEYS, F.col("step").alias("t"), "I").withColumn("dataset", F.lit("actual"))
@@ -552,7 +563,7 @@ def int_div_week(spark, d):
     return v.reviews(spark, d).select("id", "reviewer_id", "ts", cal.whole_weeks(F.col("ts")).alias("week"))
 
 
-@query
+@joined_query
 def fisher_bound(spark, d):
     joined = en.trajectories_with_estimate(v.trajectories(spark, d), _results(spark, d), KEYS)
     x = model.cumulative_infected(F.col("I"), F.col("R"))
@@ -572,7 +583,7 @@ def cumulative_infected(spark, d):
     return v.trajectories(spark, d).withColumn("C", model.cumulative_infected(F.col("I"), F.col("R")))
 
 
-@query
+@joined_query
 def ratio(spark, d):
     a, b = F.col("m_star_t"), F.col("peak_t")
     return rounded(
@@ -593,7 +604,7 @@ def coalesce_default(spark, d):
     return lagged.select(*KEYS, "seed", "t", F.coalesce(F.col("dS"), F.lit(52.0)).alias("dS"))
 
 
-@query
+@joined_query
 def bound_flags(spark, d):
     est = v.estimates(spark, d).join(fits.series_bounds(v.observed(spark, d), KEYS), KEYS)
     ub, lb = model.at_interval_end(F.col("N"), F.col("lower"), F.col("Nmax"))
@@ -620,7 +631,7 @@ def actual_trajectories(spark, d):
     return rounded(se.actual_trajectories(v.series(spark, d), KEYS, ORDER, 0.24), "I", "R")
 
 
-@query
+@joined_query
 def poisson_llh(spark, d):
     pairs = fits.lagged_pairs(v.observed(spark, d), KEYS, ORDER).join(
         _final(spark, d).select(*KEYS, "N", "beta"), KEYS
@@ -629,7 +640,7 @@ def poisson_llh(spark, d):
     return rounded(got, "llh", digits=4)
 
 
-@query
+@joined_query
 def exponential_llh(spark, d):
     pairs = fits.lagged_pairs(v.observed(spark, d), KEYS, ORDER).join(
         _final(spark, d).select(*KEYS, "N", "beta"), KEYS
@@ -643,7 +654,7 @@ def profile_fit_sir(spark, d):
     return rounded(v.estimates(spark, d), "N", "beta", "llh", digits=4)
 
 
-@query
+@joined_query
 def fit_known_N(spark, d):
     series = v.series(spark, d)
     sizes = fits.last_size(_final(spark, d), KEYS)
@@ -695,17 +706,17 @@ def unweighted_llh(spark, d):
 
 # --- replicates and peaks -----------------------------------------------------------
 
-@query
+@joined_query
 def stitched_series(spark, d):
     return en.stitched_series(v.prefixes(spark, d), v.observed(spark, d), v.continuations(spark, d), KEYS, SEEDS)
 
 
-@query
+@joined_query
 def stitched_peak(spark, d):
     return _replicate_peaks(spark, d)
 
 
-@query
+@joined_query
 def peak_report(spark, d):
     est = v.estimates(spark, d).drop("is_ub_binding", "is_lb_binding")
     got = en.peak_report(est, v.observed(spark, d), v.continuations(spark, d), KEYS, SEEDS)
@@ -719,7 +730,5 @@ def take_while_active(spark, d):
 
 @query
 def index_steps(spark, d):
-    steps = v.visits(spark, d).groupBy(*KEYS, (F.col("l_suppkey") % 5 + 1).cast("int").alias("seed"), "week").agg(
-        F.count(F.lit(1)).alias("I")
-    )
+    steps = v.weekly_visits(spark, d).groupBy(*KEYS, "seed", "week").agg(F.sum("n").alias("I"))
     return en.index_steps(steps, [*KEYS, "seed"], "week")

@@ -15,8 +15,9 @@ WHERE season = :season
 """
 
 WEEKLY_SQL = """
-SELECT (ts - first_ts) DIV :week_seconds AS week, count(*) AS dS, CAST(:nmax AS DOUBLE) AS Nmax
-FROM {reviews}, (SELECT min(ts) AS first_ts FROM {reviews} WHERE id = :id)
+SELECT (ts - (SELECT min(ts) FROM {reviews} WHERE id = :id)) DIV :week_seconds AS week,
+       count(*) AS dS, CAST(:nmax AS DOUBLE) AS Nmax
+FROM {reviews}
 WHERE id = :id
-GROUP BY 1
+GROUP BY ALL
 """

@@ -5,6 +5,9 @@ Each function takes (session, folder of the parquet tables). ``FIXTURES.md`` has
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,23 @@ SEEDS = 5
 SIR = {"alpha": 0.0, "beta": 0.3, "gamma": 0.1, "N": 1000.0}
 
 
+_shared: ContextVar[dict[str, DataFrame] | None] = ContextVar("shared", default=None)
+
+
+@contextmanager
+def one_scan():
+    """Read the visits once for all tables derived inside the block.
+
+    Left to the optimizer, filters that differ between the branches of a query reach the
+    scan, the branches share no exchange, and each scans the visits anew.
+    """
+    token = _shared.set({})
+    try:
+        yield
+    finally:
+        _shared.reset(token)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -60,14 +80,35 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def weekly_visits(spark: SparkSession, folder: str) -> DataFrame:
+    """Visits per region, week, replicate (a fifth of the providers) and result flag.
+
+    Every surveillance table is derived from this small aggregate. Inside :func:`one_scan`
+    it is written once and read from there.
+    """
+    memo = _shared.get()
+    if memo is not None:
+        if folder not in memo:
+            memo[folder] = cut(_weekly_visits(spark, folder), "weekly")
+        return memo[folder]
+    return _weekly_visits(spark, folder)
+
+
+def _weekly_visits(spark: SparkSession, folder: str) -> DataFrame:
+    seed = (F.col("l_suppkey") % 5 + 1).cast("int").alias("seed")
+    return visits(spark, folder).groupBy("region", "year", "week", seed, "l_returnflag").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 def ili(spark: SparkSession, folder: str) -> DataFrame:
     """Surveillance table ``region, year, week, ilitotal, total_patients``."""
     return (
-        visits(spark, folder)
+        weekly_visits(spark, folder)
         .groupBy("region", "year", "week")
         .agg(
-            F.count_if(F.col("l_returnflag") == "R").alias("ilitotal"),
-            F.count(F.lit(1)).alias("total_patients"),
+            F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("n"))), F.lit(0)).alias("ilitotal"),
+            F.sum("n").alias("total_patients"),
         )
         .withColumn("region", F.concat(F.lit("Region "), F.col("region").cast("string")))
     )
@@ -93,10 +134,9 @@ def series(spark: SparkSession, folder: str) -> DataFrame:
 def trajectories(spark: SparkSession, folder: str) -> DataFrame:
     """Replicates ``region, year, seed, t, I, R, wait``: weekly visits of a fifth of the providers."""
     weekly = (
-        visits(spark, folder)
-        .withColumn("seed", (F.col("l_suppkey") % 5 + 1).cast("int"))
+        weekly_visits(spark, folder)
         .groupBy("region", "year", "seed", "week")
-        .agg(F.count(F.lit(1)).cast("double").alias("I"))
+        .agg(F.sum("n").cast("double").alias("I"))
     )
     placed = F.expr("row_number() OVER (PARTITION BY region, year, seed ORDER BY week)")
     removed = F.expr(
