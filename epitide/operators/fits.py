@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epitide.functions.model import MINUS_INF, at_grid_end, count_term, log_grid, new_case_rate, safe_ln
-from epitide.operators.series import last_row, mark_prefix_points, state_fold
+from epitide.operators.series import last_row, mark_prefix_points, prefix_rows, state_fold
 from epitide.operators.spread import spread_rows
 
 #: points of the grid of population sizes
@@ -92,7 +92,7 @@ def _running_fit_sums(pairs: DataFrame, keys: Sequence[str], order: Sequence[str
     )
 
 
-def _profile(rows: DataFrame, sum_ln_w: Column, size: Column) -> tuple[Column, Column]:
+def _profile(sum_ln_w: Column, size: Column) -> tuple[Column, Column]:
     """(beta, llh) at a population size from the running sums."""
     shrunk = F.col("_i") - F.col("_ic") / size
     beta = F.try_divide(F.col("_x"), shrunk)
@@ -119,7 +119,7 @@ def profile_fit_sir(
     ``Nmax``; a prefix uses those above its own largest ``C``. Log likelihoods are compared
     to 8 digits and the smaller size wins among equals. A prefix without a finite optimum
     (new cases although nobody is infected), or without any grid point above its cases,
-    has NULL estimates.
+    has NULL estimates. :func:`refine_fit` searches on between the grid points.
     """
     pairs = _running_fit_sums(fit_pairs(series, keys, order, gamma, samples), keys, order)
     whole = Window.partitionBy(*keys)
@@ -131,7 +131,7 @@ def profile_fit_sir(
     )
     upto = Window.partitionBy(*keys, "N").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = gridded.withColumn("_w", F.sum(_ln_w(F.col("N"))).over(upto)).where("is_point")
-    beta, llh = _profile(summed, F.col("_w"), F.col("N"))
+    beta, llh = _profile(F.col("_w"), F.col("N"))
     usable = (F.col("N") > F.col("_cmax")) & (F.col("_spoiled") == 0)
     scored = summed.select(
         *keys, "t", "m", "N", "_high", usable.alias("_ok"), beta.alias("beta"), llh.alias("llh")
@@ -161,6 +161,57 @@ def _estimates(fitted: DataFrame, keys: Sequence[str], gamma: float) -> DataFram
     )
 
 
+def refine_fit(
+    estimates: DataFrame,
+    series: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    gamma: float,
+    points: int = SIZE_POINTS,
+    fine_points: int = 21,
+) -> DataFrame:
+    """Search again between the grid neighbours of each estimate of :func:`profile_fit_sir`.
+
+    ``points`` is the number of points that gave ``estimates``; the result can be refined
+    once more by passing the number of points that a grid of its resolution would have.
+    Each prefix has a fine grid of its own, so the logarithms are summed per prefix; the
+    pairs of a prefix are bounded by the calendar length of its series. Estimates that are
+    NULL stay so.
+    """
+    whole = Window.partitionBy(*keys)
+    low = F.min(F.when(F.col("t") == 1, F.col("I") + F.col("R"))).over(whole) + 1
+    sums = ["_x", "_i", "_ic", "_xlni", "_cmax", "_high"]
+    rows = (
+        _running_fit_sums(fit_pairs(series, keys, order, gamma, 1), keys, order)
+        .withColumns({"_first": low, "_high": F.max("Nmax").over(whole)})
+        .withColumn("_ratio", F.pow(F.col("_high") / F.col("_first"), F.lit(1.0 / max(points - 1, 1))))
+    )
+    coarse = estimates.where(F.col("N").isNotNull()).select(*keys, "t", "N", "m", "is_ub_binding", "is_lb_binding")
+    flags = ["m", "is_ub_binding", "is_lb_binding"]
+    framed = coarse.join(rows.select(*keys, "t", *sums, "_ratio"), [*keys, "t"]).select(
+        *keys, "t", *flags, *sums, F.col("N").alias("_coarse"),
+        F.greatest(F.col("N") / F.col("_ratio"), F.col("_cmax")).alias("_from"),
+        F.least(F.col("N") * F.col("_ratio"), F.col("_high")).alias("_to"),
+    )
+    pairs = rows.where(F.col("C0").isNotNull()).select(*keys, F.col("t").alias("step"), "X", "C0")
+    tried = F.concat(log_grid(F.col("_from"), F.col("_to"), fine_points), F.array("_coarse"))
+    gridded = prefix_rows(framed, pairs, keys).withColumn("N", F.explode(F.array_distinct(tried))).where(F.col("N") > F.col("_cmax"))
+    summed = gridded.groupBy(*keys, "t", "N").agg(
+        F.sum(_ln_w(F.col("N"))).alias("_w"), *[F.max(c).alias(c) for c in (*sums, *flags)]
+    )
+    beta, llh = _profile(F.col("_w"), F.col("N"))
+    scored = summed.select(*keys, "t", *flags, "N", beta.alias("beta"), llh.alias("llh"))
+    best = scored.groupBy(*keys, "t").agg(
+        F.max(F.struct(F.rint(F.col("llh") * 1e8).alias("rank"), (-F.col("N")).alias("minus_n"), "beta", "llh")).alias("_best"),
+        *[F.max(c).alias(c) for c in flags],
+    )
+    refined = best.select(
+        *keys, "t", (-F.col("_best.minus_n")).alias("N"), "_best.beta", F.lit(gamma).alias("gamma"),
+        F.lit(0.0).alias("a"), "_best.llh", *flags,
+    )
+    return refined.unionByName(estimates.where(F.col("N").isNull()))
+
+
 def fit_known_size(
     series: DataFrame,
     sizes: DataFrame,
@@ -174,7 +225,7 @@ def fit_known_size(
     pairs = _running_fit_sums(fit_pairs(known, keys, order, gamma, samples), keys, order)
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = pairs.withColumn("_w", F.sum(_ln_w(F.col("N"))).over(upto)).where("is_point")
-    beta, llh = _profile(summed, F.col("_w"), F.col("N"))
+    beta, llh = _profile(F.col("_w"), F.col("N"))
     usable = (F.col("N") > F.col("_cmax")) & (F.col("_spoiled") == 0)
     return summed.select(
         *keys,

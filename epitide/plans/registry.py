@@ -654,6 +654,12 @@ def profile_fit_sir(spark, d):
     return rounded(v.estimates(spark, d), "N", "beta", "llh", digits=4)
 
 
+@joined_query
+def profile_fit_sir_refined(spark, d):
+    got = fits.refine_fit(v.estimates(spark, d), v.series(spark, d), KEYS, ORDER, GAMMA)
+    return rounded(got, "N", "beta", "llh", digits=4)
+
+
 @joined_query
 def fit_known_N(spark, d):
     series = v.series(spark, d)

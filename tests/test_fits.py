@@ -105,6 +105,20 @@ def test_known_parameters_are_recovered(spark):
     assert not got.is_ub_binding and not got.is_lb_binding
 
 
+def test_refinement_comes_closer(spark):
+    s = series(spark, COUNTS)
+    coarse = {r.t: r for r in fits.profile_fit_sir(s, KEYS, ORDER, 0.24, points=40).collect()}
+    df = fits.refine_fit(fits.profile_fit_sir(s, KEYS, ORDER, 0.24, points=40), s, KEYS, ORDER, 0.24, 40, 15)
+    fine = {r.t: r for r in df.collect()}
+    assert fine.keys() == coarse.keys()
+    ratio = (1000.0 / 4) ** (1 / 39)
+    for t, r in fine.items():
+        assert r.llh >= coarse[t].llh - 1e-8
+        assert coarse[t].N / ratio - 1e-6 <= r.N <= coarse[t].N * ratio + 1e-6
+    dense = brute_sir(COUNTS, 1000.0, 0.24, len(COUNTS), 4001)
+    assert fine[len(COUNTS)].N == pytest.approx(dense[0], rel=0.03)
+
+
 def test_bass_equals_brute_force(spark):
     counts, gamma = [2.0, 0, 5, 9, 4, 0, 1], 0.1
     got = fits.profile_fit_bass(series(spark, counts, 500.0), KEYS, ORDER, gamma, 15, 6).first()
