@@ -22,7 +22,7 @@ _MEANS = """SELECT region, year, t, round(avg(peak_t), {d}) AS peak_t, round(avg
             FROM stitched_peaks GROUP BY region, year, t"""
 
 _ASKED = """
-    SELECT DISTINCT CASE WHEN y > 1996 THEN y - 1960 ELSE y END AS id
+    SELECT DISTINCT CAST(CASE WHEN y > 1996 THEN y - 1960 ELSE y END AS INTEGER) AS id
     FROM (SELECT year(o_orderdate) + {shift} AS y FROM orders UNION ALL SELECT year - 1959 + {shift} FROM ili)"""
 _SEASON_IDS = """
     WITH asked AS (""" + _ASKED + """),
@@ -321,9 +321,9 @@ SQL = {
                    row_number() OVER (PARTITION BY id
                        ORDER BY round(xln + sx * ln(sx / mw) - sx, 8) DESC, size, rho) AS pick
             FROM tried)
-        SELECT id, n AS t, round(size, 4) AS "N", round(sx / mw * rho, 4) AS a,
+        SELECT id, CAST(n AS INTEGER) AS t, round(size, 4) AS "N", round(sx / mw * rho, 4) AS a,
                round(sx / mw * (1 - rho) / mean_i, 4) AS beta, 0.0::DOUBLE AS gamma, round(llh, 4) AS llh,
-               total AS m, size >= high - 1e-6 AS is_ub_binding, size <= low + 1e-6 AS is_lb_binding
+               CAST(total AS BIGINT) AS m, size >= high - 1e-6 AS is_ub_binding, size <= low + 1e-6 AS is_lb_binding
         FROM ranked WHERE pick = 1""",
     "interarrival_llh": """
         SELECT user_id, k, round(CASE WHEN lam > 0 THEN ln(lam) - lam * next_wait ELSE '-inf'::DOUBLE END, 6) AS llh
@@ -367,7 +367,7 @@ SQL = {
         WHERE NOT EXISTS (SELECT 1 FROM trajectories AS b WHERE b.region = a.region AND b.year = a.year
                           AND b.seed = a.seed AND b.t <= a.t AND b."I" <= 1)""",
     "index_steps": """
-        SELECT region, year, seed, week, CAST("I" AS BIGINT) AS "I", t
+        SELECT region, year, seed, week, CAST("I" AS BIGINT) AS "I", CAST(t AS INTEGER) AS t
         FROM (SELECT *, row_number() OVER (PARTITION BY region, year, seed ORDER BY week) AS t
               FROM (SELECT region, year, CAST(l_suppkey % 5 + 1 AS INTEGER) AS seed, week, count(*) AS "I"
                     FROM visits GROUP BY ALL))""",

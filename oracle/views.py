@@ -33,7 +33,7 @@ VIEWS = {
     # positions, state for gamma >= 1 (I = dS), running totals, counts of the row before
     "placed": """
         SELECT region, year, week, yw, "dS", "Nmax",
-               row_number() OVER s AS t, count(*) OVER (PARTITION BY region, year) AS n,
+               CAST(row_number() OVER s AS INTEGER) AS t, count(*) OVER (PARTITION BY region, year) AS n,
                sum("dS") OVER s AS m,
                sum("dS") OVER (PARTITION BY region, year) AS total
         FROM series WINDOW s AS (PARTITION BY region, year ORDER BY yw)""",
@@ -91,7 +91,7 @@ VIEWS = {
             SELECT *, row_number() OVER (PARTITION BY region, year ORDER BY "dS" DESC, week, yw) AS pick FROM series)
         WHERE pick = 1""",
     "trajectories": """
-        SELECT region, year, seed, row_number() OVER s AS t, "I",
+        SELECT region, year, seed, CAST(row_number() OVER s AS INTEGER) AS t, "I",
                coalesce(sum("I") OVER (PARTITION BY region, year, seed ORDER BY week
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "R",
                1.0::DOUBLE AS wait
@@ -100,7 +100,7 @@ VIEWS = {
         WINDOW s AS (PARTITION BY region, year, seed ORDER BY week)""",
     "continuations": """
         SELECT e.region, e.year, e.t, j.seed,
-               row_number() OVER (PARTITION BY e.region, e.year, e.t, j.seed ORDER BY j.t) AS step, j."I", j."R", j.wait
+               CAST(row_number() OVER (PARTITION BY e.region, e.year, e.t, j.seed ORDER BY j.t) AS INTEGER) AS step, j."I", j."R", j.wait
         FROM prefixes AS e JOIN trajectories AS j ON j.region = e.region AND j.year = e.year AND j.t > e.t""",
     "stitched": """
         SELECT o.region, o.year, e.t, CAST(s.seed AS INTEGER) AS seed, o.step, CAST(o.step AS DOUBLE) AS clock, o."I"
@@ -146,7 +146,7 @@ VIEWS = {
                coalesce(min(pos) FILTER (WHERE m > m_star_50), 1) AS m_star_50_t,
                coalesce(min(pos) FILTER (WHERE m > m_peak / 4), 1) AS m_peak_t,
                min(pos) FILTER (WHERE "dS" = top) AS peak_t
-        FROM (SELECT *, row_number() OVER s AS pos, sum("dS") OVER s - m_leftover AS m,
+        FROM (SELECT *, CAST(row_number() OVER s AS INTEGER) AS pos, sum("dS") OVER s - m_leftover AS m,
                      max("dS") OVER (PARTITION BY region, year) AS top
               FROM season_data WINDOW s AS (PARTITION BY region, year ORDER BY week, yw))
         GROUP BY region, year""",
@@ -155,12 +155,12 @@ VIEWS = {
                coalesce(min(pos) FILTER (WHERE m - least > "Ntrue" / 4), 1) AS const_frac_t,
                coalesce(min(pos) FILTER (WHERE m - least > m_star), 1) AS mstar_t
         FROM (SELECT *, min(m) OVER (PARTITION BY region, year) AS least
-              FROM (SELECT *, row_number() OVER s AS pos, sum("dS") OVER s AS m
+              FROM (SELECT *, CAST(row_number() OVER s AS INTEGER) AS pos, sum("dS") OVER s AS m
                     FROM results JOIN peaks USING (region, year) JOIN series USING (region, year)
                     WINDOW s AS (PARTITION BY region, year ORDER BY week, yw)))
         GROUP BY region, year, peak_t""",
     "states": """
-        SELECT user_id, k, 1.0 + k - removed AS "I", CAST(removed AS DOUBLE) AS "R",
+        SELECT user_id, k, CAST(1 + k - removed AS DOUBLE) AS "I", CAST(removed AS DOUBLE) AS "R",
                CAST(secs - lag(secs) OVER (PARTITION BY user_id ORDER BY k) AS DOUBLE) AS wait
         FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS secs, row_number() OVER s AS k,
                      sum(CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END) OVER s AS removed
