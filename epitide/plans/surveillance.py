@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from epitide.operators import ensemble as en
 from epitide.operators import fits, reports
@@ -37,9 +38,7 @@ def fit_seasons(ili: DataFrame, gamma: float = GAMMA, samples: int = 100) -> Sea
 def peak_reports(fitted: SeasonFits, continuations: DataFrame, seeds: int, gamma: float = GAMMA) -> DataFrame:
     """Predicted and actual peaks for both kinds of estimates."""
     seen = en.observed_states(fitted.series, KEYS, ORDER, gamma)
-    from pyspark.sql import functions as F
-
-    shared = [c for c in fitted.estimates_true_size.columns]
+    shared = fitted.estimates_true_size.columns
     both = [
         en.peak_report(e.select(*shared), seen, continuations, KEYS, seeds).withColumn("type", F.lit(name))
         for name, e in (("estimates", fitted.estimates), ("estimates_true_N", fitted.estimates_true_size))

@@ -1,4 +1,4 @@
-"""The check of every registered query as DuckDB SQL over the views of ``oracle.views``."""
+"""The check of every registered query as DuckDB SQL over the views of ``sqlcheck.views``."""
 
 _FOLD = """
     SELECT region, year, yw, week, "dS", round("I", 6) AS "I",
