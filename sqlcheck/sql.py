@@ -142,9 +142,9 @@ SQL = {
         SELECT region, year, t, round("N", 4) AS "N", round(beta, 4) AS beta, gamma, a, round(llh, 4) AS llh, m,
                is_ub_binding, is_lb_binding FROM final""",
     "first_crossing": """
-        SELECT region, year, seed, coalesce(min(t) FILTER (WHERE "I" + "R" > m_star), 1) AS m_star_t,
+        SELECT region, year, seed, CASE WHEN count(m_star) > 0 THEN coalesce(min(t) FILTER (WHERE "I" + "R" > m_star), 1) END AS m_star_t,
                min(t) FILTER (WHERE "I" > "Ntrue" / 50) AS high_t,
-               coalesce(min(t) FILTER (WHERE "I" > "Ntrue" / 50), 52) AS high_or_52_t
+               CASE WHEN count("Ntrue") > 0 THEN coalesce(min(t) FILTER (WHERE "I" > "Ntrue" / 50), 52) END AS high_or_52_t
         FROM trajectories JOIN results USING (region, year) GROUP BY region, year, seed""",
     "crossing_report": "SELECT region, year, m_star_t, m_star_50_t, m_peak_t, peak_t FROM crossings",
     "quarter_crossing": "SELECT region, year, peak_t, const_frac_t, mstar_t FROM quarters",

@@ -120,8 +120,8 @@ VIEWS = {
         WHERE pick = 1""",
     "summary": """
         SELECT region, year, "Ntrue", m_star, m_star_50, seed,
-               coalesce(min(t) FILTER (WHERE "I" + "R" > m_star), 1) AS m_star_t,
-               coalesce(min(t) FILTER (WHERE "I" + "R" > m_star_50), 1) AS m_star_50_t,
+               CASE WHEN count(m_star) > 0 THEN coalesce(min(t) FILTER (WHERE "I" + "R" > m_star), 1) END AS m_star_t,
+               CASE WHEN count(m_star_50) > 0 THEN coalesce(min(t) FILTER (WHERE "I" + "R" > m_star_50), 1) END AS m_star_50_t,
                min(t) FILTER (WHERE "I" = top) AS m_peak_t,
                min("I" + "R") FILTER (WHERE "I" = top) AS m_peak,
                sum("I") AS m_tot
@@ -142,9 +142,9 @@ VIEWS = {
         WHERE s.year > 1996""",
     "crossings": """
         SELECT region, year,
-               coalesce(min(pos) FILTER (WHERE m > m_star), 1) AS m_star_t,
-               coalesce(min(pos) FILTER (WHERE m > m_star_50), 1) AS m_star_50_t,
-               coalesce(min(pos) FILTER (WHERE m > m_peak / 4), 1) AS m_peak_t,
+               CASE WHEN count(m_star) > 0 THEN coalesce(min(pos) FILTER (WHERE m > m_star), 1) END AS m_star_t,
+               CASE WHEN count(m_star_50) > 0 THEN coalesce(min(pos) FILTER (WHERE m > m_star_50), 1) END AS m_star_50_t,
+               CASE WHEN count(m_peak) > 0 THEN coalesce(min(pos) FILTER (WHERE m > m_peak / 4), 1) END AS m_peak_t,
                min(pos) FILTER (WHERE "dS" = top) AS peak_t
         FROM (SELECT *, CAST(row_number() OVER s AS INTEGER) AS pos, sum("dS") OVER s - m_leftover AS m,
                      max("dS") OVER (PARTITION BY region, year) AS top
@@ -152,8 +152,8 @@ VIEWS = {
         GROUP BY region, year""",
     "quarters": """
         SELECT region, year, peak_t,
-               coalesce(min(pos) FILTER (WHERE m - least > "Ntrue" / 4), 1) AS const_frac_t,
-               coalesce(min(pos) FILTER (WHERE m - least > m_star), 1) AS mstar_t
+               CASE WHEN count("Ntrue") > 0 THEN coalesce(min(pos) FILTER (WHERE m - least > "Ntrue" / 4), 1) END AS const_frac_t,
+               CASE WHEN count(m_star) > 0 THEN coalesce(min(pos) FILTER (WHERE m - least > m_star), 1) END AS mstar_t
         FROM (SELECT *, min(m) OVER (PARTITION BY region, year) AS least
               FROM (SELECT *, CAST(row_number() OVER s AS INTEGER) AS pos, sum("dS") OVER s AS m
                     FROM results JOIN peaks USING (region, year) JOIN series USING (region, year)
