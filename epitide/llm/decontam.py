@@ -67,8 +67,10 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: s
     First every text is cut into blocks of half a window, laid end to end; a window always holds a
     whole block, so a text whose blocks are all absent from the items has no hit. The blocks of
     half the shortest window are looked up in the set of all word sequences of that length
-    in the items. The texts that remain are looked up window by window; the sets hold the
-    word sequences themselves, so a match of hashes is verified on the words.
+    in the items. The texts that remain are looked up window by window, copies once; the sets hold
+    the word sequences themselves, so a match of hashes is verified on the words. Sets and the keys
+    of the remaining texts are broadcast if their measured bytes are within ``most`` (a quarter of
+    it for the keys), and joined by a shuffle otherwise; the result is the same.
     """
     tests = cut(test_windows(benchmark, window, item_text, item_id), "windows")
     sizes = sorted(r[0] for r in tests.select("n").distinct().collect())
@@ -85,7 +87,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: s
         lines.select("key", "n_words", F.explode_outer(blocks(F.col("line"), block)).alias("gram"))
         .join(parts, "gram", "left")
         .groupBy("key").agg(F.max("n_words").cast("long").alias("n_words"), F.max("found").alias("found")), "seen")
-    suspects = (texts.join(seen.where("found = 1").select("key"), "key", "left_semi")
+    suspects = (texts.join(bounded(seen.where("found = 1").select("key"), "key", most // 4), "key", "left_semi")
                 .groupBy("key").agg(F.first("t").alias("t")).select("key", F.split(normal(F.col("t")), " ").alias("w")))
     laid = F.concat(*[placed("w", n) for n in sizes])
     hits = (suspects.select("key", F.explode(laid).alias("x")).select("key", "x.start", "x.n", "x.gram")

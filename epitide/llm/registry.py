@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, decontam, secrets, shards, simhash
+from epitide.llm import bpe, decontam, secrets, shards, simhash, toxicity
 from epitide.llm.common import table
 from epitide.llm.sql import SQL  # noqa: F401
 
@@ -28,6 +28,14 @@ def op1_histogram_sort(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op4_secret_scan(spark, sf_dir):
     out = secrets.secret_spans(table(spark, sf_dir, "documents"))
