@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epitide.llm import bpe, decontam, secrets, simhash, toxicity
+from epitide.llm import bpe, decontam, secret_scan, simhash, toxicity
 from epitide.llm.common import table
 from epitide.session import cut
 
@@ -32,7 +32,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are masked; every document stays."""
-    return secrets.redact(docs)
+    return secret_scan.redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, decontam, secrets, shards, simhash, toxicity
+from epitide.llm import bpe, decontam, pages, secret_scan, shards, simhash, toxicity
 from epitide.llm.common import table
 from epitide.llm.sql import SQL  # noqa: F401
 
@@ -38,10 +38,16 @@ def op3_toxicity(spark, sf_dir):
 
 @query
 def op4_secret_scan(spark, sf_dir):
-    out = secrets.secret_spans(table(spark, sf_dir, "documents"))
-    kinds = [secrets.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return out.select("doc_id", *kinds, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
-                      secrets.joined(F.col("spans")).alias("spans"))
+    out = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    kinds = [secret_scan.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *kinds, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+                      secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op5_style_tree(spark, sf_dir):
+    out = pages.main_text(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 @query
