@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, decontam, pages, secret_scan, shards, simhash, toxicity
+from epitide.llm import bpe, caps, decontam, pages, secret_scan, shards, simhash, toxicity
 from epitide.llm.common import table
 from epitide.llm.sql import SQL  # noqa: F401
 
@@ -55,6 +55,11 @@ def op6_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+@query
+def op7_spherical_caps(spark, sf_dir):
+    return caps.embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query
 def op8_decontamination(spark, sf_dir):
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
