@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, caps, decontam, pages, secret_scan, shards, simhash, toxicity
+from epitide.llm import bpe, caps, decontam, pages, repeats, secret_scan, shards, simhash, toxicity
 from epitide.llm.common import table
 from epitide.llm.sql import SQL  # noqa: F401
 
@@ -72,3 +72,10 @@ def op9_bpe(spark, sf_dir):
     out = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query
+def op10_fm_index(spark, sf_dir):
+    out = repeats.repeated_passages(table(spark, sf_dir, "documents"), window=50)
+    kept = F.when(F.col("kept").isNull(), F.col("whole_sha256")).otherwise(F.sha2("kept", 256))
+    return out.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
