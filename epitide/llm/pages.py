@@ -9,9 +9,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.decontam import bounded
 from epitide.session import cut
 
+#: The lists of unimportant nodes are broadcast only if they have no more bytes than this.
+BROADCAST_BYTES = 16 << 20
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr br img".split())
@@ -28,7 +30,10 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: An open element of these is never closed by what starts inside it.
 SCOPE = frozenset("html body article main section div ul ol dl table blockquote nav aside footer header form".split())
 
-BLOCK = "array<struct<text:string,feature:bigint,fresh:boolean,node:bigint,first:boolean,style:bigint,prior:double>>"
+#: Weights of presentation and content in the importance of a node, and the least importance that stays.
+SHOWN, SAID, KEEP_FROM = 0.55, 0.45, 0.5
+BLOCK = "array<struct<text:string,node:bigint,prior:double>>"
+COUNTED = "array<struct<feature:bigint,fresh:boolean,node:bigint,first:boolean,style:bigint,prior:double>>"
 
 
 class Page(HTMLParser):
@@ -110,10 +115,18 @@ def signed(text: str) -> int:
 
 
 def page_blocks(html: str | None) -> list[dict]:
+    """Text, style node and prior of each block."""
+    page = Page(html or "")
+    return [{"text": text, "node": signed(path), "prior": page.prior[path]} for text, path in page.blocks]
+
+
+def page_counts(html: str | None) -> list[dict]:
+    """What the style tree counts of each block: the text as a number, new on the page or not, and the style
+    (child elements) of its node, at the node's first block."""
     page = Page(html or "")
     texts, nodes, out = set(), set(), []
     for text, path in page.blocks:
-        out.append({"text": text, "feature": signed(text), "fresh": (path, text) not in texts, "node": signed(path),
+        out.append({"feature": signed(text), "fresh": (path, text) not in texts, "node": signed(path),
                     "first": path not in nodes, "style": signed(" ".join(page.children.get(path, ()))),
                     "prior": page.prior[path]})
         texts.add((path, text))
@@ -121,14 +134,15 @@ def page_blocks(html: str | None) -> list[dict]:
     return out
 
 
-def parsed_blocks(html: Column) -> Column:
-    """Blocks of a page as an array column."""
+def parsed(html: Column, kind: str, read) -> Column:
+    """``read`` of each page, an array column of type ``kind``."""
+    fields = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    names = [f.split(":") for f in kind.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    arrow = pa.list_(pa.struct([(n, fields[t]) for n, t in names]))
 
-    @F.arrow_udf(BLOCK)
+    @F.arrow_udf(kind)
     def parse(pages: pa.Array) -> pa.Array:
-        block = pa.struct([("text", pa.string()), ("feature", pa.int64()), ("fresh", pa.bool_()), ("node", pa.int64()),
-                           ("first", pa.bool_()), ("style", pa.int64()), ("prior", pa.float64())])
-        return pa.array([page_blocks(p.as_py()) for p in pages], pa.list_(block))
+        return pa.array([read(p.as_py()) for p in pages], arrow)
 
     return parse(html)
 
@@ -139,7 +153,7 @@ def host(url: Column) -> Column:
 
 
 def style_tree(blocks: DataFrame) -> DataFrame:
-    """host, node, importance: the pages of each host merged into one tree of style nodes.
+    """host, node, prior, importance: the pages of each host merged into one tree of style nodes.
 
     A node is a path of element names with their first class; of a branch, the nodes that hold text
     decide. Its content importance is 1 minus the mean entropy, over the m pages that have the node,
@@ -159,31 +173,35 @@ def style_tree(blocks: DataFrame) -> DataFrame:
     styled = F.when(F.col("pages") > 1, 1 - F.col("style_sum") / F.col("pages") / spread).otherwise(0.5)
     shown = F.when(F.col("prior") == 0.5, 0.25 + 0.5 * styled).otherwise(F.col("prior"))
     return features.join(styles, ["host", "node"]).select(
-        "host", "node", (0.55 * shown + 0.45 * content).alias("importance"))
+        "host", "node", "prior", (SHOWN * shown + SAID * content).alias("importance"))
 
 
-def main_text(pages: DataFrame, keep_from: float = 0.5, html: str = "html", url: str = "url",
-              page_id: str = "page_id") -> DataFrame:
-    """page_id, url, text of every page: what is left when branches below ``keep_from`` are removed.
+def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """page_id, url, text of every page: what is left when branches of low importance are removed.
 
-    A branch that its names call a menu, footer, advert and so on stays below 0.5, one inside an article
-    or main element above it; for all others the entropies of the host's pages decide. Blocks are
-    joined in page order by an empty line, white space inside a block is one space.
+    A branch that its names call a menu, footer, advert and so on is always below KEEP_FROM, one
+    inside an article or main element always above it; for all others the entropies of the
+    host's pages decide. Blocks are joined in page order by an empty line, white space inside a
+    block is one space.
 
     NULL and empty pages have an empty text, pages without a host share one tree. Repeated rows
-    and NULL ids stay as they are, an empty table gives an empty one, other columns are not
-    read. Pages are parsed once; the parsed blocks are a written table.
+    and NULL ids stay as they are, an empty table gives an empty one, other columns are not read.
+
+    Pages are parsed once for the counts and once for the text, so no text is moved or written on
+    the way: only numbers of blocks are aggregated, and each page gets the list of its host's
+    unimportant nodes, of those whose names do not decide. The lists are broadcast if their
+    measured bytes allow it and joined by host otherwise.
     """
+    blocks = cut(pages.select(host(F.col(url)).alias("host"), F.explode(parsed(F.col(html), COUNTED, page_counts)).alias("b"))
+                 .select("host", "b.*"), "blocks")
+    low = (style_tree(blocks).where((F.col("importance") < KEEP_FROM) & (F.col("prior") == 0.5))
+           .groupBy("host").agg(F.collect_set("node").alias("low")))
+    low = cut(low.select("host", "low", F.size("low").alias("nodes")), "low")
+    size = low.agg(F.coalesce(F.sum(F.col("nodes") * 8 + 64), F.lit(0))).first()[0]
+    low = low.select(F.col("host").alias("_host"), "low")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host(F.col(url)).alias("host"),
-                        F.monotonically_increasing_id().alias("row"), parsed_blocks(F.col(html)).alias("b"))
-    parsed = cut(rows.select("page_id", "url", "host", "row", F.posexplode_outer("b").alias("seq", "b"))
-                 .select("page_id", "url", "host", "row", "seq", "b.*"), "blocks")
-    low = cut(style_tree(parsed).where(F.col("importance") < keep_from).select("host", "node"), "low")
-    low = bounded(low, "host", 16 << 20)
-    dropped = (parsed.select("host", "row", "seq", "node").join(low, ["host", "node"])
-               .groupBy("row").agg(F.collect_set("seq").alias("dropped")))
-    kept = F.col("text").isNotNull() & ~F.coalesce(F.array_contains("dropped", F.col("seq")), F.lit(False))
-    return (parsed.select("page_id", "url", "row", "seq", "text").join(dropped, "row", "left")
-            .groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"),
-                                F.sort_array(F.collect_list(F.when(kept, F.struct("seq", "text")))).alias("b"))
-            .select("page_id", "url", F.array_join(F.col("b.text"), "\n\n").alias("text")))
+                        parsed(F.col(html), BLOCK, page_blocks).alias("b"))
+    rows = rows.join(F.broadcast(low) if size <= BROADCAST_BYTES else low, F.col("host") == F.col("_host"), "left")
+    known = F.when(F.col("low").isNull(), F.array().cast("array<bigint>")).otherwise(F.col("low"))
+    stay = F.filter("b", lambda x: (x["prior"] == 1) | ((x["prior"] == 0.5) & ~F.array_contains(known, x["node"])))
+    return rows.select("page_id", "url", F.array_join(F.transform(stay, lambda x: x["text"]), "\n\n").alias("text"))

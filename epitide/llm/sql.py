@@ -1,3 +1,126 @@
-"""DuckDB SQL for the registered queries, where SQL can express them on whole tables."""
+"""DuckDB SQL for the registered queries, where SQL can express them on whole tables.
 
-SQL: dict[str, str] = {}
+The other queries are tested against brute force, the tokenizers library or held-out accuracy.
+"""
+
+from __future__ import annotations
+
+from epitide.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, ASSIGNED_AT_LEAST, CLASSES, HEX, KINDS
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def spans(kind: str, pattern: str, group: int = 0, at_least: int = 1) -> str:
+    """Rows (doc_id, k, start, stop, s) of the leftmost matches of a pattern in every text."""
+    p = quoted(pattern)
+    return f"""
+  SELECT doc_id, row_id, {quoted(kind)} AS kind, start, start + length(s) AS stop, s FROM (
+    SELECT doc_id, row_id, s, v,
+           sum(length(gap)) OVER w + coalesce(sum(length(s)) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT doc_id, row_id, unnest(range(len(found))) AS i, unnest(found) AS s, unnest(vals) AS v,
+                 unnest(pieces[1:len(found)]) AS gap
+          FROM (SELECT doc_id, row_id, regexp_extract_all(t, {p}, 0) AS found, regexp_extract_all(t, {p}, {group}) AS vals,
+                       string_split_regex(t, {p}) AS pieces FROM texts))
+    WINDOW w AS (PARTITION BY row_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+  WHERE length(v) >= {at_least}"""
+
+
+def secret_sql() -> str:
+    base = " UNION ALL ".join([spans("assign", ASSIGN, 2, ASSIGNED_AT_LEAST), spans("access", ACCESS), spans("hex", HEX)])
+    allowed = " AND ".join(f"NOT regexp_matches(s, {quoted(p)})" for p in ALLOWED)
+    hot = []
+    for c in CLASSES:
+        hot.append(f"""
+  SELECT doc_id, row_id, start, stop, '{c.name}' AS class, {c.window} AS w, pos FROM (
+    SELECT doc_id, row_id, start, stop, pos, ch, count(*) AS n FROM (
+      SELECT doc_id, row_id, start, stop, pos, substr(s, pos + unnest(range(1, {c.window} + 1)), 1) AS ch FROM (
+        SELECT doc_id, row_id, start, stop, s, unnest(range(length(s) - {c.window} + 1)) AS pos
+        FROM ({spans("entropy", c.run)}) WHERE {allowed}))
+    GROUP BY ALL)
+  GROUP BY doc_id, row_id, start, stop, pos HAVING sum(CAST(round(n * log2(n) * 1000000) AS BIGINT)) <= {c.most}""")
+    kinds = "[" + ", ".join(quoted(k) for k in KINDS) + "]"
+    total = "list_transform(list_sort(list({'start': start, 'rank': list_position(" + kinds + ", kind), 'stop': stop})), " \
+            "lambda x: concat_ws(':', " + kinds + "[x.rank], x.start, x.stop))"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t FROM documents),
+base AS ({base}),
+hot AS ({" UNION ALL ".join(hot)}),
+islands AS (
+  SELECT doc_id, row_id, start + min(pos) AS start, start + max(pos) + max(w) AS stop FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY row_id, start, class ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM (
+      SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY row_id, start, class ORDER BY pos) <= w THEN 0 ELSE 1 END AS fresh FROM hot))
+  GROUP BY doc_id, row_id, start, class, island),
+more AS (
+  SELECT DISTINCT doc_id, row_id, 'entropy' AS kind, start, stop FROM islands i
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = i.row_id AND b.start < i.stop AND i.start < b.stop)),
+b AS (SELECT row_id, {counts}, array_to_string({total}, ',') AS spans FROM base GROUP BY row_id),
+a AS (SELECT row_id, array_to_string({total}, ',') AS spans
+      FROM (SELECT row_id, kind, start, stop FROM base UNION ALL SELECT row_id, kind, start, stop FROM more) GROUP BY row_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+FROM texts t LEFT JOIN b USING (row_id) LEFT JOIN a USING (row_id)"""
+
+
+CONTAMINATION = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+tests AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i + 1:i + n], ' ') AS gram FROM (
+    SELECT item_id, w, least(10, len(w)) AS n, unnest(range(len(w) - least(10, len(w)) + 1)) AS i FROM items WHERE len(w) > 0)),
+windows AS (
+  SELECT row_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS gram FROM (
+    SELECT row_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM tests) WHERE len(w) >= n)),
+hits AS (SELECT row_id, windows.n, i, item_id FROM windows JOIN tests USING (gram)),
+words AS (
+  SELECT row_id, count(DISTINCT pos) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY row_id),
+named AS (SELECT row_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(CAST(len(ids) AS BIGINT), 0) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row_id) LEFT JOIN named USING (row_id)"""
+
+REPEATS = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT row_id, doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS gram FROM (
+    SELECT row_id, doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+earliest AS (SELECT gram, min(doc_id) AS least FROM windows GROUP BY gram),
+gone AS (
+  SELECT DISTINCT row_id, unnest(range(i, i + 50)) AS pos FROM windows JOIN earliest USING (gram)
+  WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
+words AS (SELECT row_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+stay AS (
+  SELECT row_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n
+  FROM words ANTI JOIN gone USING (row_id, pos) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN stay USING (row_id)"""
+
+EMBEDDINGS = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding IS NOT NULL AND label IS NOT NULL AND coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))), 1) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE a.ok AND b.ok AND list_cosine_similarity(CASE WHEN a.ok AND b.ok THEN a.v ELSE [1.0] END, CASE WHEN a.ok AND b.ok THEN b.v ELSE [1.0] END) >= 0.93),
+reach(node, other) AS (SELECT vec_id, vec_id FROM e UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+groups AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN groups ON vec_id = node LEFT JOIN counts ON vec_id = a"""
+
+SQL: dict[str, str] = {
+    "op4_secret_scan": secret_sql(),
+    "op7_spherical_caps": EMBEDDINGS,
+    "op8_decontamination": CONTAMINATION,
+    "op10_fm_index": REPEATS,
+}
