@@ -20,10 +20,16 @@ GRAMS = (3, 4, 5)
 #: Bounds of the sample that the model is fitted on: documents of each class, and characters of one.
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
 ROUNDS, BATCH, RATE = 8, 256, 0.02
+#: A toxic text that scores less may be labelled wrongly.
+DOUBTED = 0.3
+#: Chances that the fit hides a word's own input, and its characters.
+HIDDEN = np.array([0.3, 0.0])
+#: A round takes at least so many steps, so that a small sample is gone through several times.
+STEPS = 24
 #: One window in so many is a word of a clean window repeated, so that junk does not look toxic.
 REPEATED = 8
 #: Documents and windows scored at a time.
-DOCS_AT_ONCE, WINDOWS_AT_ONCE, WORDS_AT_ONCE = 1000, 2048, 1 << 20
+DOCS_AT_ONCE, WINDOWS_AT_ONCE, WORDS_AT_ONCE, BYTES_AT_ONCE = 1000, 2048, 1 << 14, 1 << 23
 EDGES = ".,;:!?|\"'()[]{}<>*_~`"
 
 
@@ -63,13 +69,21 @@ def laid_out(ids: np.ndarray, first: np.ndarray, size: np.ndarray, pad: int) ->
 
 @dataclass
 class Features:
-    """Rows of the two input tables for each word: one of the word, one for each of its byte sequences."""
+    """Rows of the two input tables for each word: one of the word itself, and from ``starts`` on in ``gram``
+    one for each of its byte sequences."""
 
     word: np.ndarray
     gram: np.ndarray
-    owner: np.ndarray
+    starts: np.ndarray
     weight: np.ndarray
 
+    def subset(self, words: np.ndarray) -> Features:
+        """Features of some words, in the given order."""
+        size = np.diff(self.starts)[words]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        gram = self.gram[np.repeat(self.starts[words] - starts[:-1], size) + np.arange(starts[-1])]
+        return Features(self.word[words], gram, starts, self.weight[words])
+
 
 def features(words: pa.Array) -> Features:
     marked = pc.binary_join_element_wise("^", words, "$", "").cast(pa.large_binary())
@@ -77,30 +91,26 @@ def features(words: pa.Array) -> Features:
     data = np.frombuffer(marked.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64)
     offsets = offsets - offsets[0]
     length = np.diff(offsets)
-    owner = np.repeat(np.arange(len(words)), length)
     left = np.repeat(offsets[1:], length) - np.arange(len(data))
-    grams, owners = [], []
+    rows = np.zeros((len(data), len(GRAMS)), dtype=np.int32)
     rolling = np.zeros(len(data), dtype=np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        ahead = np.zeros(len(data), dtype=np.uint64)
-        if n <= len(data):
-            ahead[:len(data) - n + 1] = data[n - 1:]
-        rolling = rolling * np.uint64(0x100000001B3) + ahead + np.uint64(1)
+        rolling *= np.uint64(0x100000001B3)
+        rolling += np.uint64(1)
+        rolling[:max(len(data) - n + 1, 0)] += data[n - 1:]
         if n in GRAMS:
-            ok = left >= n
-            mixed = rolling[ok] * np.uint64(0x9E3779B97F4A7C15)
-            grams.append((mixed >> np.uint64(64 - 15)).astype(np.int32))
-            owners.append(owner[ok])
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], length)
+            rows[:, GRAMS.index(n)] = (rolling * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
+    fits = left[:, None] >= np.array(GRAMS)[None, :]
+    starts = np.concatenate([[0], np.cumsum(fits.sum(axis=1))])[offsets]
     powers = np.cumprod(np.full(int(length.max(initial=1)), 0x100000001B3, dtype=np.uint64))
     total = np.zeros(len(words), dtype=np.uint64)
     if len(words):
-        total = np.add.reduceat((data + np.uint64(1)) * powers[place], offsets[:-1])
+        data += np.uint64(1)
+        data *= powers[np.arange(len(data)) - np.repeat(offsets[:-1], length)]
+        total = np.add.reduceat(data, offsets[:-1])
     word = ((total * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)).astype(np.int32)
-    gram, owner = np.concatenate(grams), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    gram, owner = gram[order], owner[order]
-    return Features(word, gram, owner, 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(words)))))
+    weight = 1 / np.sqrt(np.maximum(1, np.diff(starts)))
+    return Features(word, rows[fits], starts, weight.astype(np.float32))
 
 
 # network ---------------------------------------------------------------------------------------
@@ -132,19 +142,22 @@ class Network:
         })
 
     def inputs(self, f: Features) -> np.ndarray:
-        w = self.weights
+        w, size = self.weights, np.diff(f.starts)
         chars = np.zeros((len(f.word), CHAR_DIM), np.float32)
-        if len(f.gram):
-            full, starts = np.unique(f.owner, return_index=True)
-            chars[full] = np.add.reduceat(w["chars"][f.gram], starts, axis=0)
-        return np.concatenate([w["words"][f.word], chars * f.weight[:, None].astype(np.float32)], axis=1)
+        for a in range(0, len(size), WORDS_AT_ONCE):
+            full = a + np.flatnonzero(size[a:a + WORDS_AT_ONCE])
+            if len(full):
+                low, high = f.starts[a], f.starts[min(a + WORDS_AT_ONCE, len(size))]
+                chars[full] = np.add.reduceat(w["chars"][f.gram[low:high]], f.starts[full] - low, axis=0)
+        return np.concatenate([w["words"][f.word], chars * f.weight[:, None]], axis=1)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Input part of all gates for each word, and a last row for padding, which leaves a state as it is."""
-        g = x @ self.weights["input"] + self.weights["bias"]
-        pad = np.zeros((1, 6 * STATE), np.float32)
-        pad[0, :STATE] = pad[0, 3 * STATE:4 * STATE] = -30
-        return np.concatenate([g, pad])
+        g = np.zeros((len(x) + 1, 6 * STATE), np.float32)
+        np.matmul(x, self.weights["input"], out=g[:-1])
+        g[:-1] += self.weights["bias"]
+        g[-1, :STATE] = g[-1, 3 * STATE:4 * STATE] = -30
+        return g
 
     def run(self, g: np.ndarray, ids: np.ndarray, keep: list | None = None) -> tuple:
         """States of all words of the windows ``ids``, attention over them, and a score for each window."""
@@ -173,10 +186,13 @@ class Network:
     def score(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return self.run(g, ids)[3]
 
-    def gradients(self, f: Features, ids: np.ndarray, label: np.ndarray) -> dict:
-        """Of the log loss of the windows ``ids``; input tables as (rows, gradients of the rows)."""
+    def gradients(self, f: Features, ids: np.ndarray, label: np.ndarray, seen: np.ndarray) -> dict:
+        """Of the log loss of the windows ``ids``; input tables as (rows, gradients of the rows).
+
+        ``seen``: 1 or 0 for each input of each word, so that no single input is relied on.
+        """
         w, s, n = self.weights, STATE, ids.shape[1]
-        x = self.inputs(f)
+        x = self.inputs(f) * seen
         g, keep = self.gates(x), []
         states, a, pooled, p = self.run(g, ids, keep)
         dlogit = ((p - label) / n).astype(np.float32)
@@ -203,9 +219,9 @@ class Network:
             dh = dh * (1 - z) + dhu @ w[name].T
         dg = dg[:-1]
         out["input"], out["bias"] = x.T @ dg, dg.sum(axis=0)
-        dx = dg @ w["input"].T
+        dx = dg @ w["input"].T * seen
         out["words"] = (f.word, dx[:, :WORD_DIM])
-        out["chars"] = (f.gram, (dx[:, WORD_DIM:] * f.weight[:, None].astype(np.float32))[f.owner])
+        out["chars"] = (f.gram, np.repeat(dx[:, WORD_DIM:] * f.weight[:, None], np.diff(f.starts), axis=0))
         return out
 
 
@@ -235,23 +251,16 @@ class Adaptive:
                 w[rows] -= 4 * self.rate * total / np.sqrt(q[rows] + 1e-12)
 
 
-def subset(f: Features, words: np.ndarray) -> Features:
-    """Features of some words, numbered anew in the given (sorted) order."""
-    number = np.full(len(f.word), -1, dtype=np.int64)
-    number[words] = np.arange(len(words))
-    keep = number[f.owner] >= 0
-    return Features(f.word[words], f.gram[keep], number[f.owner[keep]], f.weight[words])
-
-
-def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 1) -> Network:
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 1) -> Network:
     """A network fitted so that the highest window score of a text tells its label.
 
     Labels belong to texts, so windows are chosen in rounds: at first all windows count as their text
     is labelled; from then on the windows of the toxic texts that score highest, and of the other
-    texts those that score highest and one by chance.
+    texts those that score highest and one by chance. Once most toxic texts are found, those that
+    score below DOUBTED sit out the round: wrong labels should not be learned by heart.
     """
     rng, net = np.random.default_rng(seed), Network.fresh(seed)
-    words, ids, counts = vocabulary(pa.array(texts, pa.string()))
+    words, ids, counts = vocabulary(texts)
     text, first, size = windows(counts)
     f = features(words)
     adaptive = Adaptive(net.weights, RATE)
@@ -266,10 +275,15 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int =
         nth[order] = np.arange(len(text)) - starts[text[order]]
         lucky = rng.random(len(text)) < 1 / np.maximum(1, np.bincount(text, minlength=len(counts)))[text]
         top = 4 if turn == 0 else 2 if turn < rounds // 2 else 1
-        chosen = np.flatnonzero(np.where(toxic, nth < top, (nth < top) | lucky))
-        rng.shuffle(chosen)
-        for a in range(0, len(chosen), BATCH):
-            part = chosen[a:a + BATCH]
+        best = np.zeros(len(counts))
+        np.maximum.at(best, text, scores)
+        trusted = (best >= DOUBTED)[text] if turn >= 2 and (best[labels == 1] >= DOUBTED).mean() > 0.5 else True
+        chosen = np.flatnonzero(np.where(toxic, (nth < top) & trusted, (nth < top) | lucky))
+        batch = min(BATCH, max(32, len(chosen) // 8))
+        passes = max(1, -(-STEPS * batch // len(chosen)))
+        order = np.concatenate([rng.permutation(chosen) for _ in range(passes)])
+        for a in range(0, len(order), batch):
+            part = order[a:a + batch]
             grid, label = laid_out(ids, first[part], size[part], len(words)), labels[text[part]]
             clean = grid[:, label == 0]
             if clean.size:  # one word of a clean window, over and over
@@ -279,7 +293,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int =
             used = np.unique(grid[grid < len(words)])
             local = np.searchsorted(used, grid)
             local[grid == len(words)] = len(used)
-            adaptive.step(net.gradients(subset(f, used), local, label))
+            seen = np.repeat(rng.random((len(used), 2)) > HIDDEN, (WORD_DIM, CHAR_DIM), axis=1).astype(np.float32)
+            adaptive.step(net.gradients(f.subset(used), local, label, seen))
     return net
 
 
@@ -291,7 +306,7 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     at = 0
     while at < len(texts):
         done = bound[at - 1] if at else 0
-        stop = min(at + DOCS_AT_ONCE, max(at + 1, int(np.searchsorted(bound, done + 8 * WORDS_AT_ONCE, side="right"))))
+        stop = min(at + DOCS_AT_ONCE, max(at + 1, int(np.searchsorted(bound, done + BYTES_AT_ONCE, side="right"))))
         words, ids, counts = vocabulary(pc.fill_null(texts[at:stop], ""))
         if len(ids):
             g = net.gates(net.inputs(features(words)))
@@ -316,8 +331,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars
     """The weights of a network fitted on labelled documents that are not held out, broadcast.
 
     At most ``sample`` documents of each class are used, those with the smallest hashes of their ids,
-    and none of more than ``sample_chars`` characters: the fit needs the same memory and time on any
-    corpus. Rows without id, text or label teach nothing. If one class is missing, the weights
+    and none of more than ``sample_chars`` characters: the fit, one task of its own, needs the same
+    memory and time on any corpus. Rows without id, text or label teach nothing. If one class is missing, the weights
     are None and every score is 0.
     """
     marked = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(
@@ -331,10 +346,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars
         some = with_text.where(F.col("_label") == value).orderBy(rank, "_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
-    rows = short.join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).orderBy("_id").collect()
-    y = np.array([r["_label"] for r in rows])
-    net = fit([r["_text"] for r in rows], y, rounds, seed) if len(set(y.tolist())) == 2 else None
-    return docs.sparkSession.sparkContext.broadcast(net and net.weights)
+    rows = short.join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+
+    def fitted(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("_id")
+        y = sample["_label"].to_numpy()
+        weights = fit(sample["_text"].combine_chunks(), y, rounds, seed).weights if len(np.unique(y)) == 2 else {}
+        return pa.table({"name": pa.array(list(weights), pa.string()),
+                         "shape": pa.array([list(v.shape) for v in weights.values()], pa.list_(pa.int32())),
+                         "content": pa.array([v.astype("<f4").tobytes() for v in weights.values()], pa.binary())})
+
+    found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(fitted, "name string, shape array<int>, content binary").collect()
+    weights = {r["name"]: np.frombuffer(r["content"], dtype="<f4").reshape(r["shape"]) for r in found}
+    return docs.sparkSession.sparkContext.broadcast(weights or None)
 
 
 def scorer(model):
