@@ -16,7 +16,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words encoded at a time, so that a very long text needs little more memory than its ids.
 WORDS_AT_ONCE = 1 << 16
 #: Known words and fragments of a Python worker are forgotten when there are more than this.
-KNOWN_AT_MOST = 1_000_000
+KNOWN_AT_MOST = 200_000
+#: Texts of an Arrow batch encoded before their ids are packed away.
+TEXTS_AT_ONCE = 500
 
 
 def byte_letters() -> dict[str, int]:
@@ -160,10 +162,12 @@ def round_trip(vocabulary):
 
     @F.arrow_udf("ids binary, decoded string")
     def both(texts: pa.Array) -> pa.Array:
-        v = loaded(vocabulary)
-        ids = [v.encode(t.as_py() or "") for t in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array(ids, pa.binary()), pa.array([v.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
+        v, parts = loaded(vocabulary), []
+        for at in range(0, max(len(texts), 1), TEXTS_AT_ONCE):
+            ids = [v.encode(t.as_py() or "") for t in texts[at:at + TEXTS_AT_ONCE]]
+            parts.append(pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array([v.decode(x) for x in ids], pa.string())], ["ids", "decoded"]))
+        return pa.concat_arrays(parts)
 
     return both
 

@@ -32,6 +32,8 @@ SCOPE = frozenset("html body article main section div ul ol dl table blockquote
 
 #: Weights of presentation and content in the importance of a node, and the least importance that stays.
 SHOWN, SAID, KEEP_FROM = 0.55, 0.45, 0.5
+#: A node that a host shows on fewer pages is judged by its names only.
+PAGES_AT_LEAST = 5
 BLOCK = "array<struct<text:string,node:bigint,prior:double>>"
 COUNTED = "array<struct<feature:bigint,fresh:boolean,node:bigint,first:boolean,style:bigint,prior:double>>"
 
@@ -153,7 +155,7 @@ def host(url: Column) -> Column:
 
 
 def style_tree(blocks: DataFrame) -> DataFrame:
-    """host, node, prior, importance: the pages of each host merged into one tree of style nodes.
+    """host, node, pages, prior, importance: the pages of each host merged into one tree of style nodes.
 
     A node is a path of element names with their first class; of a branch, the nodes that hold text
     decide. Its content importance is 1 minus the mean entropy, over the m pages that have the node,
@@ -173,7 +175,7 @@ def style_tree(blocks: DataFrame) -> DataFrame:
     styled = F.when(F.col("pages") > 1, 1 - F.col("style_sum") / F.col("pages") / spread).otherwise(0.5)
     shown = F.when(F.col("prior") == 0.5, 0.25 + 0.5 * styled).otherwise(F.col("prior"))
     return features.join(styles, ["host", "node"]).select(
-        "host", "node", "prior", (SHOWN * shown + SAID * content).alias("importance"))
+        "host", "node", "pages", "prior", (SHOWN * shown + SAID * content).alias("importance"))
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -181,7 +183,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
 
     A branch that its names call a menu, footer, advert and so on is always below KEEP_FROM, one
     inside an article or main element always above it; for all others the entropies of the
-    host's pages decide. Blocks are joined in page order by an empty line, white space inside a
+    host's pages decide, if PAGES_AT_LEAST have the branch. Blocks are joined in page order by an empty line, white space inside a
     block is one space.
 
     NULL and empty pages have an empty text, pages without a host share one tree. Repeated rows
@@ -194,7 +196,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
     """
     blocks = cut(pages.select(host(F.col(url)).alias("host"), F.explode(parsed(F.col(html), COUNTED, page_counts)).alias("b"))
                  .select("host", "b.*"), "blocks")
-    low = (style_tree(blocks).where((F.col("importance") < KEEP_FROM) & (F.col("prior") == 0.5))
+    low = (style_tree(blocks).where((F.col("importance") < KEEP_FROM) & (F.col("prior") == 0.5) & (F.col("pages") >= PAGES_AT_LEAST))
            .groupBy("host").agg(F.collect_set("node").alias("low")))
     low = cut(low.select("host", "low", F.size("low").alias("nodes")), "low")
     size = low.agg(F.coalesce(F.sum(F.col("nodes") * 8 + 64), F.lit(0))).first()[0]

@@ -46,7 +46,7 @@ def fingerprint(shingle: int):
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([bit_majority(t, shingle) for t in texts.to_pylist()], pa.int64())
+        return pa.array([bit_majority(t.as_py(), shingle) for t in texts], pa.int64())
 
     return of
 
