@@ -103,7 +103,8 @@ def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), whole: bool = False)
 
     Equal values are counted first, map-side. ``whole`` says that the values are numbers of
     weeks, of which there are few; otherwise the running counts go by ranges of values, so
-    that a distribution over very many values is not put on one task.
+    that a distribution over very many values is not put on one task. The rows are the same; a NULL
+    group is a group.
     """
     by = list(by)
     base = df.where(F.col(value).isNotNull())

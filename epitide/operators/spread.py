@@ -8,6 +8,7 @@ apart, and ordered work goes by ranges of (key, order) that cut through large ke
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,28 +35,31 @@ def attach_key_stats(
     100,000 large keys and their figures are broadcast; large keys' rows stay where they
     are. All other rows meet their figures in a shuffle join of bounded groups.
     """
-    per_key = rows.groupBy(*keys).agg(
+    per_key = cut(rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), *[expr.alias(name) for name, expr in stats.items()]
-    )
-    total = rows.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    ), "figures")
+    total = per_key.agg(F.sum("_rows").alias("_total")).scalar()
     bound = F.greatest(total / F.lit(LARGE_KEYS_AT_MOST), F.lit(float(small_key_rows)))
     large = per_key.where(F.col("_rows") > bound)
     small = per_key.where(F.col("_rows") <= bound)
 
-    in_large = rows.join(F.broadcast(large), list(keys))
-    # the test names every figure, so both uses of `large` read the same exchange
-    unmatched = F.col("_rows").isNull()
-    for name in stats:
-        unmatched = unmatched & F.col(name).isNull()
-    in_small = (
-        rows.join(F.broadcast(large), list(keys), "left")
-        .where(unmatched)
-        .drop("_rows", *stats)
-        .join(small, list(keys))
+    in_large = join_keys(rows, large, keys, small=True)
+    in_small = join_keys(
+        join_keys(rows, large, keys, "left", small=True).where(F.col("_rows").isNull()).drop("_rows", *stats), small, keys
     )
     return in_large.unionByName(in_small).drop("_rows")
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; each key comes out once, as ``left`` has it.
+
+    ``small`` broadcasts ``right``, which must be bounded.
+    """
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(F.broadcast(other) if small else other, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def spread_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash rows by ``keys`` over all shuffle partitions, however few bytes they are.
 
@@ -127,7 +131,7 @@ def running(
 
     inside = Window.partitionBy(*part_keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = (spread_rows(laid, part_keys) if spread else laid).join(outside, part_keys)
+    joined = join_keys(spread_rows(laid, part_keys) if spread else laid, outside, part_keys)
     return joined.select(
         *laid.columns,
         *[(F.sum(e).over(upto) + F.col(f"_sum_{n}")).alias(n) for n, e in sums.items()],
@@ -146,6 +150,8 @@ def running(
 def exact_median(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Exact median of several numeric columns per key; the mean of the middle two if even.
 
+    A key whose values are all NULL has the median NULL; a NULL key is a key.
+
     Equal values are counted map-side first. The middle ranks are then found with running
     counts, so that no buffer has to hold all values of a key.
     """
@@ -172,7 +178,7 @@ def exact_median(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     middle = ranked.where(is_low | is_high).select(
         *group, F.when(is_low, F.col("_val")).alias("_low"), F.when(is_high, F.col("_val")).alias("_high")
     )
-    return middle.groupBy(*keys).agg(
+    medians = middle.groupBy(*keys).agg(
         *[
             (
                 (
@@ -184,3 +190,4 @@ def exact_median(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
             for c in columns
         ]
     )
+    return join_keys(rows.select(*keys).distinct(), medians, keys, "left") if keys else medians

@@ -72,7 +72,7 @@ def scan_skip_preamble(spark, d):
     path = writers.write_with_preamble(
         v.ili_raw(spark, d), scratch_path(spark, "download"), "PERCENTAGE OF VISITS FOR ILI", RAW_HEADER
     )
-    return readers.read_skip_preamble(spark, path, RAW_HEADER, "week")
+    return readers.read_skip_preamble(spark, path, RAW_HEADER)
 
 
 def _keyed(spark, d):

@@ -31,10 +31,12 @@ def session(app: str = "epitide", master: str | None = None, partitions: int | N
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a local folder is made.
+    Only where that setting is absent and the master is local, as in tests, a local folder is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="epitide-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -10,30 +10,48 @@ from epitide.functions.text import clean_names
 from epitide.schemas import REVIEWS, SERIES
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless event log with its fixed schema."""
-    return spark.read.schema(REVIEWS).option("header", False).csv(path)
+def read_reviews(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """Headerless event log with its fixed schema. A malformed line is an error, or NULLs with ``PERMISSIVE``."""
+    return spark.read.schema(REVIEWS).options(header=False, escape='"', mode=mode).csv(path)
 
 
-def read_csv_header(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header. Give a schema: without one the file is read twice to infer it."""
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+def read_csv_header(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "FAILFAST"
+) -> DataFrame:
+    """CSV with header, the columns of ``schema`` taken by name from files that may have more.
 
-
-def read_skip_preamble(spark: SparkSession, path: str, names: list[str], *numbers: str) -> DataFrame:
-    """CSV with a line above its header, as text columns with clean names.
-
-    ``names`` are the columns as the header spells them. The reader splits large files and
-    cannot skip a number of lines, so lines whose ``numbers`` columns do not all hold whole
-    numbers, which are the preamble and the header, are dropped by that test.
+    The names come from the first line read; a missing name is an error, and so is a file whose
+    header differs from it. A malformed number is an error, or NULL with mode ``PERMISSIVE``.
+    Give a schema: without one the files are read twice to infer it.
+    """
+    reader = spark.read.options(header=True, escape='"')
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    kinds = {f.name: f.dataType for f in schema}
+    names = reader.csv(path).columns
+    if missing := [n for n in kinds if n not in names]:
+        raise ValueError(f"no column {', '.join(missing)} in {path}: {', '.join(names)}")
+    full = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    return reader.schema(full).options(enforceSchema=False, mode=mode).csv(path).select(*kinds)
+
+
+def read_skip_preamble(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """CSV with a title line above its header, as text columns with clean names.
+
+    ``names`` are the columns as the header spells them. The reader splits large files and cannot
+    skip a number of lines, so title and header are told by what they hold, and only in the first
+    block of a file: the header holds the names; the title begins with text that is no number and
+    has nothing from the third column on (it may have one comma). Every other line stays,
+    whatever it holds.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = clean_names(spark.read.schema(schema).option("header", False).csv(path))
-    for number in numbers:
-        rows = rows.where(F.col(number).try_cast("int").isNotNull())
-    return rows
+    lines = spark.read.schema(schema).options(header=False, escape='"').csv(path)
+    first, *others = [F.col(f"`{n}`") for n in names]
+    header = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in (first, *others)]) == "\n".join(names)
+    empty = F.coalesce(F.lit(None), *(others[1:] or others)).isNull()
+    title = first.isNotNull() & first.try_cast("double").isNull() & empty
+    above = (F.col("_metadata.file_block_start") == 0) & (header | title)
+    return clean_names(lines.where(~above))
 
 
 def keys_from_path(path: Column) -> tuple[Column, Column]:
@@ -48,10 +66,10 @@ def keys_from_path(path: Column) -> tuple[Column, Column]:
 def read_many(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
     """All files that match a glob as one table, with the file's path in ``fname``.
 
-    Keys without a file simply do not match; no list of expected files is needed.
+    Columns go by name and all files need one header, see :func:`read_csv_header`. Keys without a
+    file simply do not match; no list of expected files is needed.
     """
-    rows = spark.read.schema(schema).option("header", True).csv(pattern)
-    return rows.withColumn("fname", F.col("_metadata.file_path"))
+    return read_csv_header(spark, pattern, schema).select("*", F.col("_metadata.file_path").alias("fname"))
 
 
 def read_keyed_series(spark: SparkSession, pattern: str, schema: T.StructType = SERIES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> str:
-    df.write.option("header", header).csv(path)
+    df.write.options(header=header, escape='"').csv(path)
     return path
 
 
@@ -19,14 +19,14 @@ def write_by_key(df: DataFrame, path: str, keys: Sequence[str] = ("year", "regio
     The rebalance hint brings the rows of a key together, so small keys get one file, and
     lets adaptive execution split the partitions of large keys over several tasks.
     """
-    df.hint("rebalance", *keys).write.partitionBy(*keys).option("header", True).format(fmt).save(path)
+    df.hint("rebalance", *keys).write.partitionBy(*keys).options(header=True, escape='"').format(fmt).save(path)
     return path
 
 
 def write_with_preamble(df: DataFrame, path: str, title: str, names: list[str]) -> str:
     """CSV text with a title line above the header, as the surveillance download has it."""
     def quoted(value):
-        return F.concat(F.lit('"'), value, F.lit('"'))
+        return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
 
     spark = df.sparkSession
     lines = df.select(

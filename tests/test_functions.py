@@ -131,7 +131,7 @@ def test_read_files_named_by_key(spark, tmp_path):
 
 def test_preamble_is_dropped(spark, tmp_path):
     (tmp_path / "a.csv").write_text('SOME TITLE, 2014\n"YEAR","WEEK","%ILI"\n"2014","40","1,5"\n2014,41,X\n')
-    got = readers.read_skip_preamble(spark, str(tmp_path), ["YEAR", "WEEK", "%ILI"], "year", "week")
+    got = readers.read_skip_preamble(spark, str(tmp_path), ["YEAR", "WEEK", "%ILI"])
     assert rows(got, "year", "week", "ili") == [("2014", "40", "1,5"), ("2014", "41", "X")]
 
 
