@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epitide.operators.series import first_crossing, prefix_rows, state_fold, with_position
-from epitide.operators.spread import exact_median
 
 
 # --- summaries over replicates ------------------------------------------------------
@@ -59,7 +58,8 @@ def leftovers(trajectories: DataFrame, keys: Sequence[str], horizon: int = 52, y
 
 
 def median_over_replicates(peaks: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    return exact_median(peaks, keys, columns)
+    """Exact medians over the replicates of a key, of which there are no more than seeds."""
+    return peaks.groupBy(*keys).agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns])
 
 
 def mean_over_replicates(peaks: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

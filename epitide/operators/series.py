@@ -15,6 +15,7 @@ from epitide.functions.calendar import FOUR_YEARS_SECONDS, season_id, season_wee
 from epitide.functions.model import MINUS_INF
 from epitide.functions.text import region_number
 from epitide.operators.spread import attach_key_stats
+from epitide.session import cut
 
 #: population bound of a product
 PRODUCT_NMAX = 1e5
@@ -22,6 +23,11 @@ PRODUCT_NMAX = 1e5
 
 # --- event logs ---------------------------------------------------------------------
 
+def event_counts(events: DataFrame, key: str = "id") -> DataFrame:
+    """Events per key and time stamp (``_n``), written: the log is read once, and a hot key is summed map-side."""
+    return cut(events.groupBy(key, "ts").agg(F.count(F.lit(1)).alias("_n")), "event-counts")
+
+
 def since_first(events: DataFrame, key: str = "id", ts: str = "ts", **options) -> DataFrame:
     """Replace ``ts`` by the seconds since the first event of the same key."""
     other = [c for c in events.columns if c != ts]
@@ -31,10 +37,10 @@ def since_first(events: DataFrame, key: str = "id", ts: str = "ts", **options) -
 
 def weekly_counts(events: DataFrame, key: str = "id", nmax: float = PRODUCT_NMAX, **options) -> DataFrame:
     """Events per key and week since the key's first event; weeks without events give no row."""
-    since = since_first(events.select(key, "ts"), key, **options)
+    since = since_first(event_counts(events, key), key, **options)
     return (
         since.groupBy(key, whole_weeks(F.col("ts")).alias("week"))
-        .agg(F.count(F.lit(1)).alias("dS"))
+        .agg(F.sum("_n").alias("dS"))
         .withColumn("Nmax", F.lit(nmax))
     )
 
@@ -43,10 +49,11 @@ def valid_products(
     events: DataFrame, min_reviews: int = 100, horizon: int = FOUR_YEARS_SECONDS, key: str = "id", **options
 ) -> DataFrame:
     """Keys with more than ``min_reviews`` events inside the horizon and a later event."""
-    since = since_first(events.select(key, "ts"), key, **options)
+    since = since_first(event_counts(events, key), key, **options)
+    inside = F.sum(F.when(F.col("ts") < horizon, F.col("_n")))
     return (
         since.groupBy(key)
-        .agg(F.count_if(F.col("ts") < horizon).alias("reviews_4y"), F.max("ts").alias("last_review_ts"))
+        .agg(F.coalesce(inside, F.lit(0)).alias("reviews_4y"), F.max("ts").alias("last_review_ts"))
         .where((F.col("reviews_4y") > min_reviews) & (F.col("last_review_ts") > horizon))
     )
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ from epitide.functions.model import (
 )
 from epitide.operators.spread import running
 
+#: grid values scored at a time, rows times points
+BLOCK = 1 << 20
+
 
 def next_state_pair(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each state but the last with the waiting time of the state after it (``next_wait``).
@@ -63,38 +68,27 @@ def grid_search_mle(
     """Best value of one parameter after every transition ``k``, on an even grid.
 
     The running mean of the log densities is compared to 8 digits, the smallest value wins
-    among equals; ``llh`` is the density of transition ``k`` alone at the best value. The
-    grid multiplies the rows inside their range, without a shuffle of the product.
+    among equals; ``llh`` is the density of transition ``k`` alone at the best value. The sums of
+    the ranges before a range are aggregated map-side; inside a range the grid stays within the
+    row, as blocks of rows and points, so rows times points are never laid out or sorted.
     """
     low, high = _theta_bounds(param, sir, low, high)
     theta = F.col("theta")
     part = [*keys, "_part"]
     rows = pairs.select(*part, "k", "I", "R", "next_wait")
-    scored = rows.withColumn("theta", F.explode(linear_grid(low, high, points))).withColumn(
-        "llh", waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait"))
+    per_part = (
+        rows.withColumn("theta", F.explode(linear_grid(low, high, points)))
+        .groupBy(*part, "theta")
+        .agg(F.sum(waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait"))).alias("_sum"))
     )
-    # sums of the ranges before, as one short list per range, so that the join is not with the product
     before = Window.partitionBy(*keys, "theta").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    per_part = scored.groupBy(*part, "theta").agg(F.sum("llh").alias("_sum"))
-    offsets = (
-        per_part.select(*part, "theta", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
-        .groupBy(*part)
-        .agg(F.collect_list(F.struct("theta", "_before")).alias("_grid"))
-    )
-    upto = Window.partitionBy(*part, "theta").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        rows.join(offsets, part)
-        .withColumn("_at", F.explode("_grid"))
-        .select(*part, "k", "I", "R", "next_wait", "_at.*")
-        .withColumn("llh", waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait")))
-    )
-    summed = placed.select(
-        *part, "k", "theta", "llh", (F.sum("llh").over(upto) + F.col("_before")).alias("_sum")
+    offsets = per_part.select(
+        *[F.col(c).alias(f"_of_{c}") for c in part], "theta",
+        F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"),
     )
-    best = (
-        summed.groupBy(*part, "k")
-        .agg(F.max(F.struct(F.rint(F.col("_sum") / F.col("k") * 1e8).alias("rank"), (-theta).alias("minus"), "llh")).alias("_best"))
-        .select(*keys, "k", (-F.col("_best.minus")).alias("estimate"), "_best.llh")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "k"])
+    best = rows.groupBy(*part).cogroup(offsets.groupBy(*[f"_of_{c}" for c in part])).applyInArrow(
+        _best_in_range(list(keys), param, dict(sir)), f"{kinds}, estimate double, llh double"
     )
     upper, lower = at_grid_end(F.col("estimate"), F.lit(low), F.lit(high))
     return best.select(
@@ -102,6 +96,32 @@ def grid_search_mle(
     )
 
 
+def _best_in_range(keys: list[str], param: str, sir: dict[str, float]):
+    """For one range: its rows, and the sums at each grid point that come before it."""
+
+    def run(rows: pa.Table, offsets: pa.Table) -> pa.Table:
+        rows, offsets = rows.sort_by("k"), offsets.sort_by("theta")
+        theta, total = offsets["theta"].to_numpy(), offsets["_before"].to_numpy().copy()
+        k, infected, removed, wait = (rows[c].to_numpy() for c in ("k", "I", "R", "next_wait"))
+        at, own = np.empty(len(k), dtype=np.int64), np.empty(len(k))
+        size = max(1, BLOCK // max(1, len(theta)))
+        for a in range(0, len(k), size):
+            b = slice(a, a + size)
+            x = sir | {param: theta[None, :]}
+            i, r = infected[b, None], removed[b, None]
+            rate = (i * x["beta"] + x["alpha"]) * (x["N"] - i - r) / x["N"] + x["gamma"] * i
+            with np.errstate(divide="ignore", invalid="ignore"):
+                llh = np.where(rate > 0, np.log(rate) - rate * wait[b, None], -np.inf)
+            llh = np.broadcast_to(llh, (len(i), len(theta)))
+            sums = np.cumsum(np.concatenate([total[None, :], llh]), axis=0)[1:]
+            at[b] = np.argmax(np.rint(sums / k[b, None] * 1e8), axis=1)
+            own[b] = llh[np.arange(len(i)), at[b]]
+            total = sums[-1]
+        return rows.select([*keys, "k"]).append_column("estimate", pa.array(theta[at])).append_column("llh", pa.array(own))
+
+    return run
+
+
 def log_prefix_mle(
     pairs: DataFrame,
     keys: Sequence[str],

@@ -192,7 +192,7 @@ def year_shift(spark, d):
     return v.trajectories(spark, d).withColumn("year", F.col("year") + 1)
 
 
-VAR_LABELS = {"m_peak_t": "Weeks to Ctot / 8 infections", "m_star_t": "Weeks to RelError bound = 1"}
+VAR_LABELS = {"m_peak_t": "weeks until a quarter of the peak size", "m_star_t": "weeks until the error bound is one"}
 
 
 @joined_query
@@ -530,7 +530,7 @@ def append_runs(spark, d):
 
 @query
 def drop_empty_runs(spark, d):
-    late = v.trajectories(spark, d).where((F.col("t") > HORIZON) & (F.col("I") > F.col("R") / 45))
+    late = v.trajectories(spark, d).where(F.col("t") > HORIZON)
     return late.groupBy(*KEYS, "seed").agg(F.count(F.lit(1)).alias("steps"), F.sum("I").alias("total"))
 
 
@@ -684,20 +684,20 @@ def interarrival_llh(spark, d):
 @query
 def grid_search_mle(spark, d):
     pairs = waiting.next_state_pair(v.states(spark, d), USER)
-    return rounded(waiting.grid_search_mle(pairs, USER, SIR, "beta", points=50), "estimate", "llh")
+    return rounded(waiting.grid_search_mle(pairs, USER, SIR, "beta", points=1000), "estimate", "llh")
 
 
 @query
 def log_prefix_mle(spark, d):
     pairs = waiting.next_state_pair(v.states(spark, d), USER)
-    got = waiting.log_prefix_mle(pairs, USER, SIR, "beta", points=50)
+    got = waiting.log_prefix_mle(pairs, USER, SIR, "beta", points=1000)
     return rounded(rounded(got, "estimate"), "llh", digits=2)
 
 
 @query
 def weighted_llh(spark, d):
     got = waiting.weighted_llh(
-        v.states(spark, d), USER, F.lit(SIR["alpha"]), F.lit(SIR["gamma"]), F.lit(SIR["N"]), (0.0, 3.0, 50)
+        v.states(spark, d), USER, F.lit(SIR["alpha"]), F.lit(SIR["gamma"]), F.lit(SIR["N"]), (0.0, 3.0, 1000)
     )
     return rounded(rounded(got, "beta"), "llh", digits=2)
 
@@ -705,7 +705,7 @@ def weighted_llh(spark, d):
 @query
 def unweighted_llh(spark, d):
     got = waiting.weighted_llh(
-        v.states(spark, d), USER, F.lit(SIR["alpha"]), F.lit(SIR["gamma"]), F.lit(SIR["N"]), (0.0, 3.0, 50), False
+        v.states(spark, d), USER, F.lit(SIR["alpha"]), F.lit(SIR["gamma"]), F.lit(SIR["N"]), (0.0, 3.0, 1000), False
     )
     return rounded(rounded(got, "beta"), "llh", digits=2)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from epitide.operators import ensemble as en
 from epitide.operators import fits, reports
 from epitide.operators.series import season_series
-from epitide.plans.views import GAMMA, KEYS, ORDER
+from epitide.schemas import GAMMA, KEYS, ORDER
 from epitide.session import cut
 
 

@@ -15,14 +15,9 @@ from epitide.operators.ensemble import observed_states
 from epitide.operators.fits import profile_fit_sir
 from epitide.operators.series import prefix_points, season_series
 from epitide.operators.spread import lay_out, running
+from epitide.schemas import GAMMA, KEYS, ORDER
 from epitide.session import cut
 
-KEYS = ["region", "year"]
-ORDER = ["yw"]
-
-#: recovery rate of the surveillance fits
-GAMMA = 1.68
-
 #: replicates per estimate in the test tables
 SEEDS = 5
 

@@ -34,3 +34,10 @@ MESSY_NUMBERS = [
     "num_of_providers",
     "total_patients",
 ]
+
+# keys of a season series and the order of its rows
+KEYS = ["region", "year"]
+ORDER = ["yw"]
+
+# recovery rate of the surveillance fits
+GAMMA = 1.68

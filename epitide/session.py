@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: scratch folders of this process, for :func:`clear_scratch`
+_made: list[str] = []
+
 
 def session(app: str = "epitide", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators rely on.
@@ -38,7 +41,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="epitide-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the scratch folders that this process made; tables that still read them become invalid."""
+    context = spark.sparkContext
+    removed = 0
+    while _made:
+        path = context._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def cut(df: DataFrame, label: str = "table") -> DataFrame:

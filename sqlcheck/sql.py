@@ -15,7 +15,7 @@ _WEIGHTED = """
            round(sum(((CASE WHEN lam + 0.1 * "I" > 0 THEN ln(lam + 0.1 * "I") ELSE '-inf'::DOUBLE END)
                       - wait * lam + 0.1 * "I") * {weight}), 2) AS llh
     FROM (SELECT *, (0.0 + beta * "I") * (1 - ("I" + "R") / 1000.0) AS lam
-          FROM states, (SELECT g * (3.0 / 49) AS beta FROM range(50) AS r(g)) WHERE wait IS NOT NULL)
+          FROM states, (SELECT g * (3.0 / 999) AS beta FROM range(1000) AS r(g)) WHERE wait IS NOT NULL)
     GROUP BY user_id, beta"""
 
 _MEANS = """SELECT region, year, t, round(avg(peak_t), {d}) AS peak_t, round(avg("peak_I"), {d}) AS "peak_I"
@@ -59,8 +59,8 @@ SQL = {
     "horizon_filter": 'SELECT region, year, seed, t, "I", "R", wait FROM trajectories WHERE t > 40',
     "year_shift": 'SELECT region, year + 1 AS year, seed, t, "I", "R", wait FROM trajectories',
     "label_case": """
-        SELECT region, year, 'Weeks to RelError bound = 1' AS var, m_star_t AS val FROM crossings
-        UNION ALL SELECT region, year, 'Weeks to Ctot / 8 infections', m_peak_t FROM crossings
+        SELECT region, year, 'weeks until the error bound is one' AS var, m_star_t AS val FROM crossings
+        UNION ALL SELECT region, year, 'weeks until a quarter of the peak size', m_peak_t FROM crossings
         UNION ALL SELECT region, year, 'peak_t', peak_t FROM crossings""",
     "unpivot_measures": """
         SELECT region, year, yw, 'dS' AS var, "dS" AS val FROM series
@@ -203,7 +203,7 @@ SQL = {
         UNION ALL SELECT region, year, step, "I", 'actual' FROM observed""",
     "drop_empty_runs": """
         SELECT region, year, seed, count(*) AS steps, sum("I") AS total FROM trajectories
-        WHERE t > 40 AND "I" > "R" / 45 GROUP BY region, year, seed HAVING count(*) > 0""",
+        WHERE t > 40 GROUP BY region, year, seed HAVING count(*) > 0""",
     # scalar functions
     "to_num": """
         SELECT week, TRY_CAST(regexp_replace(total_patients, '[%><, ]', '', 'g') AS DOUBLE) AS total_patients,
@@ -341,10 +341,9 @@ SQL = {
                 SELECT user_id, n, CAST(CASE WHEN n >= 1000 THEN j + 1 ELSE floor(exp(j * (ln(1000) / n)) + 1e-9) END AS BIGINT) AS k
                 FROM sized, range(1001) AS r(j) WHERE j <= n)
             WHERE k > 10 AND k < n),
+        upto AS (SELECT user_id, k, theta, sum(llh) OVER (PARTITION BY user_id, theta ORDER BY k) AS llh FROM waits_by_rate),
         tried AS (
-            SELECT p.user_id, p.k, w.theta, sum(w.llh) AS llh
-            FROM points AS p JOIN waits_by_rate AS w ON w.user_id = p.user_id AND w.k < p.k
-            GROUP BY p.user_id, p.k, w.theta)
+            SELECT p.user_id, p.k, w.theta, w.llh FROM points AS p JOIN upto AS w ON w.user_id = p.user_id AND w.k = p.k - 1)
         SELECT user_id, round(theta, 6) AS estimate, round(llh, 2) AS llh, theta >= 3.0 - 3e-5 AS is_ub_binding,
                theta <= 3e-5 AS is_lb_binding, k
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY round(llh, 6) DESC, theta) AS pick FROM tried)

@@ -171,7 +171,7 @@ VIEWS = {
     "waits_by_rate": """
         SELECT user_id, k, theta, CASE WHEN lam > 0 THEN ln(lam) - lam * next_wait ELSE '-inf'::DOUBLE END AS llh
         FROM (SELECT *, (0.0 + theta * "I") * (1000.0 - "I" - "R") / 1000.0 + 0.1 * "I" AS lam
-              FROM waits, (SELECT g * (3.0 / 49) AS theta FROM range(50) AS r(g)))""",
+              FROM waits, (SELECT g * (3.0 / 999) AS theta FROM range(1000) AS r(g)))""",
 }
 
 
