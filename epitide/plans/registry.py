@@ -14,7 +14,7 @@ from epitide.functions import model, text
 from epitide.operators import ensemble as en
 from epitide.operators import fits, reports, waiting
 from epitide.operators import series as se
-from epitide.plans import texts
+from epitide.plans import products, surveillance, texts
 from epitide.plans import views as v
 from epitide.plans.views import GAMMA, KEYS, ORDER, SEEDS, SIR
 from epitide.schemas import ILI, SERIES
@@ -75,6 +75,27 @@ def scan_skip_preamble(spark, d):
     return readers.read_skip_preamble(spark, path, RAW_HEADER)
 
 
+LOADED_HEADER = ["REGION", "YEAR", "WEEK", "ILITOTAL", "TOTAL PATIENTS", "%UNWEIGHTED ILI"]
+
+
+@query
+def clean_surveillance(spark, d):
+    def thousands(column):
+        return F.format_number(F.col(column) * 1000, 0)
+
+    share = F.when(F.col("ilitotal") > 0, F.concat((F.col("ilitotal") % 100).cast("string"), F.lit(" %"))).otherwise("X")
+    messy = v.ili(spark, d).select("region", F.col("year").cast("string"), F.col("week").cast("string"),
+                                   thousands("ilitotal"), thousands("total_patients"), share)
+    path = writers.write_with_preamble(messy, scratch_path(spark, "download"), "PERCENTAGE OF VISITS", LOADED_HEADER)
+    return surveillance.clean_surveillance(readers.read_skip_preamble(spark, path, LOADED_HEADER))
+
+
+@query
+def cleaned_season_series(spark, d):
+    typed = clean_surveillance(spark, d).withColumns({c: F.col(c) / 1000 for c in ("ilitotal", "total_patients")})
+    return se.season_series(typed.select(*ILI.names))
+
+
 def _keyed(spark, d):
     path = writers.write_by_key(
         v.series(spark, d).select("week", "dS", "Nmax", *KEYS), scratch_path(spark, "series")
@@ -428,6 +449,34 @@ def hist_share(spark, d):
     return rounded(reports.hist_share(_crossings(spark, d), value), "share")
 
 
+@joined_query
+def hist_m_star_t(spark, d):
+    return rounded(reports.hist_share(_crossings(spark, d), F.col("m_star_t")), "share")
+
+
+@joined_query
+def hist_ratio_to_peak(spark, d):
+    value = model.ratio(F.col("m_star_t"), F.col("peak_t"))
+    return rounded(reports.hist_share(_crossings(spark, d), value, 0.5), "share")
+
+
+@query
+def hist_product_size(spark, d):
+    fitted = products.fit_products(v.reviews(spark, d), MIN_REVIEWS)
+    return rounded(reports.hist_share(fitted, F.log10("N")), "share")
+
+
+@joined_query
+def season_report(spark, d):
+    return surveillance.season_report(v.series(spark, d), _final(spark, d), v.trajectories(spark, d), HORIZON, AFTER_YEAR)
+
+
+@query
+def fit_products(spark, d):
+    got = products.fit_products(v.reviews(spark, d), MIN_REVIEWS)
+    return rounded(got, "N", "a", "beta", "llh", digits=4)
+
+
 @joined_query
 def median_ratio(spark, d):
     return rounded(reports.median_ratio(_quarters(spark, d), "mstar_t", "const_frac_t"), "median_ratio")

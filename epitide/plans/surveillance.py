@@ -7,13 +7,28 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epitide.functions.calendar import mmwr_week_start
+from epitide.functions.text import clean_numbers, region_number
 from epitide.operators import ensemble as en
 from epitide.operators import fits, reports
 from epitide.operators.series import season_series
-from epitide.schemas import GAMMA, KEYS, ORDER
+from epitide.schemas import GAMMA, KEYS, MESSY_NUMBERS, ORDER
 from epitide.session import cut
 
 
+def clean_surveillance(raw: DataFrame) -> DataFrame:
+    """From the text columns of a download to a typed table.
+
+    Numbers lose their marks and are NULL where none is left, ``week_start`` is the first day of the
+    week, and ``region_rank`` orders the regions, the whole country first. Every row stays.
+    """
+    typed = clean_numbers(raw, MESSY_NUMBERS)
+    year, week = (F.trim(F.col(c)).try_cast("int") for c in ("year", "week"))
+    rank = F.when(F.col("region") == "National", 0).otherwise(region_number("region"))
+    typed = typed.withColumns({"year": year, "week": week, "region_rank": rank})
+    return typed.withColumn("week_start", mmwr_week_start(F.col("year"), F.col("week")))
+
+
 @dataclass
 class SeasonFits:
     """Season series with fits of all prefixes, at free and at known size."""

@@ -371,3 +371,26 @@ SQL = {
               FROM (SELECT region, year, CAST(l_suppkey % 5 + 1 AS INTEGER) AS seed, week, count(*) AS "I"
                     FROM visits GROUP BY ALL))""",
 }
+
+_SAMPLED = f"SELECT id FROM ({SQL['sample_products']})"
+_FITTED = f"SELECT * FROM ({SQL['profile_fit_bass']}) WHERE id IN ({_SAMPLED})"
+_SHARE = "count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share"
+
+SQL |= {
+    "clean_surveillance": """
+        SELECT region, year, week, ilitotal * 1000.0::DOUBLE AS ilitotal, total_patients * 1000.0::DOUBLE AS total_patients,
+               CASE WHEN ilitotal > 0 THEN CAST(ilitotal % 100 AS DOUBLE) END AS unweighted_ili,
+               CAST(regexp_extract(region, '[0-9]+') AS INTEGER) AS region_rank,
+               CAST(make_date(year, 1, 4) - CAST(dayofweek(make_date(year, 1, 4)) AS INTEGER) + 7 * (week - 1) AS DATE)
+                   AS week_start FROM ili""",
+    "cleaned_season_series": _SERIES,
+    "season_report": SQL["crossing_report"],
+    "fit_products": _FITTED,
+    "hist_product_size": f"""
+        SELECT CAST(ceil(log10("N") - 0.5) AS DOUBLE) AS bin, {_SHARE} FROM ({_FITTED}) WHERE "N" IS NOT NULL GROUP BY 1""",
+    "hist_m_star_t": f"""
+        SELECT CAST(ceil(m_star_t - 0.5) AS DOUBLE) AS bin, {_SHARE} FROM crossings WHERE m_star_t IS NOT NULL GROUP BY 1""",
+    "hist_ratio_to_peak": f"""
+        SELECT ceil(m_star_t / peak_t / 0.5 - 0.5) * 0.5 AS bin, {_SHARE} FROM crossings
+        WHERE m_star_t IS NOT NULL AND peak_t <> 0 GROUP BY 1""",
+}
