@@ -190,3 +190,24 @@ def weighted_llh(
         .groupBy(*keys, "beta")
         .agg(F.sum(term).alias("llh"))
     )
+
+
+def weighted_mle(
+    states: DataFrame,
+    keys: Sequence[str],
+    a: Column,
+    g: Column,
+    sizes: Sequence[float],
+    betas: tuple[float, float, int],
+    use_weights: bool = True,
+) -> DataFrame:
+    """Best size and rate of :func:`weighted_llh` per key, and whether the rate is at an end of its grid.
+
+    Likelihoods are compared to 3 digits; the smaller size, then the smaller rate wins among equals.
+    """
+    tried = states.withColumn("N", F.explode(F.array(*[F.lit(float(n)) for n in sizes])))
+    surface = weighted_llh(tried, [*keys, "N"], a, g, F.col("N"), betas, use_weights)
+    rank = F.struct(F.rint(F.col("llh") * 1e3), -F.col("N"), -F.col("beta"))
+    best = surface.groupBy(*keys).agg(F.max_by(F.struct("N", "beta", "llh"), rank).alias("_best"))
+    upper, lower = at_interval_end(F.col("_best.beta"), F.lit(float(betas[0])), F.lit(float(betas[1])))
+    return best.select(*keys, "_best.*", upper.alias("is_ub_binding"), lower.alias("is_lb_binding"))

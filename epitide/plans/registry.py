@@ -759,6 +759,13 @@ def unweighted_llh(spark, d):
     return rounded(rounded(got, "beta"), "llh", digits=2)
 
 
+@query
+def weighted_mle(spark, d):
+    got = waiting.weighted_mle(v.states(spark, d), USER, F.lit(SIR["alpha"]), F.lit(SIR["gamma"]),
+                               (200.0, 500.0, 1000.0, 2000.0), (0.0, 3.0, 200))
+    return rounded(rounded(got, "beta"), "llh", digits=2)
+
+
 # --- replicates and peaks -----------------------------------------------------------
 
 @joined_query

@@ -393,4 +393,15 @@ SQL |= {
     "hist_ratio_to_peak": f"""
         SELECT ceil(m_star_t / peak_t / 0.5 - 0.5) * 0.5 AS bin, {_SHARE} FROM crossings
         WHERE m_star_t IS NOT NULL AND peak_t <> 0 GROUP BY 1""",
+    "weighted_mle": """
+        SELECT user_id, "N", round(beta, 6) AS beta, round(llh, 2) AS llh, beta >= 3.0 - 3e-5 AS is_ub_binding,
+               beta <= 3e-5 AS is_lb_binding
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(llh, 3) DESC, "N", beta) AS pick FROM (
+            SELECT user_id, "N", beta, sum(((CASE WHEN lam + 0.1 * "I" > 0 THEN ln(lam + 0.1 * "I") ELSE '-inf'::DOUBLE END)
+                                            - wait * lam + 0.1 * "I") * "I") AS llh
+            FROM (SELECT *, (0.0 + beta * "I") * (1 - ("I" + "R") / "N") AS lam
+                  FROM states, (SELECT g * (3.0 / 199) AS beta FROM range(200) AS r(g)),
+                       (SELECT unnest([200.0, 500.0, 1000.0, 2000.0])::DOUBLE AS "N") WHERE wait IS NOT NULL)
+            GROUP BY user_id, "N", beta))
+        WHERE pick = 1""",
 }
