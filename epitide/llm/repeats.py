@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epitide.llm.common import text_key
@@ -181,6 +181,19 @@ def keep(window: int):
     return run
 
 
+def joined_runs(places: Column) -> Column:
+    """Sorted places as runs: (first, count) of those that follow each other."""
+
+    def add(done, place):
+        last = F.get(done, F.size(done) - 1)
+        grown = F.struct(last["first"].alias("first"), (last["count"] + 1).alias("count"))
+        new = F.struct(place.alias("first"), F.lit(1).alias("count"))
+        return F.when((F.size(done) > 0) & (last["first"] + last["count"] == place),
+                      F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(new)))
+
+    return F.aggregate(places, F.array().cast(RANGES), add)
+
+
 def repeated_passages(docs: DataFrame, window: int = 50, gram: int = GRAM, shard_words: int = SHARD_WORDS,
                       name_words: int = NAME_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every document with the words that repeat a passage of a document of smaller id.
@@ -235,15 +248,17 @@ def repeated_passages(docs: DataFrame, window: int = 50, gram: int = GRAM, shard
     found = sharded.groupBy("shard").applyInArrow(search(window), f"name long, piece binary, hits {RANGES}")
     windows = (different.join(large, "name").select("name", "piece", "least", "count", F.split("words", " ").alias("w"))
                .select("name", "piece", "least", F.explode(F.transform(
-                   F.sequence(F.lit(0), F.col("count") - 1),
-                   lambda i: F.struct(i.alias("first"), F.md5(F.array_join(F.slice("w", i + 1, window), " ").cast("binary")).alias("is")))).alias("x"))
+                   F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.struct(
+                       i.alias("first"), F.md5(F.array_join(F.slice("w", i + 1, window), " ").cast("binary")).alias("is")))).alias("x"))
                .select("name", "piece", "least", "x.first", "x.is"))
-    earliest = windows.groupBy("is").agg(F.min("least").alias("smallest"))
+    # written, so that the join meets plain tables and its common windows can be split
+    earliest = cut(windows.groupBy("is").agg(F.min("least").alias("smallest")), "earliest")
     split = (windows.join(earliest, "is").where("smallest < least").groupBy("name", "piece")
-             .agg(F.collect_list(F.struct("first", F.lit(1).alias("count"))).alias("hits")))
+             .agg(joined_runs(F.sort_array(F.collect_list("first"))).alias("hits")))
     found = cut(found.unionByName(split), "found")
 
-    first = pieces.join(different.select("name", "piece", "least"), ["name", "piece"]).join(found, ["name", "piece"], "left")
+    facts = cut(different.select("name", "piece", "least").join(found, ["name", "piece"], "left"), "facts")
+    first = pieces.drop("words").join(facts, ["name", "piece"])
     whole = F.array(F.struct("first", "count"))
     inside = F.transform(F.coalesce("hits", F.array().cast(RANGES)), lambda h: F.struct(
         (h["first"] + F.col("first")).alias("first"), h["count"].alias("count")))
@@ -253,11 +268,17 @@ def repeated_passages(docs: DataFrame, window: int = 50, gram: int = GRAM, shard
         keep(window), "key string, removed long, spans array<struct<start:bigint,stop:bigint>>, kept string"), "removed")
     removed = removed.groupBy("key").agg(*[F.first(c).alias(c) for c in ("removed", "spans", "kept")])
 
-    joined = rows.drop("runs").join(texts.select("key", "least"), "key").join(removed, "key", "left")
-    copy = (F.col("id") > F.col("least")) & (F.col("n_words") >= window)
-    every = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
-    return joined.select(
-        "doc_id", "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, every).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"))).alias("spans"),
-        F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"), F.col("whole").alias("whole_sha256"))
+    joined = rows.drop("runs").join(texts.select("key", "least"), "key")
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    whole_text = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
+    copy = F.col("id") > F.col("least")
+    short = joined.where(F.col("n_words") < window).select(
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.lit(None).cast("string").alias("kept"),
+        F.col("whole").alias("whole_sha256"))
+    copies = joined.where((F.col("n_words") >= window) & copy).select(
+        "doc_id", "n_words", F.col("n_words").alias("n_removed"), whole_text.alias("spans"), F.lit("").alias("kept"),
+        F.col("whole").alias("whole_sha256"))
+    others = joined.where((F.col("n_words") >= window) & ~copy).join(removed, "key", "left").select(
+        "doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", none).alias("spans"),
+        "kept", F.col("whole").alias("whole_sha256"))
+    return short.unionByName(copies).unionByName(others)
