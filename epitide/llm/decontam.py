@@ -94,9 +94,9 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: s
             .join(bounded(tests, "gram", most), ["gram", "n"])
             .groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"),
                                 F.sort_array(F.collect_set(F.struct("start", "n"))).alias("hits")))
-    return seen.join(hits, "key", "left").select(
+    return cut(seen.join(hits, "key", "left").select(
         "key", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("hits", F.array().cast("array<struct<start:int,n:int>>")).alias("hits"))
+        F.coalesce("hits", F.array().cast("array<struct<start:int,n:int>>")).alias("hits")), "hits")
 
 
 def covered(hits: Column) -> Column:
@@ -110,9 +110,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     """doc_id, n_words, n_hit, items, hits, contaminated for every document.
 
     ``hits`` are the starts and lengths (in words) of windows that occur in ``items``. NULL and
-    empty texts have no words and are clean; an item without words is no window, so an empty benchmark leaves all clean. Items are named by their id as text; an item with a
-    NULL id is compared but named by no one. Repeated documents give repeated rows, NULL
-    doc_ids stay NULL; other columns are not read.
+    empty texts have no words and are clean. An item without words is no window, so an empty
+    benchmark leaves all clean. Items are named by their id as text; an item with a NULL id is
+    compared but named by no one. Repeated documents give repeated rows, NULL doc_ids stay NULL;
+    other columns are not read.
     """
     found = window_hits(docs, benchmark, window, text, item_text, item_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"))
