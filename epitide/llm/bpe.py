@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words encoded at a time, so that a very long text needs little more memory than its ids.
 WORDS_AT_ONCE = 1 << 16
-#: Known words and fragments of a Python worker are forgotten when there are more than this.
-KNOWN_AT_MOST = 200_000
+#: Known words of a Python worker, and known fragments, are forgotten when there are more than this.
+KNOWN_AT_MOST, FRAGMENTS_AT_MOST = 600_000, 100_000
 #: Texts of an Arrow batch encoded before their ids are packed away.
 TEXTS_AT_ONCE = 500
 
@@ -33,7 +33,8 @@ class Vocabulary:
 
     def __init__(self, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]], added: dict[str, int]):
         self.tokens, self.added = tokens, added
-        self.rank = {(tokens[a], tokens[b]): (i, tokens[a + b]) for i, (a, b) in enumerate(merges)}
+        self.rank = {(tokens[a], tokens[b]): i for i, (a, b) in enumerate(merges)}
+        self.result = [tokens[a + b] for a, b in merges]
         self.single = [tokens[bytes([b])] for b in range(256)]
         self.inside = {t[i:i + 2] for t in tokens for i in range(len(t) - 1)}
         self.bytes_of: list[bytes] = [b""] * (max([*tokens.values(), *added.values()]) + 1)
@@ -41,6 +42,7 @@ class Vocabulary:
             self.bytes_of[i] = t
         for t, i in added.items():
             self.bytes_of[i] = t.encode()
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") \
             if added else None
         self.words: dict[str, bytes] = {}
@@ -70,13 +72,16 @@ class Vocabulary:
 
     def merged(self, fragment: bytes) -> bytes:
         """Ids of one fragment: the pair of lowest rank is merged wherever it occurs, until none is left."""
-        ids, rank = [self.single[b] for b in fragment], self.rank
+        ids, rank, never = [self.single[b] for b in fragment], self.rank.get, len(self.result)
         while len(ids) > 1:
-            best = min((rank[p] + p for p in zip(ids, ids[1:]) if p in rank), default=None)
-            if best is None:
+            best = never
+            for pair in zip(ids, ids[1:]):
+                r = rank(pair, never)
+                if r < best:
+                    best, (left, right) = r, pair
+            if best == never:
                 break
-            _, new, left, right = best
-            out, i, last = [], 0, len(ids) - 1
+            new, out, i, last = self.result[best], [], 0, len(ids) - 1
             while i <= last:
                 if ids[i] == left and i < last and ids[i + 1] == right:
                     out.append(new)
@@ -85,7 +90,7 @@ class Vocabulary:
                     out.append(ids[i])
                     i += 1
             ids = out
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join([self.packed[i] for i in ids])
 
     def word(self, word: str) -> bytes:
         known = self.fragments
@@ -103,14 +108,14 @@ class Vocabulary:
         out: list[bytes] = []
         for part in self.special.split(text) if self.special else [text]:
             if part in self.added:
-                out.append(np.array([self.added[part]], dtype="<u4").tobytes())
+                out.append(self.packed[self.added[part]])
                 continue
             found = (m.group() for m in self.pattern.finditer(part)) if len(part) > 8 * WORDS_AT_ONCE else iter(
                 self.pattern.findall(part))
             while chunk := list(islice(found, WORDS_AT_ONCE)):
                 if len(self.words) > KNOWN_AT_MOST:
                     self.words.clear()
-                if len(self.fragments) > KNOWN_AT_MOST:
+                if len(self.fragments) > FRAGMENTS_AT_MOST:
                     self.fragments.clear()
                 known, new = self.words.get, self.word
                 out.append(b"".join([known(w) or new(w) for w in chunk]))
