@@ -112,15 +112,40 @@ def splitters(table: DataFrame, parts: int, tolerance: float) -> tuple[list[byte
     return [min(k, KEY_SPACE - 1).to_bytes(KEY_BYTES, "big") for k in ends], [known[k][1] for k in ends]
 
 
+def at_group_edges(table: DataFrame, bounds: list[bytes], below: list[int], every: int, slack: int):
+    """Every ``every``-th boundary moved to the nearer edge of the group of equal order that it cuts.
+
+    Only if that moves no more than ``slack`` bytes; the boundary of a larger group stays inside it.
+    """
+    picked = range(every - 1, len(bounds), every)
+    edges = {}
+    for i in picked:
+        group = int.from_bytes(bounds[i][:8], "big")
+        after = min((group + 1) << (8 * (KEY_BYTES - 8)), KEY_SPACE - 1)
+        edges[i] = [bounds[i], bounds[i][:8] + bytes(KEY_BYTES - 8), after.to_bytes(KEY_BYTES, "big")]
+    probes = sorted({e for es in edges.values() for e in es})
+    size, rows = histogram(table, probes)
+    count = {p: (int(s), int(r)) for p, s, r in zip(probes, size, rows)}
+    bounds, below = list(bounds), list(below)
+    for i, (own, *others) in edges.items():
+        moved, edge = min((abs(count[e][0] - count[own][0]), e) for e in others)
+        low, high = bounds[i - 1] if i else b"", bounds[i + 1] if i + 1 < len(bounds) else b"\xff" * KEY_BYTES
+        if moved <= slack and low <= edge <= high:
+            bounds[i], below[i] = edge, count[edge][1]
+    return bounds, below
+
+
 def histogram_sort(rows: DataFrame, order: Column, tie: Column, size: Column, shards: int = 16,
-                   tolerance: float = 0.002, rows_per_range: int = 1_000_000, ranges_at_least: int = 4) -> DataFrame:
+                   tolerance: float = 0.002, rows_per_range: int = 1_000_000, ranges_at_least: int = 4,
+                   group_slack: float = 0.01) -> DataFrame:
     """``rows`` in the order of (``order``, ``tie``), cut into ``shards`` shards of equal ``size``.
 
     Adds ``_shard`` (0 to ``shards`` - 1) and ``_slot`` (0, 1, ... without gaps in each shard).
     ``order`` and ``tie`` are long columns; choose a hash of the content as ``order`` so that equal
     content lies together and the key space is evenly filled. Rows that agree in both keep the
-    order in which they were read, so a repeated row never blocks a boundary. The bytes of a
-    shard differ from the mean by at most ``tolerance`` of a range plus one row. Every
+    order in which they were read, so a repeated row never blocks a boundary. Rows of equal ``order``
+    share a shard if that moves no boundary by more than ``group_slack`` of a shard. The bytes of a
+    shard differ from the mean by at most twice that, plus ``tolerance`` of a range and one row. Every
     shard is a whole number of ranges, as many as ``rows_per_range`` asks for; a range is what one
     task sorts. Only boundaries and their counts reach the driver: a few for each range.
 
@@ -133,6 +158,9 @@ def histogram_sort(rows: DataFrame, order: Column, tie: Column, size: Column, sh
     count = table.count()
     per_shard = max(ranges_at_least, -(-count // (shards * rows_per_range)))
     bounds, below = splitters(table, shards * per_shard, tolerance)
+    if bounds and group_slack:
+        total = table.agg(F.sum("_size")).first()[0]
+        bounds, below = at_group_edges(table, bounds, below, per_shard, int(group_slack * total / shards))
     before = [0, *below]
     starts = [before[min(i - i % per_shard, len(before) - 1)] for i in range(len(before))]
     edges = np.array(bounds, dtype=f"S{KEY_BYTES}")
@@ -162,8 +190,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002,
                     doc_id: str = "doc_id", **keep: Column) -> DataFrame:
     """Shard and slot of every document, by the UTF-8 bytes of its text plus 1 (a NULL text has none).
 
-    Equal texts lie together: they share a shard unless a boundary falls into their group, as it
-    must where a group is larger than a shard. ``keep`` adds columns, so that only what is asked
+    Equal texts lie together: they share a shard unless a boundary falls into a group of more than
+    1 % of a shard, as it must where a group is larger than a shard. ``keep`` adds columns, so that only what is asked
     for is written and moved; pass ``text=F.col("text")`` to shard the documents themselves.
     Result: doc_id, size, ``keep``, shard, slot. Documents without doc_id, repeated documents and
     empty tables are kept as they are; columns that are not asked for never matter.

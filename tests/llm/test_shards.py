@@ -37,6 +37,17 @@ def test_hot_copies_repeats_nulls_and_one_giant(spark):
     assert next(r.size for r in rows if r.doc_id == 1) == 81
 
 
+def test_small_groups_stay_whole(spark):
+    rng = random.Random(4)
+    texts = [t for _ in range(400) for t in [prose(rng, 30)] * rng.choice([1, 2, 3])]
+    rows = shard_documents(docs(spark, texts), 4).collect()
+    check(rows, texts, 4, sum(len(t) + 1 for t in texts) // 4 // 40)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in shards.values())
+
+
 def test_small_tables(spark):
     assert shard_documents(docs(spark, []), 16).count() == 0
     one = shard_documents(docs(spark, ["a"]), 16).collect()
