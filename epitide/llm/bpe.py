@@ -8,7 +8,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the splitting pattern of byte-level vocabularies.
@@ -16,9 +16,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words encoded at a time, so that a very long text needs little more memory than its ids.
 WORDS_AT_ONCE = 1 << 16
 #: Known words of a Python worker, and known fragments, are forgotten when there are more than this.
-KNOWN_AT_MOST, FRAGMENTS_AT_MOST = 600_000, 100_000
-#: Texts of an Arrow batch encoded before their ids are packed away.
-TEXTS_AT_ONCE = 500
+KNOWN_AT_MOST, FRAGMENTS_AT_MOST = 400_000, 100_000
+#: Texts of an Arrow batch whose ids and decoded text leave the worker together.
+TEXTS_AT_ONCE = 250
 
 
 def byte_letters() -> dict[str, int]:
@@ -163,22 +163,19 @@ def decoder(vocabulary):
 
 
 def round_trip(vocabulary):
-    """Column function: text to a struct of its ids and the text that they decode to."""
-
-    @F.arrow_udf("ids binary, decoded string")
-    def both(texts: pa.Array) -> pa.Array:
-        v, parts = loaded(vocabulary), []
-        for at in range(0, max(len(texts), 1), TEXTS_AT_ONCE):
-            ids = [v.encode(t.as_py() or "") for t in texts[at:at + TEXTS_AT_ONCE]]
-            parts.append(pa.StructArray.from_arrays(
-                [pa.array(ids, pa.binary()), pa.array([v.decode(x) for x in ids], pa.string())], ["ids", "decoded"]))
-        return pa.concat_arrays(parts)
-
-    return both
+    """For ``mapInArrow``: rows of doc_id and text to doc_id, n_tokens, ids and decoded, a few texts at a time."""
 
+    def run(batches):
+        v = loaded(vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                ids = [v.encode(t.as_py() or "") for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array([v.decode(x) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-def count_ids(ids: Column) -> Column:
-    return F.floor(F.octet_length(ids) / 4).cast("long")
+    return run
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -189,6 +186,6 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
     row is moved; repeated rows, NULL ids and empty tables stay as they are, other columns are not
     read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), round_trip(codec(docs, path))(F.col(text)).alias("x"))
-    return rows.select("doc_id", count_ids(F.col("x.ids")).alias("n_tokens"), F.col("x.ids").alias("ids"),
-                       F.col("x.decoded").alias("decoded"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(round_trip(codec(docs, path)), f"doc_id {kind}, n_tokens long, ids binary, decoded string")
