@@ -73,11 +73,19 @@ def grid_search_mle(
     row, as blocks of rows and points, so rows times points are never laid out or sorted.
     """
     low, high = _theta_bounds(param, sir, low, high)
-    theta = F.col("theta")
-    part = [*keys, "_part"]
-    rows = pairs.select(*part, "k", "I", "R", "next_wait")
+    rows = pairs.select(*keys, "_part", "k", "I", "R", "next_wait")
+    best = _scored(rows, keys, sir, param, linear_grid(low, high, points), _best_in_range(list(keys), param, dict(sir)))
+    upper, lower = at_grid_end(F.col("estimate"), F.lit(low), F.lit(high))
+    return best.select(
+        *keys, "k", "estimate", upper.alias("is_ub_binding"), lower.alias("is_lb_binding"), "llh"
+    )
+
+
+def _scored(rows: DataFrame, keys: Sequence[str], sir: dict[str, float], param: str, grid: Column, best) -> DataFrame:
+    """``best`` of every range of ``rows`` with the sums of the ranges before it at every grid point."""
+    part, theta = [*keys, "_part"], F.col("theta")
     per_part = (
-        rows.withColumn("theta", F.explode(linear_grid(low, high, points)))
+        rows.withColumn("theta", F.explode(grid))
         .groupBy(*part, "theta")
         .agg(F.sum(waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait"))).alias("_sum"))
     )
@@ -87,17 +95,17 @@ def grid_search_mle(
         F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"),
     )
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "k"])
-    best = rows.groupBy(*part).cogroup(offsets.groupBy(*[f"_of_{c}" for c in part])).applyInArrow(
-        _best_in_range(list(keys), param, dict(sir)), f"{kinds}, estimate double, llh double"
-    )
-    upper, lower = at_grid_end(F.col("estimate"), F.lit(low), F.lit(high))
-    return best.select(
-        *keys, "k", "estimate", upper.alias("is_ub_binding"), lower.alias("is_lb_binding"), "llh"
+    return rows.groupBy(*part).cogroup(offsets.groupBy(*[f"_of_{c}" for c in part])).applyInArrow(
+        best, f"{kinds}, estimate double, llh double"
     )
 
 
-def _best_in_range(keys: list[str], param: str, sir: dict[str, float]):
-    """For one range: its rows, and the sums at each grid point that come before it."""
+def _best_in_range(keys: list[str], param: str, sir: dict[str, float], prefixes: bool = False):
+    """For one range: its rows, and the sums at each grid point that come before it.
+
+    The best point of every row by the running mean, with the row's own density; or, with
+    ``prefixes``, of the rows marked ``is_last`` by the running sum, with that sum.
+    """
 
     def run(rows: pa.Table, offsets: pa.Table) -> pa.Table:
         rows, offsets = rows.sort_by("k"), offsets.sort_by("theta")
@@ -114,9 +122,12 @@ def _best_in_range(keys: list[str], param: str, sir: dict[str, float]):
                 llh = np.where(rate > 0, np.log(rate) - rate * wait[b, None], -np.inf)
             llh = np.broadcast_to(llh, (len(i), len(theta)))
             sums = np.cumsum(np.concatenate([total[None, :], llh]), axis=0)[1:]
-            at[b] = np.argmax(np.rint(sums / k[b, None] * 1e8), axis=1)
-            own[b] = llh[np.arange(len(i)), at[b]]
+            at[b] = np.argmax(np.rint(sums * 1e6 if prefixes else sums / k[b, None] * 1e8), axis=1)
+            own[b] = (sums if prefixes else llh)[np.arange(len(i)), at[b]]
             total = sums[-1]
+        if prefixes:
+            last = np.flatnonzero(rows["is_last"].to_numpy())
+            rows, at, own = rows.take(last), at[last], own[last]
         return rows.select([*keys, "k"]).append_column("estimate", pa.array(theta[at])).append_column("llh", pa.array(own))
 
     return run
@@ -133,39 +144,17 @@ def log_prefix_mle(
 ) -> DataFrame:
     """Best value of one parameter on log-spaced prefixes of ``10 < k < n`` states.
 
-    A prefix of ``k`` states has ``k - 1`` transitions. Every transition is counted, map-side,
-    in the shortest prefix that holds it; the running sums then go over the prefixes, of
-    which there are no more than the population size, and not over the transitions. A
-    prefix always holds a transition of its own, its last one, so none is missed.
+    A prefix of ``k`` states has ``k - 1`` transitions, the last of which marks it; the running sums
+    stay within the ranges, as in :func:`grid_search_mle`.
     """
     low, high = _theta_bounds(param, sir, low, high)
-    total = F.lit(float(sir["N"]))
-    # transitions of prefixes that are too short to be reported count in the first that is
-    at_least = F.greatest(F.col("k") + 1, F.lit(11))
-    held = pairs.withColumn("_k", next_log_spaced(at_least, total, F.col("n_states"))).where("_k < n_states")
-    theta = F.col("theta")
-    part = [*keys, "_part"]
-    per_prefix = (
-        held.select(*part, "_k", "I", "R", "next_wait")
-        .withColumn("theta", F.explode(linear_grid(low, high, points)))
-        .groupBy(*part, "_k", "theta")
-        .agg(F.sum(waiting_logpdf(_rate_with(param, sir, theta), F.col("next_wait"))).alias("_llh"))
-    )
-    # a prefix may hold transitions of several ranges: the frame takes in all rows of equal _k
-    upto = Window.partitionBy(*keys, "theta").orderBy("_k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = per_prefix.select(*keys, F.col("_k").alias("k"), "theta", F.sum("_llh").over(upto).alias("llh"))
-    best = (
-        summed.groupBy(*keys, "k")
-        .agg(F.max_by(F.struct("theta", "llh"), F.struct(F.rint(F.col("llh") * 1e6), -theta)).alias("_best"))
-    )
-    upper, lower = at_interval_end(F.col("_best.theta"), F.lit(low), F.lit(high))
+    k = F.col("k") + 1
+    marked = (k > 10) & (k < F.col("n_states")) & (next_log_spaced(k, F.lit(float(sir["N"])), F.col("n_states")) == k)
+    rows = pairs.select(*keys, "_part", "k", "I", "R", "next_wait", F.coalesce(marked, F.lit(False)).alias("is_last"))
+    best = _scored(rows, keys, sir, param, linear_grid(low, high, points), _best_in_range(list(keys), param, dict(sir), True))
+    upper, lower = at_interval_end(F.col("estimate"), F.lit(low), F.lit(high))
     return best.select(
-        *keys,
-        F.col("_best.theta").alias("estimate"),
-        F.col("_best.llh").alias("llh"),
-        upper.alias("is_ub_binding"),
-        lower.alias("is_lb_binding"),
-        "k",
+        *keys, "estimate", "llh", upper.alias("is_ub_binding"), lower.alias("is_lb_binding"), (F.col("k") + 1).alias("k")
     )
 
 
