@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, caps, decontam, pages, repeats, secret_scan, shards, simhash, toxicity
+from epitide.llm import bpe, caps, decontam, pages, repeats, secret_scan, shards, simhash, suffixes, toxicity
 from epitide.llm.common import table
 from epitide.llm.sql import SQL  # noqa: F401
 
@@ -28,6 +28,13 @@ def op1_histogram_sort(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_sparse_suffixes(spark, sf_dir):
+    out = suffixes.suffix_repeats(table(spark, sf_dir, "documents"), length=50)
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    return out.withColumn("spans", spans)
+
+
 @query
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
