@@ -58,17 +58,30 @@ def common(a: list[str], b: list[str]) -> int:
 def neighbours(length: int, edges: bool = False):
     """For ``mapInArrow`` over sorted suffixes: repeats of at least ``length`` words between neighbours.
 
-    Neighbours that match form a chain. Every suffix of a chain but those of its smallest id
-    is a repeat, extended left and right as far as it agrees with a neighbour. ``edges`` gives
-    the first and the last suffix of the partition instead, for the neighbours across partitions.
+    Neighbours that match form a chain. Along it, in both directions, the smallest id is carried on
+    with the words that all suffixes on the way agree in, left and right, as long as these are
+    enough; a suffix of a larger id is a repeat there, and also where its neighbour's id is smaller.
+    ``edges`` gives the first and the last suffix of the partition instead, for the neighbours
+    across partitions.
     """
 
-    def close(chain):
-        least = min(row[1] for row, _ in chain)
-        for (key, number, pos), spans in chain:
-            if number > least:
-                for left, right in spans:
-                    yield key, pos - left, pos + right, least
+    def close(chain, links):
+        for rows, steps in ((chain, links), (chain[::-1], links[::-1])):
+            carried = None
+            for i, (key, number, pos) in enumerate(rows):
+                seen = []
+                if i:
+                    left, right = steps[i - 1]
+                    seen.append((rows[i - 1][1], left, right))
+                    if carried is not None:
+                        carried = carried[0], min(carried[1], left), min(carried[2], right)
+                        carried = carried if carried[1] + carried[2] >= length else None
+                        seen += [carried] if carried else []
+                for earlier, left, right in seen:
+                    if earlier < number:
+                        yield key, pos - left, pos + right, earlier
+                if carried is None or number <= carried[0]:
+                    carried = number, length, length
 
     def rows(batches):
         for batch in batches:
@@ -76,24 +89,19 @@ def neighbours(length: int, edges: bool = False):
                 yield row
 
     def repeats(batches):
-        chain, before = [], None
+        chain, links, before = [], [], None
         for key, number, pos, right, left in rows(batches):
             right, left = right.split(" "), left.split(" ") if left else []
-            if before is not None:
-                r = common(before[0], right)
-                n = common(before[1], left) if r else 0
-                if r + n >= length:
-                    chain[-1][1].append((n, r))
-                    chain.append(((key, number, pos), [(n, r)]))
-                else:
-                    if len(chain) > 1:
-                        yield from close(chain)
-                    chain = [((key, number, pos), [])]
+            r = common(before[0], right) if before else 0
+            n = common(before[1], left) if r else 0
+            if r + n >= length:
+                links.append((n, r))
             else:
-                chain = [((key, number, pos), [])]
+                yield from close(chain, links)
+                chain, links = [], []
+            chain.append((key, number, pos))
             before = right, left
-        if len(chain) > 1:
-            yield from close(chain)
+        yield from close(chain, links)
 
     def run(batches):
         out = {c: [] for c in FOUND_ARROW.names}
