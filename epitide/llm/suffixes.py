@@ -1,7 +1,9 @@
-"""Suffix-array dedup: suffixes at minimiser positions, sorted, neighbours compared and extended."""
+"""Suffix-array dedup: suffixes at minimiser positions, sorted, windows compared among those that begin alike."""
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,15 +14,20 @@ from epitide.llm.common import text_key
 from epitide.llm.repeats import GRAM, NO_ID, names, scan, slices
 from epitide.session import cut
 
-FOUND = "key string, start long, stop long, earlier long"
-FOUND_ARROW = pa.schema([("key", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("earlier", pa.int64())])
+#: A repeat of a text (``is`` NULL), or one window of it that is still to be compared with those of other tasks.
+FOUND = "key string, start long, stop long, earlier long, is binary"
+FOUND_ARROW = pa.schema([("key", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("earlier", pa.int64()), ("is", pa.binary())])
+#: A group of suffixes with more windows than this is not held in memory; its windows are compared by a join.
+WINDOWS_AT_ONCE = 1 << 17
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
 def sparse_suffixes(length: int, gram: int):
-    """For ``mapInArrow``: the wanted minimiser positions of a text, with ``length`` words on either side.
+    """For ``mapInArrow``: the wanted minimiser positions of a text, with the words around them.
 
-    ``right`` starts at the position; ``left`` ends before it and runs backwards.
+    Every wanted window belongs to the first position in it. ``left`` and ``right`` are the words before
+    and from the position that its windows reach, so that each window of the text is in one suffix; ``right`` ends with a
+    space, so that suffixes with equal first words stand together in the order of bytes.
     """
 
     def run(batches):
@@ -31,14 +38,17 @@ def sparse_suffixes(length: int, gram: int):
                     words = (text or "").encode().split()
                     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
                     grams = names(hashes, gram, gram).view(np.int64)
-                    places = set()
                     for r in wanted:
-                        a, b = r["first"], r["first"] + r["count"] + length - gram
-                        places.update((a + np.flatnonzero(grams[a:b] == r["name"])).tolist())
-                    for p in sorted(places):
-                        for c, v in (("key", key), ("id", number), ("pos", p), ("right", b" ".join(words[p:p + length]).decode()),
-                                     ("left", b" ".join(words[max(0, p - length):p][::-1]).decode())):
-                            out[c].append(v)
+                        first, stop = r["first"], r["first"] + r["count"]
+                        low = first
+                        for p in (first + np.flatnonzero(grams[first:stop + length - gram] == r["name"])).tolist():
+                            high = min(p, stop - 1)
+                            if low > high:
+                                break
+                            for c, v in (("key", key), ("id", number), ("pos", p), ("right", b" ".join(words[p:high + length]).decode() + " "),
+                                         ("left", b" ".join(words[low:p]).decode())):
+                                out[c].append(v)
+                            low = p + 1
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
                     ("key", pa.string()), ("id", pa.int64()), ("pos", pa.int64()), ("right", pa.string()), ("left", pa.string())]))
 
@@ -55,88 +65,110 @@ def common(a: list[str], b: list[str]) -> int:
     return n
 
 
-def neighbours(length: int, edges: bool = False):
-    """For ``mapInArrow`` over sorted suffixes: repeats of at least ``length`` words between neighbours.
+def neighbours(length: int, gram: int, at_once: int = WINDOWS_AT_ONCE):
+    """For ``mapInArrow`` over one range of the sorted suffixes: windows that a smaller id has as well.
 
-    Neighbours that match form a chain. Along it, in both directions, the smallest id is carried on
-    with the words that all suffixes on the way agree in, left and right, as long as these are
-    enough; a suffix of a larger id is a repeat there, and also where its neighbour's id is smaller.
-    ``edges`` gives the first and the last suffix of the partition instead, for the neighbours
-    across partitions.
+    Neighbours that agree in ``gram`` words form a group; equal windows are in one group. A window that
+    reaches further to the right than either neighbour agrees is unique. Of the others the smallest
+    id of each is taken by a 128-bit digest of its words, whatever stands between its holders. Groups that may go on in another
+    range, the first and the last, and groups of more than ``at_once`` windows give their windows
+    instead, to be compared by :func:`sorted_matches`.
     """
 
-    def close(chain, links):
-        for rows, steps in ((chain, links), (chain[::-1], links[::-1])):
-            carried = None
-            for i, (key, number, pos) in enumerate(rows):
-                seen = []
-                if i:
-                    left, right = steps[i - 1]
-                    seen.append((rows[i - 1][1], left, right))
-                    if carried is not None:
-                        carried = carried[0], min(carried[1], left), min(carried[2], right)
-                        carried = carried if carried[1] + carried[2] >= length else None
-                        seen += [carried] if carried else []
-                for earlier, left, right in seen:
-                    if earlier < number:
-                        yield key, pos - left, pos + right, earlier
-                if carried is None or number <= carried[0]:
-                    carried = number, length, length
-
     def rows(batches):
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "pos", "right", "left"))):
-                yield row
-
-    def repeats(batches):
-        chain, links, before = [], [], None
-        for key, number, pos, right, left in rows(batches):
-            right, left = right.split(" "), left.split(" ") if left else []
-            r = common(before[0], right) if before else 0
-            n = common(before[1], left) if r else 0
-            if r + n >= length:
-                links.append((n, r))
-            else:
-                yield from close(chain, links)
-                chain, links = [], []
-            chain.append((key, number, pos))
-            before = right, left
-        yield from close(chain, links)
+            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "id", "pos", "right", "left")))
+
+    def groups(batches):
+        """Of each suffix: whether it begins a group, and the words in which the nearer of its neighbours agrees."""
+        held, before, begins = None, None, True
+        for row in rows(batches):
+            words = row[3].split(" ")[:-1]
+            if held is not None:
+                agree = common(held[1], words)
+                yield held[0], begins, length if before is None else max(before, agree)
+                before, begins = agree, agree < gram
+            held = row, words
+        if held is not None:
+            yield held[0], begins, length
+
+    def windows(row, agree):
+        """Start and digest of the windows of a suffix with at most ``agree`` words from its position on."""
+        key, number, pos, right, left = row
+        whole = (f"{left} {right}" if left else right).encode()
+        offset = [0, *accumulate(len(w) + 1 for w in whole[:-1].split(b" "))]
+        n = left.count(" ") + 1 if left else 0
+        return [(pos - n + i, xxhash.xxh3_128_digest(whole[offset[i]:offset[i + length] - 1]))
+                for i in range(min(len(offset) - length, n + agree - length + 1))]
+
+    def repeats(group):
+        least = {}
+        for _, number, found in group:
+            for _, digest in found:
+                if number < least.get(digest, NO_ID + 1):
+                    least[digest] = number
+        for key, number, found in group:
+            start = stop = earlier = None
+            for at, digest in found:
+                if least[digest] < number:
+                    if stop is not None and at == stop - length + 1:
+                        stop, earlier = at + length, min(earlier, least[digest])
+                        continue
+                    if stop is not None:
+                        yield key, start, stop, earlier, None
+                    start, stop, earlier = at, at + length, least[digest]
+            if stop is not None:
+                yield key, start, stop, earlier, None
+
+    def left_open(group):
+        for key, number, found in group:
+            for at, digest in found:
+                yield key, at, at + length, number, digest
+
+    def found(batches):
+        group, size, is_open, first = [], 0, True, True
+        for row, begins, agree in groups(batches):
+            if begins and not first:
+                yield from (left_open if is_open else repeats)(group)
+                group, size, is_open = [], 0, False
+            first = False
+            mine = windows(row, agree)
+            if mine:
+                group.append((row[0], row[1], mine))
+                size += len(mine)
+            if size > at_once:
+                yield from left_open(group)
+                group, size, is_open = [], 0, True
+        yield from left_open(group)
 
     def run(batches):
         out = {c: [] for c in FOUND_ARROW.names}
-        for found in repeats(batches):
-            for c, v in zip(out, found):
+        for row in found(batches):
+            for c, v in zip(out, row):
                 out[c].append(v)
             if len(out["key"]) >= 10_000:
                 yield pa.RecordBatch.from_pydict(out, schema=FOUND_ARROW)
                 out = {c: [] for c in FOUND_ARROW.names}
         yield pa.RecordBatch.from_pydict(out, schema=FOUND_ARROW)
 
-    def ends(batches):
-        first = last = None
-        for batch in batches:
-            if batch.num_rows:
-                first = batch.slice(0, 1) if first is None else first
-                last = batch.slice(batch.num_rows - 1, 1)
-        if first is not None:
-            yield first
-            yield last
-
-    return ends if edges else run
+    return run
 
 
-def sorted_matches(suffixes: DataFrame, order: list[str], length: int) -> DataFrame:
-    """Repeats between neighbours in one global order, cut into ranges of suffixes.
+def sorted_matches(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
+    """key, start, stop, earlier: repeats in the global order of the suffixes, cut into ranges.
 
     Ranges follow the suffixes themselves, so a minimiser with a third of all suffixes is cut like any other. The
-    ends of the ranges, two rows for each, are compared once more in one task.
+    windows of groups that one range may not hold alone are aggregated map-side to their smallest id and joined
+    back as plain tables, so that a window with very many holders can be split.
     """
-    laid = cut(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "sorted")
-    laid = laid.repartition("part").sortWithinPartitions("part", *order)
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema)
-    edges = laid.mapInArrow(neighbours(length, edges=True), kind).coalesce(1).sortWithinPartitions(*order)
-    return laid.mapInArrow(neighbours(length), FOUND).unionByName(edges.mapInArrow(neighbours(length), FOUND))
+    order = ["right", "left", "id", "key", "pos"]
+    laid = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = cut(laid.mapInArrow(neighbours(length, gram), FOUND), "ranges")
+    windows = found.where("is IS NOT NULL")
+    earliest = cut(windows.groupBy("is").agg(F.min("earlier").alias("least"), F.max("earlier").alias("most"))
+                   .where("least < most").select("is", "least"), "earliest")
+    across = windows.withColumnRenamed("earlier", "id").join(earliest, "is").where("least < id")
+    return found.where("is IS NULL").drop("is").unionByName(across.select("key", "start", "stop", F.col("least").alias("earlier")))
 
 
 def suffix_repeats(docs: DataFrame, length: int = 50, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -144,10 +176,10 @@ def suffix_repeats(docs: DataFrame, length: int = 50, gram: int = GRAM, text: st
 
     A text's suffixes are kept at minimiser positions only: where a sequence of ``gram`` words has the smallest
     hash of a window of ``length`` words. Equal passages of that length have a minimiser in common.
-    Positions whose sequence occurs in one text only are dropped. The others are sorted twice, by the
-    words to the right and by the words to the left, and neighbours are compared in both directions; if they agree in
-    ``length`` words around the position, both hold the passage. Longer passages hold further
-    minimisers, and their spans are joined. ``earlier_doc_id`` is the smallest id that was met.
+    Positions whose sequence occurs in one text only are dropped. The others are sorted by the words to
+    the right; suffixes that begin alike stand together, and among them every window of ``length`` words around the
+    position is compared by its whole words. So a word is in a span if and only if a window that covers it also starts in a document
+    of smaller id, and ``earlier_doc_id`` is the smallest id that has one of the windows.
 
     Of equal texts only the smallest id is looked at; the others, if long enough, are whole repeats. NULL and
     blank texts have no words. Documents without id come last and are not repeats of each other. Repeated
@@ -170,9 +202,7 @@ def suffix_repeats(docs: DataFrame, length: int = 50, gram: int = GRAM, text: st
         wanted.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("least"))).select("key", "id", "text", "runs")
     suffixes = cut(suspects.mapInArrow(
         sparse_suffixes(length, gram), "key string, id long, pos long, right string, left string"), "suffixes")
-    found = sorted_matches(suffixes, ["right", "left", "id", "key", "pos"], length).unionByName(
-        sorted_matches(suffixes, ["left", "right", "id", "key", "pos"], length))
-    found = cut(found.groupBy("key").agg(
+    found = cut(sorted_matches(suffixes, length, gram).groupBy("key").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("parts"), F.min("earlier").alias("earlier")), "found")
 
     def add(done, x):

@@ -31,3 +31,34 @@ def test_edge_rows(spark):
     out = suffix_repeats(docs(spark, [text, text, text, None], [4, 4, None, None]), 10, 3).collect()
     assert sorted((str(r.doc_id), r.n_repeated, r.earlier_doc_id) for r in out) == [("4", 0, None), ("4", 0, None), ("None", 0, None), ("None", 30, 4)]
     assert suffix_repeats(docs(spark, []), 50).count() == 0
+
+
+def compared(spark, rows, length, gram):
+    """Spans of all windows, and the smallest id that has one of them."""
+    got = run(spark, rows, length, gram)
+    for (i, text), (n, gone, _) in zip(rows, expected(rows, length)):
+        assert got[i][:3] == (n, gone, len(gone)), i
+        words, least = text.split(), []
+        for p in range(len(words) - length + 1):
+            window = f" {' '.join(words[p:p + length])} "
+            least += [j for j, t in rows if j < i and window in f" {t} "]
+        assert got[i][3] == min(least, default=None), i
+
+
+@pytest.fixture
+def many_ranges(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hundreds_of_holders_over_many_ranges(spark, many_ranges):
+    """One passage in 300 texts with other words around it, cut into 40 ranges: all but the smallest id are repeats."""
+    rng = random.Random(5)
+    passage = prose(rng, 12, 5000)
+    rows = [(i, f"{prose(rng, 15, 5000)} {passage} {prose(rng, 15, 5000)}") for i in range(300)]
+    rng.shuffle(rows)
+    compared(spark, rows, 10, 3)
