@@ -62,3 +62,36 @@ def test_hundreds_of_holders_over_many_ranges(spark, many_ranges):
     rows = [(i, f"{prose(rng, 15, 5000)} {passage} {prose(rng, 15, 5000)}") for i in range(300)]
     rng.shuffle(rows)
     compared(spark, rows, 10, 3)
+
+
+def around(left, right, length, number):
+    """Words that agree with the common ones in ``left`` words before a marker and ``right`` words from it on."""
+    before = [f"l{j}" if j < left else f"x{number}l{j}" for j in range(length)][::-1]
+    after = [f"r{j}" if j < right else f"x{number}r{j}" for j in range(length)]
+    return " ".join([*before, *after])
+
+
+def test_holders_with_others_between_them(spark):
+    """Holders of one passage that agree to the left and to the right in different measure, with others sorted between."""
+    rng = random.Random(9)
+    for _ in range(3):
+        rows = [(i, around(rng.randrange(11), rng.randrange(3, 11), 10, rng.randrange(40))) for i in range(60)]
+        compared(spark, rows, 10, 3)
+
+
+@pytest.mark.parametrize("at_once", [2, 1 << 17])
+def test_groups_inside_a_range(at_once):
+    """Held in memory or left open, every equal window of a group is found; a group between two others is not left open."""
+    import pyarrow as pa
+
+    from epitide.llm.suffixes import neighbours
+    rows = [("z", 9, 0, "a a a a ", ""), ("k1", 1, 3, "b b b c ", "p q"), ("k2", 7, 3, "b b b d ", "o q"), ("k3", 3, 3, "b b b e ", "p q"),
+            ("y", 9, 0, "c c c c ", "")]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("key", "id", "pos", "right", "left"), map(list, zip(*rows)))))
+    found = [r for b in neighbours(5, 3, at_once)([batch]) for r in b.to_pylist()]
+    repeats = {(r["key"], r["start"], r["stop"], r["earlier"]) for r in found if r["is"] is None}
+    opened = {r["key"] for r in found if r["is"] is not None}
+    if at_once == 2:
+        assert not repeats and opened == {"k1", "k2", "k3"}
+    else:
+        assert repeats == {("k3", 1, 6, 1)} and not opened
