@@ -19,6 +19,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "span strike strong sub sup time tt u var wbr br img".split())
 SILENT = frozenset("script style template noscript iframe object svg math canvas audio video".split())
 CONTENT = frozenset("article main".split())
+#: Elements around the whole page, whose names say nothing of a branch.
+WHOLE = frozenset("html body".split())
 NOISE = frozenset("head title nav aside footer form button select option label textarea menu dialog input fieldset".split())
 #: Parts of class names and ids that say what a branch is for.
 NOISE_NAMES = frozenset(
@@ -43,15 +45,36 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, float]] = [("#", "", 0.5)]
+        #: Open elements, each with its path and the number of its branch.
+        self.stack: list[tuple[str, str, int]] = [("#", "", 0)]
+        #: Of each branch: the one above, its path, what its element and names say, article or main below it or not.
+        self.above, self.paths, self.says, self.holds = [0], [""], ["open"], [False]
         self.parts: list[str] = []
         self.silent = 0
         self.blocks: list[tuple[str, str]] = []
         self.children: dict[str, dict[str, None]] = {}
-        self.prior: dict[str, float] = {"": 0.5}
         self.feed(html)
         self.close()
         self.end_block()
+        self.prior = self.priors()
+
+    def priors(self) -> dict[str, float]:
+        """Least prior of the branches of each path: 1 in an article or main element, 0 in what is called noise, else 0.5.
+
+        One word in a class or id does not speak for a branch with an article in it, nor for the whole page.
+        """
+        each, least = [0.5], {"": 0.5}
+        for i in range(1, len(self.above)):
+            prior, says = each[self.above[i]], self.says[i]
+            if says == "noise" or (says == "named" and not self.holds[i]) or (says == "header" and prior < 1):
+                prior = 0.0
+            elif says == "content" and prior > 0:
+                prior = 1.0
+            elif says == "doubtful" and prior > 0:
+                prior = 0.5
+            each.append(prior)
+            least[self.paths[i]] = min(prior, least.get(self.paths[i], prior))
+        return least
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -80,20 +103,29 @@ class Page(HTMLParser):
                     break
                 if self.stack[i][0] in SCOPE:
                     break
-        _, above, prior = self.stack[-1]
+        _, above, branch = self.stack[-1]
         names = [x for k, v in attrs if k in ("class", "id") and v for x in v.split()]
         words = {w for n in names for w in n.lower().replace("_", "-").split("-")} | {
             v for k, v in attrs if k == "role" and v}
         name = f"{tag}.{names[0].lower()}" if names else tag
         path = above if above.rpartition("/")[2] == name else f"{above}/{name}"
-        if tag in NOISE or words & NOISE_NAMES or (tag == "header" and prior < 1):
-            prior = 0.0
-        elif (tag in CONTENT or "main" in words) and prior > 0:
-            prior = 1.0
+        named = bool(words & NOISE_NAMES) and tag not in WHOLE
+        if tag in NOISE:
+            says = "noise"
+        elif named:
+            says = "doubtful" if tag in CONTENT else "named"
+        else:
+            says = "header" if tag == "header" else "content" if tag in CONTENT or "main" in words else "open"
+        if says == "content":
+            up = branch
+            while up and not self.holds[up]:
+                self.holds[up] = True
+                up = self.above[up]
         self.children.setdefault(above, {})[name] = None
-        self.prior[path] = min(prior, self.prior.get(path, prior))
+        for column, value in ((self.above, branch), (self.paths, path), (self.says, says), (self.holds, False)):
+            column.append(value)
         if tag not in VOID:
-            self.stack.append((tag, path, prior))
+            self.stack.append((tag, path, len(self.above) - 1))
 
     def handle_endtag(self, tag):
         if tag not in INLINE and tag not in SILENT:

@@ -63,3 +63,14 @@ def test_host(spark):
     urls = ["http://A.org/x", "https://u:p@b.org:80?q", "c.org/x", None, "ftp://d.org#f"]
     got = [r.h for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host(F.col("u")).alias("h")).collect()]
     assert got == ["a.org", "b.org", "", "", "d.org"]
+
+
+def test_a_name_does_not_empty_a_page_with_an_article(spark):
+    article = "<article><p>All of it</p><div class='comments'><p>Nice!</p></div></article>"
+    pages = [f"<body class='no-sidebar'>{article}</body>", f"<html id='page-search'><body>{article}</body></html>",
+             f"<body><div class='widget-area content'>{article}</div></body>",
+             f"<body><div class='has-nav'><div class='site-header'><h1>Name</h1></div><div id='login-wrap'>{article}</div></div></body>",
+             "<body><main class='has-sidebar'><p>All of it</p></main></body>",
+             "<body><article><p>All of it</p></article><div class='comments'><article class='comment'>Nice!</article></div></body>"]
+    got = texts(spark, [(i, f"http://h{i}.org/", page) for i, page in enumerate(pages)])
+    assert got == {i: "All of it" for i in range(len(pages))}
