@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epitide.llm.common import text_key
 from epitide.session import cut
 
 #: The lists of unimportant nodes are broadcast only if they have no more bytes than this.
@@ -221,13 +222,16 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
     NULL and empty pages have an empty text, pages without a host share one tree. Repeated rows
     and NULL ids stay as they are, an empty table gives an empty one, other columns are not read.
 
+    Equal pages of a host count once in its tree, and each of them has the text.
+
     Pages are parsed once for the counts and once for the text, so no text is moved or written on
-    the way: only numbers of blocks are aggregated, and each page gets the list of its host's
+    the way: only numbers of blocks are aggregated, map-side for equal pages, and each page gets the list of its host's
     unimportant nodes, of those whose names do not decide. The lists are broadcast if their
     measured bytes allow it and joined by host otherwise.
     """
-    blocks = cut(pages.select(host(F.col(url)).alias("host"), F.explode(parsed(F.col(html), COUNTED, page_counts)).alias("b"))
-                 .select("host", "b.*"), "blocks")
+    counted = (pages.select(host(F.col(url)).alias("host"), text_key(F.col(html)).alias("page"), parsed(F.col(html), COUNTED, page_counts).alias("b"))
+               .groupBy("host", "page").agg(F.first("b").alias("b")))
+    blocks = cut(counted.select("host", F.explode("b").alias("b")).select("host", "b.*"), "blocks")
     low = (style_tree(blocks).where((F.col("importance") < KEEP_FROM) & (F.col("prior") == 0.5) & (F.col("pages") >= PAGES_AT_LEAST))
            .groupBy("host").agg(F.collect_set("node").alias("low")))
     low = cut(low.select("host", "low", F.size("low").alias("nodes")), "low")

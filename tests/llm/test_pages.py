@@ -74,3 +74,14 @@ def test_a_name_does_not_empty_a_page_with_an_article(spark):
              "<body><article><p>All of it</p></article><div class='comments'><article class='comment'>Nice!</article></div></body>"]
     got = texts(spark, [(i, f"http://h{i}.org/", page) for i, page in enumerate(pages)])
     assert got == {i: "All of it" for i in range(len(pages))}
+
+
+def test_copies_of_a_page_count_once(spark):
+    """Copies are no boilerplate: neither alone on a host nor as a third of its pages."""
+    page = "<body><div class='x1'>Welcome to this place</div><div class='x2'><p>text {}</p></div></body>"
+    rows = [(i, "http://alone.org/copy", page.format("of copies")) for i in range(20)]
+    rows += [(100 + i, f"http://third.org/{i}", page.format(max(i, 40))) for i in range(120)]
+    got = texts(spark, rows)
+    assert len(got) == 140
+    assert all(got[i] == "Welcome to this place\n\ntext of copies" for i in range(20))
+    assert all(got[100 + i] == f"text {max(i, 40)}" for i in range(120))
