@@ -35,8 +35,10 @@ SCOPE = frozenset("html body article main section div ul ol dl table blockquote
 
 #: Weights of presentation and content in the importance of a node, and the least importance that stays.
 SHOWN, SAID, KEEP_FROM = 0.55, 0.45, 0.5
-#: A node that a host shows on fewer pages is judged by its names only.
-PAGES_AT_LEAST = 5
+#: Presentation of a node whose names call it content: it goes if its texts are the same on nearly all of many pages.
+CONTENT_SHOWN = 0.75
+#: What m pages of a host say weighs (m - 1) / (m - 1 + DOUBT); the rest is what one page says.
+DOUBT = 4.0
 BLOCK = "array<struct<text:string,node:bigint,prior:double>>"
 COUNTED = "array<struct<feature:bigint,fresh:boolean,node:bigint,first:boolean,style:bigint,prior:double>>"
 
@@ -192,7 +194,8 @@ def style_tree(blocks: DataFrame) -> DataFrame:
 
     A node is a path of element names with their first class; of a branch, the nodes that hold text
     decide. Its content importance is 1 minus the mean entropy, over the m pages that have the node,
-    of the texts in it: a text of one page has entropy 0, one of all pages log m / log m = 1. Its
+    of the texts in it: a text of one page has entropy 0, one of all pages log m / log m = 1. The entropies
+    count by a weight that grows gradually with m. Its
     presentation importance starts from what its names say (article, menu, ...) and, where they say
     nothing, grows with the entropy of the child styles it shows. Counts are aggregated map-side
     by (host, node, text) and by (host, node, style), so a host with a third of all pages is spread
@@ -204,9 +207,10 @@ def style_tree(blocks: DataFrame) -> DataFrame:
               .groupBy("host", "node").agg(F.sum(F.col("k") * F.log("k")).alias("style_sum"), F.sum("k").alias("pages"),
                                            F.min("prior").alias("prior")))
     spread = F.log(F.col("pages"))
-    content = F.when(F.col("pages") > 1, 1 - F.least(F.lit(1.0), F.col("text_sum") / F.col("texts") / spread)).otherwise(1.0)
-    styled = F.when(F.col("pages") > 1, 1 - F.col("style_sum") / F.col("pages") / spread).otherwise(0.5)
-    shown = F.when(F.col("prior") == 0.5, 0.25 + 0.5 * styled).otherwise(F.col("prior"))
+    trust = (F.col("pages") - 1) / (F.col("pages") - 1 + F.lit(DOUBT))
+    content = F.when(F.col("pages") > 1, 1 - trust * F.least(F.lit(1.0), F.col("text_sum") / F.col("texts") / spread)).otherwise(1.0)
+    styled = F.when(F.col("pages") > 1, 0.5 + trust * (0.5 - F.col("style_sum") / F.col("pages") / spread)).otherwise(0.5)
+    shown = F.when(F.col("prior") == 0.5, 0.25 + 0.5 * styled).when(F.col("prior") == 1, F.lit(CONTENT_SHOWN)).otherwise(F.col("prior"))
     return features.join(styles, ["host", "node"]).select(
         "host", "node", "pages", "prior", (SHOWN * shown + SAID * content).alias("importance"))
 
@@ -214,9 +218,8 @@ def style_tree(blocks: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """page_id, url, text of every page: what is left when branches of low importance are removed.
 
-    A branch that its names call a menu, footer, advert and so on is always below KEEP_FROM, one
-    inside an article or main element always above it; for all others the entropies of the
-    host's pages decide, if PAGES_AT_LEAST have the branch. Blocks are joined in page order by an empty line, white space inside a
+    A branch that its names call a menu, footer, advert and so on is always below KEEP_FROM; for all others the
+    entropies of the host's pages decide, inside an article or main element from a higher importance. Blocks are joined in page order by an empty line, white space inside a
     block is one space.
 
     NULL and empty pages have an empty text, pages without a host share one tree. Repeated rows
@@ -226,13 +229,13 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
 
     Pages are parsed once for the counts and once for the text, so no text is moved or written on
     the way: only numbers of blocks are aggregated, map-side for equal pages, and each page gets the list of its host's
-    unimportant nodes, of those whose names do not decide. The lists are broadcast if their
+    unimportant nodes, of those whose names do not call them noise. The lists are broadcast if their
     measured bytes allow it and joined by host otherwise.
     """
     counted = (pages.select(host(F.col(url)).alias("host"), text_key(F.col(html)).alias("page"), parsed(F.col(html), COUNTED, page_counts).alias("b"))
                .groupBy("host", "page").agg(F.first("b").alias("b")))
     blocks = cut(counted.select("host", F.explode("b").alias("b")).select("host", "b.*"), "blocks")
-    low = (style_tree(blocks).where((F.col("importance") < KEEP_FROM) & (F.col("prior") == 0.5) & (F.col("pages") >= PAGES_AT_LEAST))
+    low = (style_tree(blocks).where((F.col("importance") < KEEP_FROM) & (F.col("prior") > 0))
            .groupBy("host").agg(F.collect_set("node").alias("low")))
     low = cut(low.select("host", "low", F.size("low").alias("nodes")), "low")
     size = low.agg(F.coalesce(F.sum(F.col("nodes") * 8 + 64), F.lit(0))).first()[0]
@@ -241,5 +244,5 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
                         parsed(F.col(html), BLOCK, page_blocks).alias("b"))
     rows = rows.join(F.broadcast(low) if size <= BROADCAST_BYTES else low, F.col("host") == F.col("_host"), "left")
     known = F.when(F.col("low").isNull(), F.array().cast("array<bigint>")).otherwise(F.col("low"))
-    stay = F.filter("b", lambda x: (x["prior"] == 1) | ((x["prior"] == 0.5) & ~F.array_contains(known, x["node"])))
+    stay = F.filter("b", lambda x: (x["prior"] > 0) & ~F.array_contains(known, x["node"]))
     return rows.select("page_id", "url", F.array_join(F.transform(stay, lambda x: x["text"]), "\n\n").alias("text"))

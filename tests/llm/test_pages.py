@@ -85,3 +85,25 @@ def test_copies_of_a_page_count_once(spark):
     assert len(got) == 140
     assert all(got[i] == "Welcome to this place\n\ntext of copies" for i in range(20))
     assert all(got[100 + i] == f"text {max(i, 40)}" for i in range(120))
+
+
+def test_repeated_branch_inside_an_article(spark):
+    """An article loses what its host repeats on all of many pages; on few pages repetition says little."""
+    page = "<article><p>text {} of its own</p><div class='x7'>Rate this text</div></article>"
+    rows = [(i, f"http://many.org/{i}", page.format(i)) for i in range(40)]
+    rows += [(100 + i, f"http://few.org/{i}", page.format(i)) for i in range(3)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"text {i} of its own" for i in range(40))
+    assert all(got[100 + i] == f"text {i} of its own\n\nRate this text" for i in range(3))
+
+
+def test_importance_moves_gradually_with_the_pages(spark):
+    """A repeated branch loses importance with every page, without a jump at some number of pages."""
+    from pyspark.sql import functions as F
+
+    from epitide.llm.pages import style_tree
+    rows = [(f"h{m}", 1, 2, True, True, 3, 0.5) for m in range(2, 30) for _ in range(m)]
+    blocks = spark.createDataFrame(rows, "host string, node long, feature long, fresh boolean, first boolean, style long, prior double")
+    tree = {r.pages: r.importance for r in style_tree(blocks).orderBy(F.col("pages")).collect()}
+    steps = [tree[m] - tree[m + 1] for m in range(2, 29)]
+    assert all(0 < s < 0.1 for s in steps) and steps == sorted(steps, reverse=True)
