@@ -171,14 +171,19 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = C
     allow-list. All work is inside the row, so no row is moved, whatever its key or length. NULL
     is scanned as the empty text; other columns pass through.
     """
+    spans = F.array_sort(F.concat("_base", outside(F.col("_hot"), F.col("_base"))))
+    return searched(docs, text, classes, allowed).withColumn("_spans", spans).drop("_hot")
+
+
+def searched(docs: DataFrame, text: str, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+    """``docs`` with ``_base`` as in :func:`scan` and ``_hot``, all entropy spans, also those that touch a base span."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(plain(found(t, ASSIGN, 0, 2, ASSIGNED_AT_LEAST)), plain(found(t, ACCESS, 1)), plain(found(t, HEX, 2)))
     out = docs.withColumn("_base", F.array_sort(base))
     for i, of in enumerate(classes):
-        out = out.withColumn(f"_more{i}", outside(entropy_spans(t, of, allowed), F.col("_base")))
+        out = out.withColumn(f"_more{i}", entropy_spans(t, of, allowed))
     more = F.concat(F.array().cast(f"array<{SPAN}>"), *[F.col(f"_more{i}") for i in range(len(classes))])
-    return (out.withColumn("_spans", F.array_sort(F.concat("_base", F.array_distinct(more))))
-            .drop(*[f"_more{i}" for i in range(len(classes))]))
+    return out.withColumn("_hot", F.array_distinct(more)).drop(*[f"_more{i}" for i in range(len(classes))])
 
 
 def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -190,7 +195,8 @@ def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every secret replaced by ``mask``; documents without secrets are unchanged.
 
-    Overlapping spans are replaced once. No document is dropped; a NULL text stays NULL.
+    Overlapping spans are replaced once, and an entropy span that touches a base span is replaced as a
+    whole, so no part of a longer secret stays. No document is dropped; a NULL text stays NULL.
     """
     t = F.col(text)
 
@@ -205,7 +211,8 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", **option
     rest = F.aggregate(F.col("_spans"), first, step, lambda now: F.concat(
         now["out"], F.array(F.substring(t, now["at"] + 1, F.char_length(t)))))
     clean = F.when(F.size("_spans") > 0, F.array_join(rest, "")).otherwise(t)
-    return scan(docs, text, **options).withColumn(text, clean).select(*docs.columns)
+    spans = F.array_sort(F.concat("_base", "_hot"))
+    return searched(docs, text, **options).withColumn("_spans", spans).withColumn(text, clean).select(*docs.columns)
 
 
 def count_kind(spans: Column, kind: str) -> Column:
