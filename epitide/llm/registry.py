@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, caps, decontam, pages, repeats, secret_scan, shards, simhash, suffixes, toxicity
+from epitide.llm import bpe, caps, decontam, fim, pages, repeats, secret_scan, shards, simhash, suffixes, toxicity
 from epitide.llm.common import table
 from epitide.llm.sql import SQL  # noqa: F401
 
@@ -86,3 +86,10 @@ def op10_fm_index(spark, sf_dir):
     out = repeats.repeated_passages(table(spark, sf_dir, "documents"), window=50)
     kept = F.when(F.col("kept").isNull(), F.col("whole_sha256")).otherwise(F.sha2("kept", 256))
     return out.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+@query
+def op13_displacement_scatter(spark, sf_dir):
+    out = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents"), rate=90, spm=20))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output"), 256).alias("output_sha256"),
+                      F.sha2(F.col("restored"), 256).alias("restored_sha256"))

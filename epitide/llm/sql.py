@@ -118,9 +118,29 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM e JOIN groups ON vec_id = node LEFT JOIN counts ON vec_id = a"""
 
+FILL_IN_MIDDLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT *, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS b,
+         CAST('0x' || x[17:24] AS BIGINT) % 100 AS rate, CAST('0x' || x[25:32] AS BIGINT) % 100 AS spm FROM d),
+f AS (
+  SELECT doc_id, t, n, least(a, b) AS low, greatest(a, b) AS high,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR rate >= 90 THEN 'plain'
+              WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, substring(t, 1, low) AS prefix, substring(t, low + 1, high - low) AS middle, substring(t, high + 1, n - high) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
 SQL: dict[str, str] = {
     "op4_secret_scan": secret_sql(),
     "op7_spherical_caps": EMBEDDINGS,
     "op8_decontamination": CONTAMINATION,
     "op10_fm_index": REPEATS,
+    "op13_displacement_scatter": FILL_IN_MIDDLE,
 }
