@@ -118,6 +118,38 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM e JOIN groups ON vec_id = node LEFT JOIN counts ON vec_id = a"""
 
+PREFIX_TRIE = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))) AS t),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64), md5(coalesce(text, ''))) AS no
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'k': md5(length(r) || ':' || r || x), 'b': CAST(strlen(x) AS BIGINT)} ORDER BY no) AS s FROM turns GROUP BY conv_id),
+h AS (
+  SELECT conv_id, s, conv_id - conv_id % 5 AS first,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM own, crc),
+whole AS (
+  SELECT h.conv_id, list_concat(coalesce(f.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN own f ON f.conv_id = h.first),
+prefixes AS (
+  SELECT conv_id, d, md5(array_to_string(list_transform(s[1:d], lambda x: x.k), ',')) AS node, d = len(s) AS last, s[d].b AS b,
+         CASE WHEN d > 0 THEN md5(array_to_string(list_transform(s[1:d - 1], lambda x: x.k), ',')) END AS parent
+  FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent,
+         CASE WHEN d > 0 THEN (count(*) - 1) * any_value(b) ELSE 0 END AS own,
+         sha256(coalesce(string_agg(CASE WHEN last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, node),
+children AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT p.d, p.node, sum(n.own) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.d <= n.d LEFT JOIN children c ON c.d = n.d AND c.node = n.node GROUP BY p.d, p.node)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (d, node) LEFT JOIN children c USING (d, node) LEFT JOIN nodes up ON up.d = n.d - 1 AND up.node = n.parent"""
+
 FILL_IN_MIDDLE = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
@@ -142,5 +174,6 @@ SQL: dict[str, str] = {
     "op7_spherical_caps": EMBEDDINGS,
     "op8_decontamination": CONTAMINATION,
     "op10_fm_index": REPEATS,
+    "op12_sequence_collapse": PREFIX_TRIE,
     "op13_displacement_scatter": FILL_IN_MIDDLE,
 }
