@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epitide.llm import bpe, caps, decontam, fim, pages, prefixes, repeats, secret_scan, shards, simhash, suffixes, toxicity
+from epitide.llm import bpe, caps, decontam, fim, pages, prefixes, repeats, secret_scan, shards, simhash, suffixes, toxicity, vptree
 from epitide.llm.common import table
 from epitide.llm.sql import SQL  # noqa: F401
 
@@ -88,6 +88,11 @@ def op10_fm_index(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+@query
+def op11_vantage_points(spark, sf_dir):
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50, recall=0.98)
+
+
 @query
 def op12_sequence_collapse(spark, sf_dir):
     return prefixes.conversation_trie(table(spark, sf_dir, "conversations")).digests()

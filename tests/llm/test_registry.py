@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import prose
 
@@ -26,6 +27,9 @@ COLUMNS = {
     8: ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     9: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     10: ["doc_id", "n_words", "n_removed", "kept_sha256"],
+    11: ["query_id", "rank", "vec_id", "score"],
+    12: ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    13: ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 
@@ -50,6 +54,8 @@ def test_columns_and_rows(spark):
     for name, fn in QUERIES.items():
         out = fn(spark, FOLDER)
         assert out.columns == COLUMNS[int(re.match(r"op(\d+)_", name)[1])], name
+        if name.startswith(("op11_", "op12_")):
+            continue
         source = {5: "pages", 7: "embeddings"}.get(int(re.match(r"op(\d+)_", name)[1]), "documents")
         assert out.count() == spark.read.parquet(f"{FOLDER}/{source}.parquet").count(), name
 
@@ -61,7 +67,27 @@ def test_sql_checks(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) < set(queries()) and "pipeline" in queries() and set(SQL) <= set(oracle_sql())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_recall_of_nearest_on_the_given_tables(spark, sf):
+    """Recall against brute force over the whole table, and exact scores of what is found."""
+    d = f"/root/testdata/sf{sf}"
+    rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = QUERIES["op11_vantage_points"](spark, d).collect()
+    asked = np.flatnonzero(ids % 50 == 0)
+    cosines = x[asked] @ x.T
+    cosines[np.arange(len(asked)), asked] = -2
+    want = {(ids[q], ids[j]) for q, c in zip(asked, cosines) for j in np.argsort(-c)[:5]}
+    assert len(got) == len(want) == 5 * len(asked)
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
+    place = {i: n for n, i in enumerate(ids)}
+    for r in got:
+        assert abs(r.score - x[place[r.query_id]] @ x[place[r.vec_id]]) < 1e-12
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(i, n) for i in sorted(ids[asked]) for n in range(1, 6)]
 
 
 def test_sizes_and_checksums(spark, folder):
@@ -81,7 +107,6 @@ def test_pipeline_against_plain_steps(spark, folder):
     from helpers import union_find
     from tokenizers import Tokenizer
 
-    import numpy as np
     import public_tokenizers
     d, rows, tests = folder
     docs = spark.read.parquet(f"{d}/documents.parquet")
