@@ -46,14 +46,6 @@ def waiting_logpdf(rate: Column, wait: Column) -> Column:
     return F.when(rate > 0, F.ln(rate) - rate * wait).otherwise(F.lit(MINUS_INF))
 
 
-def weighted_term(a: Column, b: Column, g: Column, infected: Column, removed: Column, size: Column,
-                  wait: Column, weight: Column) -> Column:
-    """Weighted log likelihood of one state; the last ``g I`` enters with a plus sign."""
-    rate = new_case_rate(a, b, infected, removed, size)
-    leaving = g * infected
-    return (safe_ln(rate + leaving) - wait * rate + leaving) * weight
-
-
 def fisher_bound(size: Column, beta: Column, gamma: Column, x: Column) -> Column:
     """Upper bound of the information that the case number ``x`` holds on the size; NULL at ``x = N``."""
     left = size - x
@@ -136,11 +128,3 @@ def log_grid(low: Column, high: Column, points: int) -> Column:
         F.sequence(F.lit(0), F.lit(points - 1)),
         lambda g: low * F.pow(high / low, g / F.lit(float(max(points - 1, 1)))),
     )
-
-
-def linear_grid(low: float, high: float, points: int) -> Column:
-    """Array of ``points`` values from ``low`` to ``high``, evenly spaced."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
-        lambda g: F.lit(float(low)) + g * F.lit((float(high) - float(low)) / max(points - 1, 1)),
-    )

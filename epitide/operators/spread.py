@@ -18,6 +18,9 @@ from epitide.session import cut
 #: at most this many keys can be large, because each holds more than its share of all rows
 LARGE_KEYS_AT_MOST = 100_000
 
+#: rows of a range, where the number of rows is known beforehand
+RANGE_ROWS = 2_000_000
+
 #: a key with fewer rows than this is never treated as large
 SMALL_KEY_ROWS = 5_000_000
 
@@ -70,14 +73,16 @@ def spread_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def lay_out(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def lay_out(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = 0) -> DataFrame:
     """Write ``rows`` in ranges of (keys, order) and add the range number ``_part``.
 
     Ranges follow the order columns too, so a large key is cut into many ranges of like
     size. ``order`` should tell apart all rows of a key. The table is written because the
     range bounds come from a sample: all later steps have to see one and the same division.
+    There are as many ranges as shuffle partitions, or, where the number of rows is given as
+    ``size``, as many as hold ``RANGE_ROWS`` rows each, if that is more.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_ROWS))
     ranged = rows.repartitionByRange(n, *[F.col(c) for c in (*keys, *order)])
     return cut(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
 

@@ -759,11 +759,20 @@ def unweighted_llh(spark, d):
     return rounded(rounded(got, "beta"), "llh", digits=2)
 
 
+def _weighted_mle(spark, d, **given):
+    got = waiting.weighted_mle(v.states(spark, d), USER, **given)
+    return rounded(rounded(got, "N", "beta", "a", "gamma", digits=4), "llh", digits=2)
+
+
 @query
 def weighted_mle(spark, d):
-    got = waiting.weighted_mle(v.states(spark, d), USER, F.lit(SIR["alpha"]), F.lit(SIR["gamma"]),
-                               (200.0, 500.0, 1000.0, 2000.0), (0.0, 3.0, 200))
-    return rounded(rounded(got, "beta"), "llh", digits=2)
+    return _weighted_mle(spark, d, a=SIR["alpha"], gamma=SIR["gamma"])
+
+
+@query
+def weighted_mle_free(spark, d):
+    """All four parameters free, as where none is given."""
+    return _weighted_mle(spark, d, gamma_max=SIR["gamma"] * 10, points={"N": 7, "beta": 7, "a": 5, "gamma": 5})
 
 
 # --- replicates and peaks -----------------------------------------------------------

@@ -171,7 +171,7 @@ def states(spark: SparkSession, folder: str) -> DataFrame:
     removal = F.when(F.col("event_type").isin("error", "signup"), 1).otherwise(0)
     laid = lay_out(
         log.select("user_id", "ts", "event_id", secs.alias("secs"), removal.alias("removal")),
-        ["user_id"], ["ts", "event_id"],
+        ["user_id"], ["ts", "event_id"], size=log.count(),
     )
     counted = running(
         laid, ["user_id"], ["ts", "event_id"],

@@ -18,6 +18,52 @@ _WEIGHTED = """
           FROM states, (SELECT g * (3.0 / 999) AS beta FROM range(1000) AS r(g)) WHERE wait IS NOT NULL)
     GROUP BY user_id, beta"""
 
+
+def _search(points: dict[str, int], given: dict[str, float], levels: int = 4, rate_max: float = 1000.0, gamma_max: float = 1.0) -> str:
+    """Search of the weighted likelihood: a lattice in a box, then the box between the neighbours of the best point."""
+    def most(plain, shrunk):
+        return f"CASE WHEN {plain} - {shrunk} / n > 0 THEN least(sw / ({plain} - {shrunk} / n), {rate_max}) ELSE {rate_max}::DOUBLE END"
+
+    box = ", ".join(f"lo_{x}, hi_{x}" for x in points)
+    ctes = ["""
+        rows AS (SELECT user_id, "I" AS i, "R" AS r, wait FROM states WHERE wait IS NOT NULL AND "I" <> 0),
+        bounds AS (
+            SELECT user_id, max(i + r) + 1 AS low, sum(i) AS sw, sum(i * wait * i) AS bi, sum(i * wait * i * (i + r)) AS bic,
+                   sum(i * wait) AS ai, sum(i * wait * (i + r)) AS aic FROM rows GROUP BY user_id)""",
+            f"""
+        box0 AS (SELECT user_id, {", ".join(f"0.0::DOUBLE AS lo_{x}, 1.0::DOUBLE AS hi_{x}" for x in points)} FROM bounds WHERE low <= 1e5)"""]
+    for level in range(levels):
+        shares = ", ".join(f"lo_{x} + (hi_{x} - lo_{x}) * (j_{x} / {max(m - 1, 1)}.0::DOUBLE) AS s_{x}" for x, m in points.items())
+        lattice = ", ".join(f"range({m}) AS r{x}(j_{x})" for x, m in points.items())
+        rate = {"beta": f"s_beta * {most('bi', 'bic')}", "a": f"s_a * {most('ai', 'aic')}", "gamma": f"{gamma_max} * s_gamma"}
+        picked = ", ".join(f"{given[x]}::DOUBLE AS v_{x}" if x in given else f"{rate[x]} AS v_{x}" for x in rate)
+        term = "((CASE WHEN lam + v_gamma * i > 0 THEN ln(lam + v_gamma * i) ELSE '-inf'::DOUBLE END) - wait * lam + v_gamma * i) * i"
+        step = ", ".join(f"greatest(s_{x} - (hi_{x} - lo_{x}) / {max(m - 1, 1)}, 0.0) AS lo_{x}, least(s_{x} + (hi_{x} - lo_{x}) / {max(m - 1, 1)}, 1.0) AS hi_{x}"
+                         for x, m in points.items())
+        ctes += [f"""
+        lattice{level} AS (
+            SELECT *, {picked} FROM (
+                SELECT *, low * pow(1e5 / low, s_N) AS n FROM (
+                    SELECT b.*, {", ".join(f"j_{x}" for x in points)}, {box}, {shares} FROM box{level} AS x JOIN bounds AS b USING (user_id), {lattice}))),
+        score{level} AS (
+            SELECT user_id, {", ".join(f"j_{x}" for x in points)}, sum({term}) AS llh
+            FROM (SELECT l.*, i, wait, (v_a + v_beta * i) * (1 - (i + r) / n) AS lam FROM lattice{level} AS l JOIN rows USING (user_id))
+            GROUP BY ALL),
+        best{level} AS (
+            SELECT * FROM (
+                SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(llh, 3) DESC, {", ".join(f"j_{x}" for x in points)}) AS pick
+                FROM lattice{level} JOIN score{level} USING (user_id, {", ".join(f"j_{x}" for x in points)})) WHERE pick = 1),
+        box{level + 1} AS (SELECT user_id, {step} FROM best{level})"""]
+    ends = {"N": ("bounds.low", "1e5"), "beta": ("0", rate_max), "a": ("0", rate_max), "gamma": ("0", gamma_max)}
+    name = {"N": "n", "beta": "v_beta", "a": "v_a", "gamma": "v_gamma"}
+    flags = ", ".join(
+        f'false AS "{x}_is_ub", false AS "{x}_is_lb"' if x in given else
+        f'{name[x]} >= {hi} - ({hi} - {lo}) / 1e5 AS "{x}_is_ub", {name[x]} <= {lo} + ({hi} - {lo}) / 1e5 AS "{x}_is_lb"' for x, (lo, hi) in ends.items())
+    return f"""WITH {",".join(ctes)}
+        SELECT user_id, round(n, 4) AS "N", round(v_beta, 4) AS beta, round(v_a, 4) AS a, round(v_gamma, 4) AS gamma, round(llh, 2) AS llh, {flags}
+        FROM bounds LEFT JOIN best{levels - 1} AS b USING (user_id)"""
+
+
 _MEANS = """SELECT region, year, t, round(avg(peak_t), {d}) AS peak_t, round(avg("peak_I"), {d}) AS "peak_I"
             FROM stitched_peaks GROUP BY region, year, t"""
 
@@ -393,15 +439,6 @@ SQL |= {
     "hist_ratio_to_peak": f"""
         SELECT ceil(m_star_t / peak_t / 0.5 - 0.5) * 0.5 AS bin, {_SHARE} FROM crossings
         WHERE m_star_t IS NOT NULL AND peak_t <> 0 GROUP BY 1""",
-    "weighted_mle": """
-        SELECT user_id, "N", round(beta, 6) AS beta, round(llh, 2) AS llh, beta >= 3.0 - 3e-5 AS is_ub_binding,
-               beta <= 3e-5 AS is_lb_binding
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(llh, 3) DESC, "N", beta) AS pick FROM (
-            SELECT user_id, "N", beta, sum(((CASE WHEN lam + 0.1 * "I" > 0 THEN ln(lam + 0.1 * "I") ELSE '-inf'::DOUBLE END)
-                                            - wait * lam + 0.1 * "I") * "I") AS llh
-            FROM (SELECT *, (0.0 + beta * "I") * (1 - ("I" + "R") / "N") AS lam
-                  FROM states, (SELECT g * (3.0 / 199) AS beta FROM range(200) AS r(g)),
-                       (SELECT unnest([200.0, 500.0, 1000.0, 2000.0])::DOUBLE AS "N") WHERE wait IS NOT NULL)
-            GROUP BY user_id, "N", beta))
-        WHERE pick = 1""",
+    "weighted_mle": _search({"N": 13, "beta": 17, "a": 1, "gamma": 1}, {"a": 0.0, "gamma": 0.1}),
+    "weighted_mle_free": _search({"N": 7, "beta": 7, "a": 5, "gamma": 5}, {}),
 }
