@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epitide.operators.series import first_crossing, prefix_rows, state_fold, with_position
+from epitide.operators.spread import join_keys
 
 
 # --- summaries over replicates ------------------------------------------------------
@@ -20,12 +21,12 @@ def mean_trajectory(trajectories: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fit_vs_data(trajectories: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean trajectory next to the observed counts, in long form ``week, var, val``."""
     mean = mean_trajectory(trajectories, keys).withColumnRenamed("t", "week")
-    wide = mean.join(series, [*keys, "week"]).select("week", "dS", "I", *keys)
+    wide = join_keys(mean, series, [*keys, "week"]).select("week", "dS", "I", *keys)
     return wide.unpivot([*keys, "week"], ["dS", "I"], "var", "val")
 
 
 def trajectories_with_estimate(trajectories: DataFrame, final: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return trajectories.join(final, list(keys))
+    return join_keys(trajectories, final, keys)
 
 
 def replicate_summary(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,10 +133,8 @@ def stitched_peak(
             F.struct(F.col("I").cast("double").alias("I"), (-F.col("step")).cast("long").alias("back"), F.col("_at").alias("clock"))
         ).alias("_tail")
     )
-    both = (
-        _with_seeds(estimates.select(*keys, "t"), seeds)
-        .join(head, [*keys, "t"])
-        .join(tail, [*keys, "t", "seed"], "left")
+    both = join_keys(
+        join_keys(_with_seeds(estimates.select(*keys, "t"), seeds), head, [*keys, "t"]), tail, [*keys, "t", "seed"], "left"
     )
     from_tail = F.coalesce(F.col("_tail.I") > F.col("_head.I"), F.lit(False))
     return both.select(
@@ -160,7 +159,7 @@ def observed_states(series: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 def column_append(estimates: DataFrame, peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Put peak columns next to the estimates they belong to, by key and prefix length."""
-    return estimates.join(peaks, [*keys, "t"])
+    return join_keys(estimates, peaks, [*keys, "t"])
 
 
 def peak_report(
@@ -169,4 +168,4 @@ def peak_report(
     """Estimates with the median predicted peak over replicates and the actual peak."""
     peaks = stitched_peak(estimates, observed, continuations, keys, seeds)
     medians = median_over_replicates(peaks, [*keys, "t"], ["peak_t", "peak_I", "seed"])
-    return column_append(estimates, medians, keys).join(actual_peak(observed, keys), list(keys))
+    return join_keys(column_append(estimates, medians, keys), actual_peak(observed, keys), keys)

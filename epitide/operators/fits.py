@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from epitide.functions.model import MINUS_INF, at_grid_end, count_term, log_grid, new_case_rate, safe_ln
 from epitide.operators.series import last_row, mark_prefix_points, prefix_rows, state_fold
-from epitide.operators.spread import spread_rows
+from epitide.operators.spread import join_keys, spread_rows
 
 #: points of the grid of population sizes
 SIZE_POINTS = 200
@@ -188,7 +188,7 @@ def refine_fit(
     )
     coarse = estimates.where(F.col("N").isNotNull()).select(*keys, "t", "N", "m", "is_ub_binding", "is_lb_binding")
     flags = ["m", "is_ub_binding", "is_lb_binding"]
-    framed = coarse.join(rows.select(*keys, "t", *sums, "_ratio"), [*keys, "t"]).select(
+    framed = join_keys(coarse, rows.select(*keys, "t", *sums, "_ratio"), [*keys, "t"]).select(
         *keys, "t", *flags, *sums, F.col("N").alias("_coarse"),
         F.greatest(F.col("N") / F.col("_ratio"), F.col("_cmax")).alias("_from"),
         F.least(F.col("N") * F.col("_ratio"), F.col("_high")).alias("_to"),
@@ -221,7 +221,7 @@ def fit_known_size(
     samples: int = 100,
 ) -> DataFrame:
     """Fit the rate on every prefix with the size of each series given in ``sizes(keys, N)``."""
-    known = series.join(sizes, list(keys))
+    known = join_keys(series, sizes, keys)
     pairs = _running_fit_sums(fit_pairs(known, keys, order, gamma, samples), keys, order)
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = pairs.withColumn("_w", F.sum(_ln_w(F.col("N"))).over(upto)).where("is_point")

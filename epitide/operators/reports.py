@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epitide.functions.model import ratio, sample_threshold
 from epitide.operators.series import first_crossing, observed_peak
-from epitide.operators.spread import exact_median, lay_out, running
+from epitide.operators.spread import exact_median, join_keys, lay_out, running
 from epitide.session import cut
 
 
@@ -29,7 +29,7 @@ def final_results(final: DataFrame, keys: Sequence[str]) -> DataFrame:
 def estimates_peaks_data(final: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each observed row with the final estimate and the peak of its series."""
     peaks = observed_peak(series, keys)
-    return final.join(peaks, list(keys)).join(series, list(keys))
+    return join_keys(join_keys(final, peaks, keys), series, keys)
 
 
 def quarter_crossing(joined: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -48,7 +48,7 @@ def data_agg_leftovers(series: DataFrame, ensemble: DataFrame, left: DataFrame,
                        after_year: int | None = 2010) -> DataFrame:
     """Observed rows with the ensemble figures of their season and what the last one left over."""
     kept = series if after_year is None else series.where(F.col("year") > after_year)
-    return kept.join(ensemble, list(keys)).join(left, list(keys))
+    return join_keys(join_keys(kept, ensemble, keys), left, keys)
 
 
 def crossing_report(joined: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -225,14 +225,14 @@ def prefix_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], samp
 
 
 def prefix_rows(estimates: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each estimate with the observed rows up to its prefix length ``t``.
+    """Each estimate with the observed rows up to its prefix length ``t``; NULL keys meet.
 
     ``observed`` has its row number in ``step``. The pairs of one series are bounded by the
     calendar length of the series.
     """
     left = estimates.alias("e")
     right = observed.alias("o")
-    on = [F.col(f"e.{k}") == F.col(f"o.{k}") for k in keys] + [F.col("o.step") <= F.col("e.t")]
+    on = [F.col(f"e.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys] + [F.col("o.step") <= F.col("e.t")]
     cond = on[0]
     for extra in on[1:]:
         cond = cond & extra

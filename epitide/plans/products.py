@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from epitide.operators import fits
 from epitide.operators.series import sample_rows, valid_products, weekly_counts
+from epitide.operators.spread import join_keys
 
 
 def fit_products(events: DataFrame, min_reviews: int = 100, products: int | None = 100, seed: int = 42) -> DataFrame:
@@ -17,5 +18,5 @@ def fit_products(events: DataFrame, min_reviews: int = 100, products: int | None
     chosen = valid_products(events, min_reviews)
     if products is not None:
         chosen = sample_rows(chosen, "id", products, seed)
-    kept = events.join(chosen.select("id"), "id", "left_semi")
+    kept = join_keys(events, chosen.select("id"), ["id"], "left_semi")
     return fits.profile_fit_bass(weekly_counts(kept), ["id"], ["week"])

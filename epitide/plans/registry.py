@@ -14,6 +14,7 @@ from epitide.functions import model, text
 from epitide.operators import ensemble as en
 from epitide.operators import fits, reports, waiting
 from epitide.operators import series as se
+from epitide.operators.spread import join_keys
 from epitide.plans import products, surveillance, texts
 from epitide.plans import views as v
 from epitide.plans.views import GAMMA, KEYS, ORDER, SEEDS, SIR
@@ -69,8 +70,11 @@ RAW_HEADER = ["WEEK", "TOTAL PATIENTS", "%WEIGHTED ILI", "NUM. OF PROVIDERS"]
 
 @query
 def scan_skip_preamble(spark, d):
+    raw, none = v.ili_raw(spark, d), F.lit(None).cast("string")
+    incomplete = raw.where("week % 10 = 0").select(F.concat(F.lit("Region "), "week").alias("week"), F.explode(
+        F.array(F.col("num_of_providers"), none)).alias("total_patients"), none.alias("weighted_ili"), none.alias("num_of_providers"))
     path = writers.write_with_preamble(
-        v.ili_raw(spark, d), scratch_path(spark, "download"), "PERCENTAGE OF VISITS FOR ILI", RAW_HEADER
+        raw.unionByName(incomplete), scratch_path(spark, "download"), "PERCENTAGE OF VISITS FOR ILI", RAW_HEADER
     )
     return readers.read_skip_preamble(spark, path, RAW_HEADER)
 
@@ -311,7 +315,7 @@ def data_agg_leftovers(spark, d):
 @query
 def available_semi(spark, d):
     chosen = se.valid_products(v.reviews(spark, d), MIN_REVIEWS)
-    return v.reviews(spark, d).join(chosen.select("id"), "id", "left_semi")
+    return join_keys(v.reviews(spark, d), chosen.select("id"), ["id"], "left_semi")
 
 
 @joined_query
@@ -344,7 +348,7 @@ def column_append(spark, d):
 @joined_query
 def last_N_lookup(spark, d):
     sizes = fits.last_size(v.estimates(spark, d), KEYS)
-    return rounded(v.series(spark, d).join(sizes, KEYS), "N", digits=4)
+    return rounded(join_keys(v.series(spark, d), sizes, KEYS), "N", digits=4)
 
 
 # --- aggregations -------------------------------------------------------------------
@@ -655,7 +659,7 @@ def coalesce_default(spark, d):
 
 @joined_query
 def bound_flags(spark, d):
-    est = v.estimates(spark, d).join(fits.series_bounds(v.observed(spark, d), KEYS), KEYS)
+    est = join_keys(v.estimates(spark, d), fits.series_bounds(v.observed(spark, d), KEYS), KEYS)
     ub, lb = model.at_interval_end(F.col("N"), F.col("lower"), F.col("Nmax"))
     return est.select(
         *KEYS, "t", "is_ub_binding", "is_lb_binding", ub.alias("interval_ub"), lb.alias("interval_lb")
@@ -682,8 +686,8 @@ def actual_trajectories(spark, d):
 
 @joined_query
 def poisson_llh(spark, d):
-    pairs = fits.lagged_pairs(v.observed(spark, d), KEYS, ORDER).join(
-        _final(spark, d).select(*KEYS, "N", "beta"), KEYS
+    pairs = join_keys(
+        fits.lagged_pairs(v.observed(spark, d), KEYS, ORDER), _final(spark, d).select(*KEYS, "N", "beta"), KEYS
     )
     got = fits.poisson_llh(pairs, KEYS, F.lit(0.0), F.col("beta"), F.col("N"))
     return rounded(got, "llh", digits=4)
@@ -691,8 +695,8 @@ def poisson_llh(spark, d):
 
 @joined_query
 def exponential_llh(spark, d):
-    pairs = fits.lagged_pairs(v.observed(spark, d), KEYS, ORDER).join(
-        _final(spark, d).select(*KEYS, "N", "beta"), KEYS
+    pairs = join_keys(
+        fits.lagged_pairs(v.observed(spark, d), KEYS, ORDER), _final(spark, d).select(*KEYS, "N", "beta"), KEYS
     )
     got = fits.poisson_llh(pairs, KEYS, F.lit(0.5), F.col("beta"), F.col("N"), form="exponential")
     return rounded(got, "llh", digits=3)
@@ -803,3 +807,21 @@ def take_while_active(spark, d):
 def index_steps(spark, d):
     steps = v.weekly_visits(spark, d).groupBy(*KEYS, "seed", "week").agg(F.sum("n").alias("I"))
     return en.index_steps(steps, [*KEYS, "seed"], "week")
+
+
+# --- keys that are NULL -------------------------------------------------------------
+
+def null_key_query(fn: Query) -> None:
+    """The query over tables in which region 1 and product 1 have no key: the same rows, with NULL in its place."""
+
+    @wraps(fn)
+    def run(spark, folder):
+        with v.without_a_key():
+            return fn(spark, folder)
+
+    QUERIES[f"{fn.__name__}_null_key"] = run
+
+
+for _query in (fit_vs_data, estimates_peaks_data, trajectories_with_estimate, data_agg_leftovers, available_semi, prefix_range_join,
+               column_append, last_N_lookup, profile_fit_sir_refined, fit_known_N, poisson_llh, stitched_series, stitched_peak, peak_report):
+    null_key_query(_query)

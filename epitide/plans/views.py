@@ -8,13 +8,13 @@ from __future__ import annotations
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epitide.operators.ensemble import observed_states
 from epitide.operators.fits import profile_fit_sir
 from epitide.operators.series import prefix_points, season_series
-from epitide.operators.spread import lay_out, running
+from epitide.operators.spread import join_keys, lay_out, running
 from epitide.schemas import GAMMA, KEYS, ORDER
 from epitide.session import cut
 
@@ -25,6 +25,23 @@ SEEDS = 5
 SIR = {"alpha": 0.0, "beta": 0.3, "gamma": 0.1, "N": 1000.0}
 
 
+_no_key: ContextVar[bool] = ContextVar("no_key", default=False)
+
+
+@contextmanager
+def without_a_key():
+    """Inside the block the visits of region 1 have no region, and the reviews of product 1 no id."""
+    token = _no_key.set(True)
+    try:
+        yield
+    finally:
+        _no_key.reset(token)
+
+
+def _key(column: Column) -> Column:
+    return F.nullif(column, F.lit(1).cast("string")) if _no_key.get() else column
+
+
 _shared: ContextVar[dict[str, DataFrame] | None] = ContextVar("shared", default=None)
 
 
@@ -49,7 +66,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Event log ``id, reviewer_id, rating, ts``."""
     return table(spark, folder, "lineitem").select(
-        F.col("l_partkey").cast("string").alias("id"),
+        _key(F.col("l_partkey").cast("string")).alias("id"),
         F.col("l_suppkey").cast("string").alias("reviewer_id"),
         F.col("l_linenumber").cast("long").alias("rating"),
         F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("ts"),
@@ -67,7 +84,7 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
     places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return line.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        (F.col("n_regionkey") + 1).cast("int").alias("region"),
+        _key((F.col("n_regionkey") + 1).cast("string")).cast("int").alias("region"),
         F.expr("extract(YEAROFWEEK FROM l_shipdate)").cast("int").alias("year"),
         F.weekofyear("l_shipdate").cast("int").alias("week"),
         "l_suppkey",
@@ -154,7 +171,7 @@ def prefixes(spark: SparkSession, folder: str) -> DataFrame:
 def continuations(spark: SparkSession, folder: str) -> DataFrame:
     """What each replicate does after each prefix: ``region, year, t, seed, step, I, R, wait``."""
     runs = trajectories(spark, folder).withColumnRenamed("t", "at")
-    pairs = prefixes(spark, folder).join(runs, KEYS).where(F.col("at") > F.col("t"))
+    pairs = join_keys(prefixes(spark, folder), runs, KEYS).where(F.col("at") > F.col("t"))
     step = F.expr("row_number() OVER (PARTITION BY region, year, t, seed ORDER BY at)")
     return pairs.select(*KEYS, "t", "seed", step.alias("step"), "I", "R", "wait")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,20 +40,15 @@ def read_csv_header(
 def read_skip_preamble(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """CSV with a title line above its header, as text columns with clean names.
 
-    ``names`` are the columns as the header spells them. The reader splits large files and cannot
-    skip a number of lines, so title and header are told by what they hold, and only in the first
-    block of a file: the header holds the names; the title begins with text that is no number and
-    has nothing from the third column on (it may have one comma). Every other line stays,
-    whatever it holds.
+    ``names`` are the columns as the header spells them. The first line of every file goes by its position,
+    whatever it holds: Spark's reader takes it for a header, which it skips where a file begins and nowhere
+    else, however the file is split. A line that spells the header in all its columns is a header. Every other line
+    stays, also one that looks like a title or lacks columns.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    lines = spark.read.schema(schema).options(header=False, escape='"').csv(path)
-    first, *others = [F.col(f"`{n}`") for n in names]
-    header = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in (first, *others)]) == "\n".join(names)
-    empty = F.coalesce(F.lit(None), *(others[1:] or others)).isNull()
-    title = first.isNotNull() & first.try_cast("double").isNull() & empty
-    above = (F.col("_metadata.file_block_start") == 0) & (header | title)
-    return clean_names(lines.where(~above))
+    lines = spark.read.schema(schema).options(header=True, enforceSchema=True, escape='"').csv(path)
+    header = reduce(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.lit(n)) for n in names])
+    return clean_names(lines.where(~header))
 
 
 def keys_from_path(path: Column) -> tuple[Column, Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +25,19 @@ def write_by_key(df: DataFrame, path: str, keys: Sequence[str] = ("year", "regio
 
 
 def write_with_preamble(df: DataFrame, path: str, title: str, names: list[str]) -> str:
-    """CSV text with a title line above the header, as the surveillance download has it."""
+    """CSV text files, each with a title line above its header, as the surveillance download has them."""
     def quoted(value):
         return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
 
-    spark = df.sparkSession
+    above = [title, ",".join(f'"{n}"' for n in names)]
+
+    def headed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(above)], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, ["value"])
+
     lines = df.select(
-        F.concat_ws(",", *[quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]).alias("value")
-    )
-    head = spark.range(1).select(
-        F.explode(F.array(F.lit(title), F.lit(",".join(f'"{n}"' for n in names)))).alias("value")
+        F.concat_ws(",", *[F.coalesce(quoted(F.col(c).cast("string")), F.lit("")) for c in df.columns]).alias("value")
     )
-    head.unionByName(lines).write.text(path)
+    lines.mapInArrow(headed, "value string").write.text(path)
     return path

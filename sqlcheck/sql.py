@@ -1,5 +1,7 @@
 """The check of every registered query as DuckDB SQL over the views of ``sqlcheck.views``."""
 
+from sqlcheck.views import with_views
+
 _FOLD = """
     SELECT region, year, yw, week, "dS", round("I", 6) AS "I",
            round(0.24 * coalesce(sum("I") OVER (PARTITION BY region, year ORDER BY yw
@@ -83,7 +85,10 @@ SQL = {
     # sources and sinks
     "scan_reviews_csv": "SELECT id, reviewer_id, rating, ts FROM reviews",
     "scan_ili_csv": "SELECT region, year, week, ilitotal, total_patients FROM ili",
-    "scan_skip_preamble": "SELECT week, total_patients, weighted_ili, num_of_providers FROM ili_raw",
+    "scan_skip_preamble": """
+        SELECT week, total_patients, weighted_ili, num_of_providers FROM ili_raw
+        UNION ALL SELECT 'Region ' || week, num_of_providers, NULL, NULL FROM ili_raw WHERE CAST(week AS INTEGER) % 10 = 0
+        UNION ALL SELECT 'Region ' || week, NULL, NULL, NULL FROM ili_raw WHERE CAST(week AS INTEGER) % 10 = 0""",
     "scan_many_files": """SELECT week, "dS", "Nmax", 'year=' || year || '/region=' || region AS fname FROM series""",
     "keys_from_path": 'SELECT week, "dS", "Nmax", region, year FROM series',
     "typed_read": 'SELECT week, "dS", "Nmax" FROM series',
@@ -442,3 +447,8 @@ SQL |= {
     "weighted_mle": _search({"N": 13, "beta": 17, "a": 1, "gamma": 1}, {"a": 0.0, "gamma": 0.1}),
     "weighted_mle_free": _search({"N": 7, "beta": 7, "a": 5, "gamma": 5}, {}),
 }
+
+for _name in ("fit_vs_data", "estimates_peaks_data", "trajectories_with_estimate", "data_agg_leftovers", "prefix_range_join", "column_append",
+              "last_N_lookup", "profile_fit_sir_refined", "fit_known_N", "poisson_llh", "stitched_series", "stitched_peak", "peak_report"):
+    SQL[f"{_name}_null_key"] = f"SELECT * REPLACE (nullif(region, 1) AS region) FROM ({with_views(SQL[_name])})"
+SQL["available_semi_null_key"] = f"SELECT * REPLACE (nullif(id, '1') AS id) FROM ({with_views(SQL['available_semi'])})"

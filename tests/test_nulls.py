@@ -1,6 +1,7 @@
 """Rows without a key, without a value or malformed are not lost silently."""
 
 import math
+from collections import Counter
 
 import pytest
 from conftest import rows
@@ -112,3 +113,38 @@ def test_no_local_folder_on_a_cluster():
     spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
         scratch_path(spark, "x")
+
+
+def test_rows_like_a_title_stay_in_split_files(spark, tmp_path):
+    """Only the first line goes by position, and the header; also where a file is read in many blocks."""
+    names = ["REGION", "YEAR", "ILI"]
+    body = [f"Region {i % 7},{'2010' if i % 3 else ''},{i if i % 2 else ''}" for i in range(4000)]
+    for name, title in (("a", "A TITLE"), ("b", "Region 2,2010,"), ("c", "REGION,YEAR,ILI"), ("d", '"A TITLE, 2014",x')):
+        (tmp_path / f"{name}.csv").write_text("\n".join([title, "REGION,YEAR,ILI", *body]) + "\n")
+    (tmp_path / "only.csv").write_text("A TITLE\nREGION,YEAR,ILI\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.read_skip_preamble(spark, str(tmp_path), names)
+        assert got.rdd.getNumPartitions() > 40
+        assert Counter(",".join(x or "" for x in r) for r in got.collect()) == Counter(body * 4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_joins_keep_null_keys(spark):
+    from epitide.operators import ensemble, fits
+    from epitide.operators.series import prefix_rows
+    from epitide.plans.products import fit_products
+
+    runs = spark.createDataFrame([(None, 1, 5.0), ("a", 1, 6.0)], "region string, t int, I double")
+    final = spark.createDataFrame([(None, 9.0), ("a", 8.0)], "region string, N double")
+    assert rows(ensemble.trajectories_with_estimate(runs, final, ["region"]).fillna("none"), "region", "N") == [("a", 8.0), ("none", 9.0)]
+    pairs = prefix_rows(final.withColumn("t", F.lit(3)), runs.withColumnRenamed("t", "step"), ["region"])
+    assert pairs.count() == 2
+    sizes = fits.last_size(final.withColumn("t", F.lit(1)), ["region"])
+    series = spark.createDataFrame([(r, i, x, 100.0) for r in (None, "a") for i, x in enumerate([2.0, 3.0, 4.0])],
+                                   "region string, t0 int, dS double, Nmax double")
+    assert fits.fit_known_size(series, sizes, ["region"], ["t0"], 0.24).select("region").distinct().count() == 2
+    week = 604800
+    log = spark.createDataFrame([(i, "r", 5, k * week * 9) for i in (None, "a") for k in range(40)], "id string, reviewer_id string, rating long, ts long")
+    assert fit_products(log, min_reviews=5).count() == 2
