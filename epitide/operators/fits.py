@@ -13,16 +13,23 @@ hold whole series: the fit needs a single shuffle, of the ungridded rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epitide.functions.model import MINUS_INF, at_grid_end, count_term, log_grid, new_case_rate, safe_ln
-from epitide.operators.series import last_row, mark_prefix_points, prefix_rows, state_fold
+from epitide.operators.search import Pairs, search
+from epitide.operators.series import last_row, mark_prefix_points, state_fold
 from epitide.operators.spread import join_keys, spread_rows
+from epitide.operators.streams import column, kinds, whole_groups
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: points of the grid of population sizes
 SIZE_POINTS = 200
@@ -119,7 +126,7 @@ def profile_fit_sir(
     ``Nmax``; a prefix uses those above its own largest ``C``. Log likelihoods are compared
     to 8 digits and the smaller size wins among equals. A prefix without a finite optimum
     (new cases although nobody is infected), or without any grid point above its cases,
-    has NULL estimates. :func:`refine_fit` searches on between the grid points.
+    has NULL estimates. :func:`refined_fit_sir` searches on between the grid points.
     """
     pairs = _running_fit_sums(fit_pairs(series, keys, order, gamma, samples), keys, order)
     whole = Window.partitionBy(*keys)
@@ -161,55 +168,80 @@ def _estimates(fitted: DataFrame, keys: Sequence[str], gamma: float) -> DataFram
     )
 
 
-def refine_fit(
-    estimates: DataFrame,
+def _refined(series: DataFrame, keys: Sequence[str], order: Sequence[str], gamma: float, reported: float, samples: int,
+             sizes: int, mixes: int, fine: int, levels: int, whole: bool) -> DataFrame:
+    """:func:`epitide.operators.search.search` of every series. ``whole``: sizes and mixes are measured by all pairs, not by the first."""
+    keys = list(keys)
+    pairs = fit_pairs(series, keys, order, gamma, samples)
+    rows = pairs.select(*keys, *order, "t", F.col("m").cast("double").alias("m"), "is_point", "I0", "R0", "X", F.col("Nmax").cast("double").alias("Nmax"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t, point, most = (column(batch, c) for c in ("t", "is_point", "Nmax"))
+        points = np.flatnonzero(point & ((t > 1) | (mixes == 1)))
+        i, r, x = (column(batch, c)[1:].astype(np.float64) for c in ("I0", "R0", "X"))
+        seen, ends = Pairs(i, i + r, x), t[points] - 1
+        fitted = points[ends > 0]
+        found = {k: np.full(len(points), np.nan) for k in ("N", "rho", "scale", "llh", "coarse", "least")}
+        norm, high = 1.0, np.nan if np.isnan(most).all() else np.nanmax(most)
+        if len(fitted):
+            low = (seen.cases.max() if whole else seen.cases[0]) + 1
+            if mixes > 1:
+                norm = i.mean() if whole else i[0]
+            for k, v in search(seen, ends[ends > 0], low, high, norm or 1.0, sizes, mixes, fine, levels).items():
+                found[k][ends > 0] = v
+        n, rho, scale, coarse = (found[k] for k in ("N", "rho", "scale", "coarse"))
+        gone = np.isnan(n)
+        upper, lower = coarse >= high - 1e-6, coarse <= found["least"] + 1e-6
+        columns = [pa.array(t[points].astype(np.int32)), pa.array(n, mask=gone), pa.array(scale * rho, mask=gone),
+                   pa.array(scale * (1 - rho) / (norm or 1.0), mask=gone), pa.array(found["llh"], mask=gone), pa.array(column(batch, "m")[points]),
+                   pa.array(upper, mask=gone), pa.array(lower, mask=gone)]
+        heads = batch.select(keys).take(pa.array(points))
+        return pa.RecordBatch.from_arrays([*heads.columns, *columns],
+                                          [*keys, "t", "N", "a", "beta", "llh", "m", "is_ub_binding", "is_lb_binding"])
+
+    got = whole_groups(rows, keys, order, run, f"{kinds(rows, keys)}, t int, N double, a double, beta double, llh double, m double, "
+                                               "is_ub_binding boolean, is_lb_binding boolean")
+    return got.select(*keys, "t", "N", "beta", F.lit(reported).alias("gamma"), "a", "llh",
+                      F.col("m").cast(pairs.schema["m"].dataType).alias("m"), "is_ub_binding", "is_lb_binding")
+
+
+def refined_fit_sir(
     series: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     gamma: float,
+    samples: int = 100,
     points: int = SIZE_POINTS,
     fine_points: int = 21,
+    levels: int = 1,
 ) -> DataFrame:
-    """Search again between the grid neighbours of each estimate of :func:`profile_fit_sir`.
+    """:func:`profile_fit_sir`, searched on ``levels`` times between the grid neighbours of each best size.
 
-    ``points`` is the number of points that gave ``estimates``; the result can be refined
-    once more by passing the number of points that a grid of its resolution would have.
-    Each prefix has a fine grid of its own, so the logarithms are summed per prefix; the
-    pairs of a prefix are bounded by the calendar length of its series. Estimates that are
-    NULL stay so.
+    All prefixes whose best size lies in one cell of the grid share its running sums: no prefix is joined with
+    its rows. The flags say whether the first grid's best size was at an end. A series is held as a whole, as many rows as it has weeks.
     """
-    whole = Window.partitionBy(*keys)
-    low = F.min(F.when(F.col("t") == 1, F.col("I") + F.col("R"))).over(whole) + 1
-    sums = ["_x", "_i", "_ic", "_xlni", "_cmax", "_high"]
-    rows = (
-        _running_fit_sums(fit_pairs(series, keys, order, gamma, 1), keys, order)
-        .withColumns({"_first": low, "_high": F.max("Nmax").over(whole)})
-        .withColumn("_ratio", F.pow(F.col("_high") / F.col("_first"), F.lit(1.0 / max(points - 1, 1))))
-    )
-    coarse = estimates.where(F.col("N").isNotNull()).select(*keys, "t", "N", "m", "is_ub_binding", "is_lb_binding")
-    flags = ["m", "is_ub_binding", "is_lb_binding"]
-    framed = join_keys(coarse, rows.select(*keys, "t", *sums, "_ratio"), [*keys, "t"]).select(
-        *keys, "t", *flags, *sums, F.col("N").alias("_coarse"),
-        F.greatest(F.col("N") / F.col("_ratio"), F.col("_cmax")).alias("_from"),
-        F.least(F.col("N") * F.col("_ratio"), F.col("_high")).alias("_to"),
-    )
-    pairs = rows.where(F.col("C0").isNotNull()).select(*keys, F.col("t").alias("step"), "X", "C0")
-    tried = F.concat(log_grid(F.col("_from"), F.col("_to"), fine_points), F.array("_coarse"))
-    gridded = prefix_rows(framed, pairs, keys).withColumn("N", F.explode(F.array_distinct(tried))).where(F.col("N") > F.col("_cmax"))
-    summed = gridded.groupBy(*keys, "t", "N").agg(
-        F.sum(_ln_w(F.col("N"))).alias("_w"), *[F.max(c).alias(c) for c in (*sums, *flags)]
-    )
-    beta, llh = _profile(F.col("_w"), F.col("N"))
-    scored = summed.select(*keys, "t", *flags, "N", beta.alias("beta"), llh.alias("llh"))
-    best = scored.groupBy(*keys, "t").agg(
-        F.max(F.struct(F.rint(F.col("llh") * 1e8).alias("rank"), (-F.col("N")).alias("minus_n"), "beta", "llh")).alias("_best"),
-        *[F.max(c).alias(c) for c in flags],
-    )
-    refined = best.select(
-        *keys, "t", (-F.col("_best.minus_n")).alias("N"), "_best.beta", F.lit(gamma).alias("gamma"),
-        F.lit(0.0).alias("a"), "_best.llh", *flags,
-    )
-    return refined.unionByName(estimates.where(F.col("N").isNull()))
+    return _refined(series, keys, order, gamma, gamma, samples, points, 1, fine_points, levels, whole=False)
+
+
+def refined_fit_bass(
+    series: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    gamma: float = 0.1,
+    samples: int = 1,
+    size_points: int = 40,
+    mix_points: int = 21,
+    fine_points: int = 15,
+    levels: int = 2,
+) -> DataFrame:
+    """:func:`profile_fit_bass`, searched on between the neighbours of the best size and mix; ``samples`` above 1: of prefixes too.
+
+    Two levels of 15 points bring a size to less than 1 %. Whole series have the grid of :func:`profile_fit_bass`; for
+    prefixes the sizes begin above the first cases and the mixes are measured by the first state, so
+    that the fit of a prefix knows nothing of later rows but ``Nmax``.
+    """
+    fitted = _refined(series, keys, order, gamma, 0.0, samples, size_points, mix_points, fine_points, levels, whole=samples <= 1)
+    return fitted.select(*keys, "t", "N", "a", "beta", "gamma", "llh", "m", "is_ub_binding", "is_lb_binding")
 
 
 def fit_known_size(

@@ -185,3 +185,39 @@ def running_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[str], w
                 yield from pa.Table.from_batches(picked).combine_chunks().to_batches()
 
     return stream.mapInArrow(run, schema)
+
+
+def whole_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], run, schema: str) -> DataFrame:
+    """``run(batch)`` of all rows of one key at a time, for keys whose rows are bounded, such as the weeks of a series.
+
+    One shuffle, by key, and one sorted stream a task: no more than a key's rows wait for the next batch.
+    """
+    keys = list(keys)
+    sorted_rows = rows.sortWithinPartitions(*keys, *order)
+
+    def stream(batches):
+        waiting = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = segment_starts(batch, keys)
+            if waiting and waiting[0].select(keys).slice(0, 1).to_pylist() == batch.select(keys).slice(0, 1).to_pylist():
+                starts = starts[1:]
+            cuts, at, done = starts.tolist(), 0, []
+            for cut_at in cuts:
+                if cut_at > at:
+                    waiting.append(batch.slice(at, cut_at - at))
+                if waiting:
+                    done.append(run(joined(waiting)))
+                waiting, at = [], cut_at
+            waiting.append(batch.slice(at))
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if waiting:
+            yield run(joined(waiting))
+
+    return sorted_rows.mapInArrow(stream, schema)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

@@ -704,13 +704,12 @@ def exponential_llh(spark, d):
 
 @query
 def profile_fit_sir(spark, d):
-    return rounded(v.estimates(spark, d), "N", "beta", "llh", digits=4)
+    return rounded(fits.profile_fit_sir(v.series(spark, d), KEYS, ORDER, GAMMA), "N", "beta", "llh", digits=4)
 
 
 @joined_query
 def profile_fit_sir_refined(spark, d):
-    got = fits.refine_fit(v.estimates(spark, d), v.series(spark, d), KEYS, ORDER, GAMMA)
-    return rounded(got, "N", "beta", "llh", digits=4)
+    return rounded(v.estimates(spark, d), "N", "beta", "llh", digits=4)
 
 
 @joined_query
@@ -726,6 +725,27 @@ def profile_fit_bass(spark, d):
     return rounded(got, "N", "a", "beta", "llh", digits=4)
 
 
+@query
+def profile_fit_bass_refined(spark, d):
+    got = fits.refined_fit_bass(se.weekly_counts(v.reviews(spark, d)), ["id"], ["week"])
+    return rounded(got, "N", "a", "beta", "llh", digits=4)
+
+
+@query
+def profile_fit_bass_prefixes(spark, d):
+    """Every prefix of every season, whose weeks are many; the products have few."""
+    got = fits.refined_fit_bass(v.series(spark, d), KEYS, ORDER, samples=100)
+    return rounded(got, "N", "a", "beta", "llh", digits=4)
+
+
+@query
+def ecdf_product_size(spark, d):
+    """Distribution of the logarithm of the fitted sizes over the products."""
+    got = fits.refined_fit_bass(se.weekly_counts(v.reviews(spark, d)), ["id"], ["week"]).where("N IS NOT NULL")
+    logs = got.select(F.round(F.log10(F.round("N", 4)), 4).alias("log_n"))
+    return rounded(reports.ecdf(logs, "log_n"), "ecdf")
+
+
 @query
 def interarrival_llh(spark, d):
     pairs = waiting.next_state_pair(v.states(spark, d), USER)
@@ -740,6 +760,12 @@ def grid_search_mle(spark, d):
     return rounded(waiting.grid_search_mle(pairs, USER, SIR, "beta", points=1000), "estimate", "llh")
 
 
+@query
+def grid_search_gamma(spark, d):
+    pairs = waiting.next_state_pair(v.states(spark, d), USER)
+    return rounded(waiting.grid_search_mle(pairs, USER, SIR, "gamma", points=1000), "estimate", "llh")
+
+
 @query
 def log_prefix_mle(spark, d):
     pairs = waiting.next_state_pair(v.states(spark, d), USER)
@@ -798,6 +824,14 @@ def peak_report(spark, d):
     return rounded(got, "N", "beta", "llh", "peak_t", "peak_I", "seed", digits=4)
 
 
+@joined_query
+def peak_reports(spark, d):
+    """Predicted and actual peaks for both kinds of estimates."""
+    fitted = surveillance.fit_seasons(v.ili(spark, d))
+    got = surveillance.peak_reports(fitted, v.continuations(spark, d), SEEDS)
+    return rounded(got, "N", "beta", "llh", "peak_t", "peak_I", "seed", digits=4)
+
+
 @query
 def take_while_active(spark, d):
     return en.take_while_active(v.trajectories(spark, d), [*KEYS, "seed"], "t", level=1.0)

@@ -45,7 +45,7 @@ def fit_seasons(ili: DataFrame, gamma: float = GAMMA, samples: int = 100) -> Sea
     of repeating the fit.
     """
     series = season_series(ili)
-    estimates = cut(fits.profile_fit_sir(series, KEYS, ORDER, gamma, samples), "estimates")
+    estimates = cut(fits.refined_fit_sir(series, KEYS, ORDER, gamma, samples), "estimates")
     known = fits.fit_known_size(series, fits.last_size(estimates, KEYS), KEYS, ORDER, gamma, samples)
     return SeasonFits(series, estimates, known)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epitide.operators.ensemble import observed_states
-from epitide.operators.fits import profile_fit_sir
+from epitide.operators.fits import refined_fit_sir
 from epitide.operators.series import prefix_points, season_series
 from epitide.operators.spread import join_keys, lay_out, running
 from epitide.schemas import GAMMA, KEYS, ORDER
@@ -159,8 +159,8 @@ def trajectories(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def estimates(spark: SparkSession, folder: str, samples: int = 100) -> DataFrame:
-    """Fits of every prefix of every season; ``samples=1``: of whole seasons only."""
-    return profile_fit_sir(series(spark, folder), KEYS, ORDER, GAMMA, samples)
+    """Refined fits of every prefix of every season; ``samples=1``: of whole seasons only."""
+    return refined_fit_sir(series(spark, folder), KEYS, ORDER, GAMMA, samples)
 
 
 def prefixes(spark: SparkSession, folder: str) -> DataFrame:

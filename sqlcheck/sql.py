@@ -21,6 +21,60 @@ _WEIGHTED = """
     GROUP BY user_id, beta"""
 
 
+def _bass(start: str, keys: str, prefixes: bool, levels: int = 2, sizes: int = 40, mixes: int = 21, fine: int = 15) -> str:
+    """Bass fits searched on inside the cell of the best size and mix. ``start`` defines steps: keys, t, x, m, high and i, c of the row before."""
+    ends = f"SELECT {keys}, t AS e FROM steps WHERE t > 1" if prefixes else f"SELECT {keys}, max(t) AS e FROM steps GROUP BY {keys} HAVING max(t) > 1"
+    low, norm = ("arg_min(c, t)", "coalesce(nullif(arg_min(i, t), 0), 1)") if prefixes else ("max(c)", "coalesce(nullif(avg(i), 0), 1)")
+    ctes = [start, f"ends AS ({ends})",
+            f"fit AS (SELECT {keys}, t, x, i, c FROM steps WHERE c IS NOT NULL)",
+            f"bounds AS (SELECT {keys}, {low} + 1 AS low, {norm} AS norm FROM fit GROUP BY {keys})",
+            f"tops AS (SELECT {keys}, max(high) AS high FROM steps GROUP BY {keys})",
+            f"""sums AS (
+                SELECT {keys}, e, low, high, norm, sum(x) AS sx, sum(i) AS si, sum(c) AS sc, sum(i * c) AS sic, count(*) AS n, max(c) AS most
+                FROM ends JOIN fit USING ({keys}) JOIN bounds USING ({keys}) JOIN tops USING ({keys}) WHERE t <= e GROUP BY {keys}, e, low, high, norm)""",
+            f"cells0 AS (SELECT *, pow(high / low, 1.0 / {sizes - 1}) AS ratio, 1.0 / {mixes - 1} AS step FROM sums)"]
+    for l in range(levels + 1):
+        if l == 0:
+            grids = (f"SELECT {keys}, e, low * pow(high / low, g / {sizes - 1}.0) AS size FROM cells0, range({sizes}) AS r(g)",
+                     f"SELECT {keys}, e, k / {mixes - 1}.0 AS rho FROM cells0, range({mixes}) AS r(k)")
+        else:
+            grids = (f"SELECT {keys}, e, lo * pow(hi / lo, g / {fine - 1}.0) AS size FROM cells{l}, range({fine}) AS r(g) UNION SELECT {keys}, e, size FROM cells{l}",
+                     f"SELECT {keys}, e, mlo + (mhi - mlo) * (k / {fine - 1}.0) AS rho FROM cells{l}, range({fine}) AS r(k) UNION SELECT {keys}, e, rho FROM cells{l}")
+        ctes += [f"""
+        bysize{l} AS (
+            SELECT {keys}, e, size, sum(CASE WHEN x > 0 THEN x * ln(1 - c / size) ELSE 0 END) AS lw
+            FROM ({grids[0]}) JOIN sums USING ({keys}, e) JOIN fit USING ({keys}) WHERE t <= e AND size > most GROUP BY {keys}, e, size)""",
+                 f"""
+        bymix{l} AS (
+            SELECT {keys}, e, rho, sum(CASE WHEN x <= 0 THEN 0 WHEN rho + (1 - rho) * i / norm > 0 THEN x * ln(rho + (1 - rho) * i / norm) ELSE '-inf'::DOUBLE END) AS lm
+            FROM ({grids[1]}) JOIN sums USING ({keys}, e) JOIN fit USING ({keys}) WHERE t <= e GROUP BY {keys}, e, rho)""",
+                 f"""
+        tried{l} AS (
+            SELECT *, lw + lm + CASE WHEN sx > 0 THEN sx * ln(scale) ELSE 0 END - sx AS llh FROM (
+                SELECT *, sx / nullif(rho * (n - sc / size) + (1 - rho) * (si - sic / size) / norm, 0) AS scale
+                FROM cells{l} AS q JOIN (SELECT {keys}, e, size AS size, lw FROM bysize{l}) USING ({keys}, e) JOIN bymix{l} USING ({keys}, e))
+            WHERE scale IS NOT NULL AND (sx = 0 OR scale > 0) AND lm > '-inf'::DOUBLE)""" if l == 0 else f"""
+        tried{l} AS (
+            SELECT *, lw + lm + CASE WHEN sx > 0 THEN sx * ln(scale) ELSE 0 END - sx AS llh FROM (
+                SELECT *, sx / nullif(rho * (n - sc / size) + (1 - rho) * (si - sic / size) / norm, 0) AS scale
+                FROM (SELECT * EXCLUDE (size, rho) FROM cells{l}) JOIN bysize{l} USING ({keys}, e) JOIN bymix{l} USING ({keys}, e))
+            WHERE scale IS NOT NULL AND (sx = 0 OR scale > 0) AND lm > '-inf'::DOUBLE)""",
+                 f"""
+        best{l} AS (
+            SELECT * FROM (SELECT *, min(size) OVER (PARTITION BY {keys}, e) AS least,
+                row_number() OVER (PARTITION BY {keys}, e ORDER BY round(llh, 8) DESC, size, rho) AS pick FROM tried{l}) WHERE pick = 1)""",
+                 f"""
+        cells{l + 1} AS (
+            SELECT {keys}, e, low, high, norm, sx, si, sc, sic, n, most, size, rho, greatest(size / ratio, most) AS lo, least(size * ratio, high) AS hi,
+                   greatest(rho - step, 0.0) AS mlo, least(rho + step, 1.0) AS mhi, pow(ratio, 2.0 / {fine - 1}) AS ratio, 2 * step / {fine - 1} AS step
+            FROM best{l})"""]
+    return f"""WITH {", ".join(ctes)}
+        SELECT {keys}, CAST(s.t AS INTEGER) AS t, round(b.size, 4) AS "N", round(b.scale * b.rho, 4) AS a, round(b.scale * (1 - b.rho) / b.norm, 4) AS beta,
+               0.0::DOUBLE AS gamma, round(b.llh, 4) AS llh, s.m, f.size >= f.high - 1e-6 AS is_ub_binding, f.size <= f.least + 1e-6 AS is_lb_binding
+        FROM ends AS q JOIN steps AS s USING ({keys}) LEFT JOIN best{levels} AS b USING ({keys}, e) LEFT JOIN best0 AS f USING ({keys}, e)
+        WHERE s.t = q.e"""
+
+
 def _search(points: dict[str, int], given: dict[str, float], levels: int = 4, rate_max: float = 1000.0, gamma_max: float = 1.0) -> str:
     """Search of the weighted likelihood: a lattice in a box, then the box between the neighbours of the best point."""
     def most(plain, shrunk):
@@ -303,36 +357,10 @@ SQL = {
         GROUP BY region, year""",
     "profile_fit_sir": """
         SELECT region, year, t, round("N", 4) AS "N", round(beta, 4) AS beta, gamma, a, round(llh, 4) AS llh, m,
-               is_ub_binding, is_lb_binding FROM estimates""",
+               is_ub_binding, is_lb_binding FROM coarse""",
     "profile_fit_sir_refined": """
-        WITH framed AS (
-            SELECT e.*, p.cmax, greatest(e."N" / s.ratio, p.cmax) AS lo, least(e."N" * s.ratio, s.high) AS hi
-            FROM estimates AS e
-            JOIN (SELECT region, year, max(high) AS high, pow(max(high) / min("N"), 1 / 199.0) AS ratio
-                  FROM sizes GROUP BY region, year) AS s ON s.region = e.region AND s.year = e.year
-            JOIN (SELECT region, year, t, max("I" + "R") OVER (PARTITION BY region, year ORDER BY t) AS cmax
-                  FROM pairs) AS p ON p.region = e.region AND p.year = e.year AND p.t = e.t
-            WHERE e."N" IS NOT NULL),
-        fine AS (
-            SELECT region, year, t, m, is_ub_binding, is_lb_binding, cmax, lo * pow(hi / lo, g / 20.0) AS size
-            FROM framed, range(21) AS r(g) WHERE lo * pow(hi / lo, g / 20.0) > cmax
-            UNION SELECT region, year, t, m, is_ub_binding, is_lb_binding, cmax, "N" FROM framed),
-        rated AS (
-            SELECT f.region, f.year, f.t, f.m, f.is_ub_binding, f.is_lb_binding, f.size, p."I", p."R", p."X",
-                   sum(p."X") OVER w / sum(p."I" * (1 - (p."I" + p."R") / f.size)) OVER w AS beta
-            FROM fine AS f JOIN pairs AS p ON p.region = f.region AND p.year = f.year AND p.t <= f.t
-            WINDOW w AS (PARTITION BY f.region, f.year, f.t, f.size)),
-        tried AS (
-            SELECT region, year, t, m, is_ub_binding, is_lb_binding, size, beta,
-                   sum(CASE WHEN "X" = 0 THEN 0 ELSE "X" * ln(beta * "I" * (1 - ("I" + "R") / size)) END
-                       - beta * "I" * (1 - ("I" + "R") / size)) AS llh
-            FROM rated GROUP BY ALL)
-        SELECT region, year, t, round(size, 4) AS "N", round(beta, 4) AS beta, 1.68::DOUBLE AS gamma, 0.0::DOUBLE AS a,
-               round(llh, 4) AS llh, m, is_ub_binding, is_lb_binding
-        FROM (SELECT *, row_number() OVER (PARTITION BY region, year, t ORDER BY round(llh, 8) DESC, size) AS pick FROM tried)
-        WHERE pick = 1
-        UNION ALL
-        SELECT region, year, t, "N", beta, gamma, a, llh, m, is_ub_binding, is_lb_binding FROM estimates WHERE "N" IS NULL""",
+        SELECT region, year, t, round("N", 4) AS "N", round(beta, 4) AS beta, gamma, a, round(llh, 4) AS llh, m,
+               is_ub_binding, is_lb_binding FROM estimates""",
     "fit_known_N": """
         SELECT region, year, t, round("N", 4) AS "N", round(beta, 4) AS beta, 1.68::DOUBLE AS gamma, 0.0::DOUBLE AS a,
                round(sum(CASE WHEN "X" = 0 THEN 0 ELSE "X" * ln(beta * "I" * (1 - ("I" + "R") / "N")) END
@@ -376,6 +404,19 @@ SQL = {
                round(sx / mw * (1 - rho) / mean_i, 4) AS beta, 0.0::DOUBLE AS gamma, round(llh, 4) AS llh,
                CAST(total AS BIGINT) AS m, size >= high - 1e-6 AS is_ub_binding, size <= low + 1e-6 AS is_lb_binding
         FROM ranked WHERE pick = 1""",
+    "profile_fit_bass_refined": _bass("""counted AS (
+            SELECT id, row_number() OVER s AS t, CAST("dS" AS DOUBLE) AS x, "Nmax", CAST(sum("dS") OVER s AS BIGINT) AS m
+            FROM weekly WINDOW s AS (PARTITION BY id ORDER BY week)),
+        folded AS (
+            SELECT b.id, b.t, b.x, b.m, b."Nmax", sum(a.x * pow(0.9, b.t - a.t)) AS i
+            FROM counted AS b JOIN counted AS a ON a.id = b.id AND a.t <= b.t GROUP BY ALL),
+        steps AS (SELECT id, t, x, m, "Nmax" AS high, lag(i) OVER s AS i, CAST(lag(m) OVER s AS DOUBLE) AS c
+                  FROM folded WINDOW s AS (PARTITION BY id ORDER BY t))""", "id", False),
+    "profile_fit_bass_prefixes": _bass("""folded AS (
+            SELECT b.region, b.year, b.t, b."dS" AS x, b.m, b."Nmax", sum(a."dS" * pow(0.9, b.t - a.t)) AS i
+            FROM placed AS b JOIN placed AS a ON a.region = b.region AND a.year = b.year AND a.t <= b.t GROUP BY ALL),
+        steps AS (SELECT region, year, t, x, m, "Nmax" AS high, lag(i) OVER s AS i, lag(m) OVER s AS c
+                  FROM folded WINDOW s AS (PARTITION BY region, year ORDER BY t))""", "region, year", True),
     "interarrival_llh": """
         SELECT user_id, k, round(CASE WHEN lam > 0 THEN ln(lam) - lam * next_wait ELSE '-inf'::DOUBLE END, 6) AS llh
         FROM (SELECT *, (0.0 + 0.3 * "I") * (1000.0 - "I" - "R") / 1000.0 + 0.1 * "I" AS lam FROM waits)""",
@@ -399,6 +440,16 @@ SQL = {
                theta <= 3e-5 AS is_lb_binding, k
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY round(llh, 6) DESC, theta) AS pick FROM tried)
         WHERE pick = 1""",
+    "grid_search_gamma": """
+        WITH tried AS (
+            SELECT user_id, k, theta, CASE WHEN lam > 0 THEN ln(lam) - lam * next_wait ELSE '-inf'::DOUBLE END AS llh
+            FROM (SELECT *, (0.0 + 0.3 * "I") * (1000.0 - "I" - "R") / 1000.0 + theta * "I" AS lam
+                  FROM waits, (SELECT g * (1.0 / 999) AS theta FROM range(1000) AS r(g))))
+        SELECT user_id, k, round(theta, 6) AS estimate, theta >= 1.0 - 1e-6 AS is_ub_binding,
+               theta <= 1e-6 AS is_lb_binding, round(llh, 6) AS llh
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY round(mean, 8) DESC, theta) AS pick
+              FROM (SELECT *, avg(llh) OVER (PARTITION BY user_id, theta ORDER BY k) AS mean FROM tried))
+        WHERE pick = 1""",
     "weighted_llh": _WEIGHTED.format(weight='"I"'),
     "unweighted_llh": _WEIGHTED.format(weight="1"),
     # replicates and peaks
@@ -437,6 +488,18 @@ SQL |= {
     "cleaned_season_series": _SERIES,
     "season_report": SQL["crossing_report"],
     "fit_products": _FITTED,
+    "ecdf_product_size": f"""
+        SELECT DISTINCT log_n, round(cume_dist() OVER (ORDER BY log_n), 6) AS ecdf
+        FROM (SELECT round(log10("N"), 4) AS log_n FROM ({SQL['profile_fit_bass_refined']}) WHERE "N" IS NOT NULL)""",
+    "peak_reports": f"""
+        SELECT e.region, e.year, e.t, round(e."N", 4) AS "N", round(e.beta, 4) AS beta, e.gamma, e.a, round(e.llh, 4) AS llh, e.m,
+               p.peak_t, p."peak_I", p.seed, o."actual_peak_I", o.actual_peak_t, e.type
+        FROM (SELECT region, year, t, "N", beta, gamma, a, llh, m, 'estimates' AS type FROM estimates
+              UNION ALL SELECT region, year, t, "N", beta, gamma, a, llh, m, 'estimates_true_N' FROM ({SQL['fit_known_N']})) AS e
+        JOIN (SELECT region, year, t, round(median(peak_t), 4) AS peak_t, round(median("peak_I"), 4) AS "peak_I",
+                     CAST(median(seed) AS DOUBLE) AS seed
+              FROM stitched_peaks GROUP BY region, year, t) AS p USING (region, year, t)
+        JOIN actual AS o USING (region, year)""",
     "hist_product_size": f"""
         SELECT CAST(ceil(log10("N") - 0.5) AS DOUBLE) AS bin, {_SHARE} FROM ({_FITTED}) WHERE "N" IS NOT NULL GROUP BY 1""",
     "hist_m_star_t": f"""

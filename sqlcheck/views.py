@@ -63,7 +63,7 @@ VIEWS = {
             WINDOW w AS (PARTITION BY e.region, e.year, e.t, s."N"))
         WHERE "N" > cmax AND spoiled = 0 AND beta IS NOT NULL
         GROUP BY region, year, t, "N", high, beta""",
-    "estimates": """
+    "coarse": """
         SELECT e.region, e.year, e.t, b."N", b.beta, 1.68::DOUBLE AS gamma, 0.0::DOUBLE AS a, b.llh, p.m,
                b."N" >= b.high - 1e-6 AS is_ub_binding, b."N" <= b.least + 1e-6 AS is_lb_binding
         FROM prefixes AS e JOIN placed AS p USING (region, year, t)
@@ -71,6 +71,35 @@ VIEWS = {
                           row_number() OVER (PARTITION BY region, year, t ORDER BY round(llh, 8) DESC, "N") AS pick
                    FROM scored) AS b
              ON b.region = e.region AND b.year = e.year AND b.t = e.t AND b.pick = 1""",
+    "estimates": """
+        WITH framed AS (
+            SELECT e.*, p.cmax, greatest(e."N" / s.ratio, p.cmax) AS lo, least(e."N" * s.ratio, s.high) AS hi
+            FROM coarse AS e
+            JOIN (SELECT region, year, max(high) AS high, pow(max(high) / min("N"), 1 / 199.0) AS ratio
+                  FROM sizes GROUP BY region, year) AS s ON s.region = e.region AND s.year = e.year
+            JOIN (SELECT region, year, t, max("I" + "R") OVER (PARTITION BY region, year ORDER BY t) AS cmax
+                  FROM pairs) AS p ON p.region = e.region AND p.year = e.year AND p.t = e.t
+            WHERE e."N" IS NOT NULL),
+        fine AS (
+            SELECT region, year, t, m, is_ub_binding, is_lb_binding, cmax, lo * pow(hi / lo, g / 20.0) AS size
+            FROM framed, range(21) AS r(g) WHERE lo * pow(hi / lo, g / 20.0) > cmax
+            UNION SELECT region, year, t, m, is_ub_binding, is_lb_binding, cmax, "N" FROM framed),
+        rated AS (
+            SELECT f.region, f.year, f.t, f.m, f.is_ub_binding, f.is_lb_binding, f.size, p."I", p."R", p."X",
+                   sum(p."X") OVER w / sum(p."I" * (1 - (p."I" + p."R") / f.size)) OVER w AS beta
+            FROM fine AS f JOIN pairs AS p ON p.region = f.region AND p.year = f.year AND p.t <= f.t
+            WINDOW w AS (PARTITION BY f.region, f.year, f.t, f.size)),
+        tried AS (
+            SELECT region, year, t, m, is_ub_binding, is_lb_binding, size, beta,
+                   sum(CASE WHEN "X" = 0 THEN 0 ELSE "X" * ln(beta * "I" * (1 - ("I" + "R") / size)) END
+                       - beta * "I" * (1 - ("I" + "R") / size)) AS llh
+            FROM rated GROUP BY ALL)
+        SELECT region, year, t, size AS "N", beta, 1.68::DOUBLE AS gamma, 0.0::DOUBLE AS a,
+               llh, m, is_ub_binding, is_lb_binding
+        FROM (SELECT *, row_number() OVER (PARTITION BY region, year, t ORDER BY round(llh, 8) DESC, size) AS pick FROM tried)
+        WHERE pick = 1
+        UNION ALL
+        SELECT region, year, t, "N", beta, gamma, a, llh, m, is_ub_binding, is_lb_binding FROM coarse WHERE "N" IS NULL""",
     "final": """
         SELECT * FROM estimates AS e
         WHERE t = (SELECT max(t) FROM prefixes AS p WHERE p.region = e.region AND p.year = e.year)""",

@@ -108,7 +108,7 @@ def test_known_parameters_are_recovered(spark):
 def test_refinement_comes_closer(spark):
     s = series(spark, COUNTS)
     coarse = {r.t: r for r in fits.profile_fit_sir(s, KEYS, ORDER, 0.24, points=40).collect()}
-    df = fits.refine_fit(fits.profile_fit_sir(s, KEYS, ORDER, 0.24, points=40), s, KEYS, ORDER, 0.24, 40, 15)
+    df = fits.refined_fit_sir(s, KEYS, ORDER, 0.24, points=40, fine_points=15)
     fine = {r.t: r for r in df.collect()}
     assert fine.keys() == coarse.keys()
     ratio = (1000.0 / 4) ** (1 / 39)
@@ -195,3 +195,55 @@ def test_log_prefixes(pairs):
             assert got[(key, k)].estimate == pytest.approx(grid[j])
             assert got[(key, k)].llh == pytest.approx(sums[j])
     assert set(got) == want
+
+
+def bass_series(spark, n, a, b, gamma=0.1, steps=60, key="a"):
+    """Expected counts of a known Bass model."""
+    counts, i, r = [20.0], 20.0, 0.0
+    for _ in range(steps):
+        new = (a + b * i) * (1 - (i + r) / n)
+        i, r = (1 - gamma) * i + new, r + gamma * i
+        counts.append(new)
+    return series(spark, counts, 1e5, key)
+
+
+def test_refined_bass_finds_the_known_model(spark):
+    s = bass_series(spark, 5000.0, 12.0, 0.25).unionByName(bass_series(spark, 700.0, 2.0, 0.4, key=None))
+    got = {r.key: r for r in fits.refined_fit_bass(s, KEYS, ORDER).collect()}
+    coarse = {r.key: r for r in fits.profile_fit_bass(s, KEYS, ORDER).collect()}
+    for key, (n, a, b) in {"a": (5000.0, 12.0, 0.25), None: (700.0, 2.0, 0.4)}.items():
+        assert got[key].N == pytest.approx(n, rel=0.01) and got[key].beta == pytest.approx(b, rel=0.02)
+        assert got[key].a == pytest.approx(a, rel=0.1) and got[key].llh >= coarse[key].llh
+        assert (got[key].t, got[key].m) == (coarse[key].t, pytest.approx(coarse[key].m))
+
+
+def test_bass_without_further_levels_is_the_grid(spark):
+    s = series(spark, COUNTS).unionByName(series(spark, [2.0, 0, 5, 9, 4, 0, 1], 500.0, "b")).unionByName(series(spark, [5.0], key="c"))
+    a, b = (sorted(map(tuple, df.select("key", "t", F.round("N", 6), F.round("a", 8), F.round("beta", 8), F.round("llh", 6), "m").collect()))
+            for df in (fits.refined_fit_bass(s, KEYS, ORDER, levels=0), fits.profile_fit_bass(s, KEYS, ORDER)))
+    assert a == b and len(a) == 2
+
+
+def test_bass_prefixes_see_no_later_rows(spark):
+    full = fits.refined_fit_bass(series(spark, COUNTS), KEYS, ORDER, samples=100).collect()
+    assert [r.t for r in sorted(full, key=lambda r: r.t)] == list(range(2, len(COUNTS) + 1))
+    short = {r.t: r for r in fits.refined_fit_bass(series(spark, COUNTS[:7]), KEYS, ORDER, samples=100).collect()}
+    for r in full:
+        if r.t <= 7:
+            assert short[r.t] == r
+        cases = fold(0.1, COUNTS[:r.t - 1])
+        assert r.N is None or r.N > max(i + x for i, x in cases)
+
+
+def test_series_streams_in_small_batches(spark):
+    s = series(spark, COUNTS).unionByName(series(spark, COUNTS[::-1], key=None)).unionByName(series(spark, [4.0], key="c"))
+    whole = sorted(map(str, fits.refined_fit_sir(s, KEYS, ORDER, 0.24).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert sorted(map(str, fits.refined_fit_sir(s, KEYS, ORDER, 0.24).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == 22
+    one = fits.refined_fit_sir(s, KEYS, ORDER, 0.24, samples=1).where("key = 'c'").first()
+    assert (one.t, one.N, one.llh, one.m) == (1, None, None, 4.0)
+    assert fits.refined_fit_sir(s.limit(0), KEYS, ORDER, 0.24).count() == 0
