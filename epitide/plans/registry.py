@@ -150,6 +150,21 @@ def write_by_key(spark, d):
     return spark.read.parquet(path)
 
 
+def _bucketed(spark, d):
+    return writers.write_buckets(se.weekly_counts(v.reviews(spark, d)), scratch_path(spark, "products"), ["id"], 16)
+
+
+@query
+def write_buckets(spark, d):
+    """One product's series among any number of products: buckets, not a file each."""
+    return readers.read_buckets(spark, _bucketed(spark, d))
+
+
+@query
+def read_key(spark, d):
+    return readers.read_key(spark, _bucketed(spark, d), id="7")
+
+
 @query
 def param_query(spark, d):
     return spark.sql(

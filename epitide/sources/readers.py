@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from epitide.functions.text import clean_names
 from epitide.schemas import REVIEWS, SERIES
+from epitide.sources.writers import bucket
 
 
 def read_reviews(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -74,3 +75,22 @@ def read_keyed_series(spark: SparkSession, pattern: str, schema: T.StructType =
     rows = read_many(spark, pattern, schema)
     year, region = keys_from_path(F.col("fname"))
     return rows.withColumns({"region": region, "year": year}).drop("fname")
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """All keys of a table from :func:`epitide.sources.writers.write_buckets`."""
+    return spark.read.parquet(path).drop("_buckets", "_bucket")
+
+
+def read_key(spark: SparkSession, path: str, **key) -> DataFrame:
+    """The rows of one key: one folder is read, and of its files the row groups whose key range holds it.
+
+    Give the columns in the order they were written by; None is a key.
+    """
+    rows = spark.read.parquet(path)
+    kinds = {k: rows.schema[k].dataType for k in key}
+    wanted = {k: F.lit(value).cast(kinds[k]) for k, value in key.items()}
+    here = F.col("_bucket") == bucket(list(wanted.values()), F.col("_buckets"))
+    for k, value in wanted.items():
+        here = here & (F.col(k).isNull() if key[k] is None else F.col(k) == value)
+    return rows.where(here).drop("_buckets", "_bucket")

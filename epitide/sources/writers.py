@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,23 @@ def write_by_key(df: DataFrame, path: str, keys: Sequence[str] = ("year", "regio
     return path
 
 
+def bucket(keys: Sequence[Column], buckets: Column) -> Column:
+    return F.pmod(F.hash(*keys), buckets)
+
+
+def write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> str:
+    """Parquet in ``buckets`` folders by the hash of the key, for any number of keys.
+
+    Every file is sorted by key, so its footers hold narrow key ranges. The rebalance hint lets adaptive execution
+    cut a folder with a large key into several files. The number of buckets is part of the path, where
+    :func:`epitide.sources.readers.read_key` finds it.
+    """
+    placed = df.withColumn("_bucket", bucket([F.col(k) for k in keys], F.lit(buckets)))
+    (placed.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *keys)
+     .write.partitionBy("_bucket").parquet(f"{path.rstrip('/')}/_buckets={buckets}"))
+    return path
+
+
 def write_with_preamble(df: DataFrame, path: str, title: str, names: list[str]) -> str:
     """CSV text files, each with a title line above its header, as the surveillance download has them."""
     def quoted(value):

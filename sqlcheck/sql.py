@@ -148,6 +148,8 @@ SQL = {
     "typed_read": 'SELECT week, "dS", "Nmax" FROM series',
     "type_convert": """SELECT TRY_CAST(week AS INTEGER) AS week, total_patients, TRY_CAST(weighted_ili AS DOUBLE) AS weighted_ili,
                        TRY_CAST(num_of_providers AS DOUBLE) AS num_of_providers FROM ili_raw""",
+    "write_buckets": 'SELECT id, week, "dS", "Nmax" FROM weekly',
+    "read_key": """SELECT id, week, "dS", "Nmax" FROM weekly WHERE id = '7'""",
     "write_csv_header": 'SELECT id, week, "dS", "Nmax" FROM weekly',
     "write_by_key": _SERIES,
     "param_query": 'SELECT week, "dS", "Nmax" FROM series WHERE region = 1 AND year = 1997',

@@ -148,3 +148,17 @@ def test_joins_keep_null_keys(spark):
     week = 604800
     log = spark.createDataFrame([(i, "r", 5, k * week * 9) for i in (None, "a") for k in range(40)], "id string, reviewer_id string, rating long, ts long")
     assert fit_products(log, min_reviews=5).count() == 2
+
+
+def test_one_key_reads_one_bucket(spark, tmp_path):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 500 <> 7 THEN CAST(id % 500 AS STRING) END AS id", "id AS week", "id * 1.0 AS dS")
+    path = writers.write_buckets(df, f"{tmp_path}/b", ["id"], 8)
+    folders = list((tmp_path / "b" / "_buckets=8").glob("_bucket=*"))
+    assert len(folders) == 8 and len(list((tmp_path / "b").rglob("*.parquet"))) == 8
+    assert sorted(map(str, readers.read_buckets(spark, path).collect())) == sorted(map(str, df.collect()))
+    for key, want in (("13", list(range(13, 3000, 500))), (None, list(range(7, 3000, 500))), ("none such", [])):
+        got = readers.read_key(spark, path, id=key)
+        assert sorted(r.week for r in got.collect()) == want
+        assert len({f.rsplit("/", 2)[1] for f in got.select(F.input_file_name()).distinct().toArrow()[0].to_pylist()}) <= 1
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(_bucket" in plan and "PushedFilters: [" in plan
