@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WORDS_AT_ONCE = 1 << 16
 #: Known words of a Python worker, and known fragments, are forgotten when there are more than this.
 KNOWN_AT_MOST, FRAGMENTS_AT_MOST = 400_000, 100_000
-#: Texts of an Arrow batch whose ids and decoded text leave the worker together.
-TEXTS_AT_ONCE = 250
+#: Longer words and fragments are not kept.
+KNOWN_BYTES = 256
+#: Longer fragments are merged with a heap.
+SCANNED_BYTES = 128
+#: Texts of an Arrow batch whose ids and decoded text leave the worker together, and their bytes (or one longer text).
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 250, 16 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,7 +77,12 @@ class Vocabulary:
         return [word[a:b] for a, b in zip([0, *at], [*at, len(word)])]
 
     def merged(self, fragment: bytes) -> bytes:
-        """Ids of one fragment: the pair of lowest rank is merged wherever it occurs, until none is left."""
+        """Ids of one fragment: the pair of lowest rank is merged wherever it occurs, until none is left.
+
+        Scans a short fragment for each merge; a long one keeps its pairs in order, see :meth:`merged_long`.
+        """
+        if len(fragment) > SCANNED_BYTES:
+            return self.merged_long(fragment)
         ids, rank, never = [self.single[b] for b in fragment], self.rank.get, len(self.result)
         while len(ids) > 1:
             best = never
@@ -92,15 +103,46 @@ class Vocabulary:
             ids = out
         return b"".join([self.packed[i] for i in ids])
 
+    def merged_long(self, fragment: bytes) -> bytes:
+        """The same ids in n log n: a heap of (rank, place) over a linked list of the ids.
+
+        The leftmost pair of the lowest rank is merged first, and the pairs that it makes join the heap. As a merge
+        only makes pairs of later ranks, equal pairs are all merged from left to right before them.
+        """
+        ids, n = [self.single[b] for b in fragment], len(fragment)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        rank = self.rank.get
+        heap = [(r, i) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or rank((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j] = self.result[r], -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if (s := rank((ids[i], ids[k]))) is not None:
+                    heappush(heap, (s, i))
+            h = before[i]
+            if h >= 0 and (s := rank((ids[h], ids[i]))) is not None:
+                heappush(heap, (s, h))
+        return b"".join([self.packed[i] for i in ids if i >= 0])
+
     def word(self, word: str) -> bytes:
         known = self.fragments
         out = []
         for fragment in self.cuts(word.encode("utf-8", "surrogatepass")):
             ids = known.get(fragment)
             if ids is None:
-                ids = known[fragment] = self.merged(fragment)
+                ids = self.merged(fragment)
+                if len(fragment) <= KNOWN_BYTES:
+                    known[fragment] = ids
             out.append(ids)
-        ids = self.words[word] = b"".join(out)
+        ids = b"".join(out)
+        if len(word) <= KNOWN_BYTES:
+            self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -162,14 +204,24 @@ def decoder(vocabulary):
     return decode
 
 
+def small(batch: pa.RecordBatch):
+    """Slices of a batch of at most ``TEXTS_AT_ONCE`` texts and ``BYTES_AT_ONCE`` bytes, one text at least."""
+    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        most = (size[at - 1] if at else 0) + BYTES_AT_ONCE
+        stop = min(at + TEXTS_AT_ONCE, max(at + 1, int(np.searchsorted(size, most, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def round_trip(vocabulary):
     """For ``mapInArrow``: rows of doc_id and text to doc_id, n_tokens, ids and decoded, a few texts at a time."""
 
     def run(batches):
         v = loaded(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
+            for part in small(batch):
                 ids = [v.encode(t.as_py() or "") for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
@@ -183,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
 
     Equal to the tokenizers library without added special tokens: strings of special tokens in a
     text are their ids. NULL and empty texts have no tokens. The work is inside the row, so no
-    row is moved; repeated rows, NULL ids and empty tables stay as they are, other columns are not
+    row is moved; a long word costs n log n, a text of any length goes alone; repeated rows, NULL ids and empty tables stay as they are, other columns are not
     read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

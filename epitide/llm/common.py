@@ -26,6 +26,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores more as it takes to differ from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def same(left: str, right: str, columns: list[str]) -> Column:
     """Null-safe equality of the columns of two aliased tables."""
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import lower_ascii, text_key
+from epitide.llm.common import free, lower_ascii, text_key
 from epitide.session import cut
 
 #: Everything that is no word after lower-casing A-Z: words are digits, a-z and all outside ASCII.
@@ -90,10 +90,13 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: s
     suspects = (texts.join(bounded(seen.where("found = 1").select("key"), "key", most // 4), "key", "left_semi")
                 .groupBy("key").agg(F.first("t").alias("t")).select("key", F.split(normal(F.col("t")), " ").alias("w")))
     laid = F.concat(*[placed("w", n) for n in sizes])
-    hits = (suspects.select("key", F.explode(laid).alias("x")).select("key", "x.start", "x.n", "x.gram")
-            .join(bounded(tests, "gram", most), ["gram", "n"])
-            .groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"),
-                                F.sort_array(F.collect_set(F.struct("start", "n"))).alias("hits")))
+    grams_ = cut(tests.select("gram", "n").distinct(), "grams")
+    found = cut(suspects.select("key", F.explode(laid).alias("x")).select("key", "x.start", "x.n", "x.gram")
+                .join(bounded(grams_, "gram", most), ["gram", "n"]), "found")
+    # a window that a text repeats meets its items once
+    named = (found.select("key", "gram", "n").distinct().join(bounded(tests, "gram", most), ["gram", "n"])
+             .groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
+    hits = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("hits")).join(named, "key")
     return cut(seen.join(hits, "key", "left").select(
         "key", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("hits", F.array().cast("array<struct<start:int,n:int>>")).alias("hits")), "hits")
@@ -123,6 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
-    """``docs`` without the documents in which a window of the benchmark occurs, columns as they were."""
-    found = window_hits(docs, benchmark, window, text).where(F.size("hits") > 0).select(F.col("key").alias("_key"))
-    return docs.join(found, text_key(F.col(text)) == F.col("_key"), "left_anti")
+    """``docs`` without the documents in which a window of the benchmark occurs, columns as they were, whatever their names."""
+    key, = free(docs, "_key")
+    found = window_hits(docs, benchmark, window, text).where(F.size("hits") > 0).select(F.col("key").alias(key))
+    return docs.join(found, text_key(F.col(text)) == F.col(key), "left_anti")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epitide.llm.common import free
+
 BIT = 1_000_000
 ASSIGNED_AT_LEAST = 6
 
@@ -50,10 +53,13 @@ CLASSES = (
     CharClass("hex", DIGITS + "abcdefABCDEF", 24, 3.0),
     CharClass("base64", DIGITS + LOWER + LOWER.upper() + "+/_-", 20, 3.9),
 )
-#: Candidates that match one of these are no secrets: words and names joined by marks, UUIDs, placeholders.
+#: Candidates that match one of these as a whole are no secrets: words and names joined by marks, UUIDs.
 ALLOWED = (
     "^[A-Za-z]?[a-z]*(?:[+/_-]+[A-Za-z]?[a-z]*)*$",
     "^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
+)
+#: Windows that hold one of these are no secrets: placeholders. Other windows of the same candidate still count.
+ALLOWED_INSIDE = (
     "(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{8}|01234567|12345678|abcdefgh)",
 )
 SPAN = "struct<start:int,rank:int,stop:int>"
@@ -88,8 +94,8 @@ def plain(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["stop"].alias("stop")))
 
 
-def hot_windows(candidate: Column, of: CharClass) -> Column:
-    """Spans within one candidate whose windows have at least ``of.bits``, overlapping ones merged.
+def hot_windows(candidate: Column, of: CharClass, allowed: tuple[str, ...] = ALLOWED_INSIDE) -> Column:
+    """Spans within one candidate whose windows have at least ``of.bits`` and hold nothing allowed, overlapping ones merged.
 
     Slides over the characters with a count for each symbol: the one that enters is counted, the one
     that leaves is taken off, and the sum of c log2 c follows by the two differences. The entropy
@@ -129,7 +135,9 @@ def hot_windows(candidate: Column, of: CharClass) -> Column:
             (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["stop"] >= start),
             F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), (i + 1).alias("stop"))))
         ).otherwise(F.concat(out, F.array(F.struct(start.alias("start"), (i + 1).alias("stop")))))
-        return F.when((i >= w - 1) & (total <= of.most), grown).otherwise(out)
+        inside = F.substring(candidate, start + 1, F.lit(w))
+        placeholder = reduce(lambda a, b: a | b, [inside.rlike(p) for p in allowed], F.lit(False))
+        return F.when((i >= w - 1) & (total <= of.most), F.when(placeholder, out).otherwise(grown)).otherwise(out)
 
     first = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0).cast("long").alias("sum"), empty.alias("out"))
     return F.aggregate(F.sequence(F.lit(0), F.char_length(candidate) - 1), first, step, lambda now: now["out"])
@@ -149,11 +157,6 @@ def without(runs: Column, pattern: str) -> Column:
     return F.filter(runs, lambda x: ~x["s"].rlike(pattern))
 
 
-def outside(spans: Column, base: Column) -> Column:
-    """The spans that share no character with a base span."""
-    return F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-
-
 def joined(spans: Column) -> Column:
     """kind:start:stop by start, then kind, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
@@ -162,41 +165,38 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = CLASSES,
-         allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: arrays of (start, rank, stop) in order.
+         allowed: tuple[str, ...] = ALLOWED, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """``docs`` with ``base`` and ``spans``: arrays of (start, rank, stop) in order.
 
     ``rank`` points into KINDS; offsets count code points, ``stop`` is exclusive. Base spans are the
     leftmost matches of the fixed patterns. The entropy scan adds spans of windows whose characters are
-    too evenly spread for their class, unless they touch a base span or the candidate is on the
+    too evenly spread for their class, also where they overlap base spans, unless the candidate or the window is on its
     allow-list. All work is inside the row, so no row is moved, whatever its key or length. NULL
-    is scanned as the empty text; other columns pass through.
+    is scanned as the empty text; other columns pass through. ``names`` are those of the two new columns; columns of
+    ``docs`` with these names are replaced.
     """
-    spans = F.array_sort(F.concat("_base", outside(F.col("_hot"), F.col("_base"))))
-    return searched(docs, text, classes, allowed).withColumn("_spans", spans).drop("_hot")
-
-
-def searched(docs: DataFrame, text: str, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """``docs`` with ``_base`` as in :func:`scan` and ``_hot``, all entropy spans, also those that touch a base span."""
+    base_name, span_name = names
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(plain(found(t, ASSIGN, 0, 2, ASSIGNED_AT_LEAST)), plain(found(t, ACCESS, 1)), plain(found(t, HEX, 2)))
-    out = docs.withColumn("_base", F.array_sort(base))
-    for i, of in enumerate(classes):
-        out = out.withColumn(f"_more{i}", entropy_spans(t, of, allowed))
-    more = F.concat(F.array().cast(f"array<{SPAN}>"), *[F.col(f"_more{i}") for i in range(len(classes))])
-    return out.withColumn("_hot", F.array_distinct(more)).drop(*[f"_more{i}" for i in range(len(classes))])
+    more = free(docs, *[f"_more{i}" for i in range(len(classes))])
+    out = docs.withColumn(base_name, F.array_sort(base))
+    for name, of in zip(more, classes):
+        out = out.withColumn(name, entropy_spans(t, of, allowed))
+    hot = F.array_distinct(F.concat(F.array().cast(f"array<{SPAN}>"), *[F.col(name) for name in more]))
+    return out.withColumn(span_name, F.array_sort(F.concat(base_name, hot))).drop(*more)
 
 
 def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, base, spans for every document; repeated rows, NULL ids and empty tables stay as they are."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return scan(rows, "text", **options).select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+    return scan(rows, "text", **options).select("doc_id", "base", "spans")
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every secret replaced by ``mask``; documents without secrets are unchanged.
 
-    Overlapping spans are replaced once, and an entropy span that touches a base span is replaced as a
-    whole, so no part of a longer secret stays. No document is dropped; a NULL text stays NULL.
+    Overlapping spans are replaced once, so no part of a longer secret stays. No document is dropped; a NULL text
+    stays NULL; other columns stay whatever their names.
     """
     t = F.col(text)
 
@@ -208,11 +208,11 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", **option
             F.when(start > x["start"], now["out"]).otherwise(F.concat(now["out"], F.array(piece, F.lit(mask)))).alias("out")))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = F.aggregate(F.col("_spans"), first, step, lambda now: F.concat(
+    base, spans = free(docs, "_base", "_spans")
+    rest = F.aggregate(F.col(spans), first, step, lambda now: F.concat(
         now["out"], F.array(F.substring(t, now["at"] + 1, F.char_length(t)))))
-    clean = F.when(F.size("_spans") > 0, F.array_join(rest, "")).otherwise(t)
-    spans = F.array_sort(F.concat("_base", "_hot"))
-    return searched(docs, text, **options).withColumn("_spans", spans).withColumn(text, clean).select(*docs.columns)
+    clean = F.when(F.size(spans) > 0, F.array_join(rest, "")).otherwise(t)
+    return scan(docs, text, names=(base, spans), **options).withColumn(text, clean).select(*docs.columns)
 
 
 def count_kind(spans: Column, kind: str) -> Column:

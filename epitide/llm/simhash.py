@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epitide.llm.common import components
+from epitide.llm.common import components, free
 from epitide.session import cut
 
 BYTES = 8
@@ -157,20 +157,21 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, t
                          doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group: the smallest doc_id, with the columns it came with.
 
-    Of repeated rows one stays. Of a group in which no document has a doc_id one row stays.
+    Of repeated rows one stays. Of a group in which no document has a doc_id one row stays. Columns may have any names.
     """
     names = docs.columns
-    rows = cut(docs.withColumn("_fp", fingerprint(shingle)(F.col(text))), "simhash")
-    ids = rows.select(F.col(doc_id).alias("_id"), "_fp")
+    fp, one = free(docs, "_fp", "_one")
+    rows = cut(docs.withColumn(fp, fingerprint(shingle)(F.col(text))), "simhash")
+    ids = rows.select(F.col(doc_id).alias("_id"), F.col(fp).alias("_fp"))
     groups = grouped(ids, "_id", distance)
     counts = (ids.groupBy("_id", "_fp").agg(F.count(F.lit(1)).alias("_n")).join(groups, F.col("_fp") == F.col("fp"))
               .select("_id", "_fp", "_n", F.col("component_id").alias("_of")))
     counts = cut(counts.where(~F.col("_id").eqNullSafe(F.col("_of")) | F.col("_of").isNull() | (F.col("_n") > 1)),
                  "decided")
-    match = (F.col("r._fp") == F.col("c._fp")) & F.col(f"r.{doc_id}").eqNullSafe(F.col("c._id"))
+    match = (F.col(f"r.{fp}") == F.col("c._fp")) & F.col(f"r.{doc_id}").eqNullSafe(F.col("c._id"))
     plain = rows.alias("r").join(counts.alias("c"), match, "left_anti")
     several = (rows.alias("r").join(counts.where(F.col("_id").eqNullSafe(F.col("_of"))).alias("c"), match)
-               .join(groups.alias("g"), F.col("r._fp") == F.col("g.fp"))
-               .select("r.*", F.coalesce(F.col("c._of").cast("string"), F.hex("r._fp")).alias("_one"))
-               .dropDuplicates(["_one"]))
+               .join(groups.alias("g"), F.col(f"r.{fp}") == F.col("g.fp"))
+               .select("r.*", F.coalesce(F.col("c._of").cast("string"), F.hex(f"r.{fp}")).alias(one))
+               .dropDuplicates([one]))
     return plain.select(*names).unionByName(several.select(*names))

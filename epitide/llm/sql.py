@@ -5,7 +5,7 @@ The other queries are tested against brute force, the tokenizers library or held
 
 from __future__ import annotations
 
-from epitide.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, ASSIGNED_AT_LEAST, CLASSES, HEX, KINDS
+from epitide.llm.secret_scan import ACCESS, ALLOWED, ALLOWED_INSIDE, ASSIGN, ASSIGNED_AT_LEAST, CLASSES, HEX, KINDS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,14 +32,18 @@ def spans(kind: str, pattern: str, group: int = 0, at_least: int = 1) -> str:
 def secret_sql() -> str:
     base = " UNION ALL ".join([spans("assign", ASSIGN, 2, ASSIGNED_AT_LEAST), spans("access", ACCESS), spans("hex", HEX)])
     allowed = " AND ".join(f"NOT regexp_matches(s, {quoted(p)})" for p in ALLOWED)
+
+    def inside(w):
+        return " AND ".join(f"NOT regexp_matches(substr(s, pos + 1, {w}), {quoted(p)})" for p in ALLOWED_INSIDE)
+
     hot = []
     for c in CLASSES:
         hot.append(f"""
   SELECT doc_id, row_id, start, stop, '{c.name}' AS class, {c.window} AS w, pos FROM (
     SELECT doc_id, row_id, start, stop, pos, ch, count(*) AS n FROM (
-      SELECT doc_id, row_id, start, stop, pos, substr(s, pos + unnest(range(1, {c.window} + 1)), 1) AS ch FROM (
+      SELECT doc_id, row_id, start, stop, pos, s, substr(s, pos + unnest(range(1, {c.window} + 1)), 1) AS ch FROM (
         SELECT doc_id, row_id, start, stop, s, unnest(range(length(s) - {c.window} + 1)) AS pos
-        FROM ({spans("entropy", c.run)}) WHERE {allowed}))
+        FROM ({spans("entropy", c.run)}) WHERE {allowed}) WHERE {inside(c.window)})
     GROUP BY ALL)
   GROUP BY doc_id, row_id, start, stop, pos HAVING sum(CAST(round(n * log2(n) * 1000000) AS BIGINT)) <= {c.most}""")
     kinds = "[" + ", ".join(quoted(k) for k in KINDS) + "]"
@@ -55,9 +59,7 @@ islands AS (
     SELECT *, sum(fresh) OVER (PARTITION BY row_id, start, class ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM (
       SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY row_id, start, class ORDER BY pos) <= w THEN 0 ELSE 1 END AS fresh FROM hot))
   GROUP BY doc_id, row_id, start, class, island),
-more AS (
-  SELECT DISTINCT doc_id, row_id, 'entropy' AS kind, start, stop FROM islands i
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = i.row_id AND b.start < i.stop AND i.start < b.stop)),
+more AS (SELECT DISTINCT doc_id, row_id, 'entropy' AS kind, start, stop FROM islands),
 b AS (SELECT row_id, {counts}, array_to_string({total}, ',') AS spans FROM base GROUP BY row_id),
 a AS (SELECT row_id, array_to_string({total}, ',') AS spans
       FROM (SELECT row_id, kind, start, stop FROM base UNION ALL SELECT row_id, kind, start, stop FROM more) GROUP BY row_id)

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epitide.llm.common import free
+
 #: Words of a window, and how far the next one starts: every word lies in two windows.
 WINDOW, STRIDE = 32, 16
 #: Width of the word and of the character input, and of the state in each direction.
@@ -383,5 +385,6 @@ def toxicity(docs: DataFrame, model, text: str = "text", doc_id: str = "doc_id")
 
 
 def drop_toxic(docs: DataFrame, model, reject: float = 0.7, text: str = "text") -> DataFrame:
-    """``docs`` without the documents that score ``reject`` or more, columns as they were."""
-    return docs.withColumn("_score", scorer(model)(F.col(text))).where(F.col("_score") < reject).drop("_score")
+    """``docs`` without the documents that score ``reject`` or more, columns as they were, whatever their names."""
+    score, = free(docs, "_score")
+    return docs.withColumn(score, scorer(model)(F.col(text))).where(F.col(score) < reject).drop(score)

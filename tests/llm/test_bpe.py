@@ -67,3 +67,36 @@ def test_documents(spark, library):
         ids = library.encode(t, add_special_tokens=False).ids
         assert r.decoded == t and np.frombuffer(r.ids, dtype="<u4").tolist() == ids and r.n_tokens == len(ids)
     assert encode_documents(docs(spark, []), PATH).count() == 0
+
+
+def test_long_words_equal_the_library_and_take_no_square_of_time():
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from epitide.llm import bpe
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary, library = bpe.Vocabulary.of(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    rng = random.Random(8)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("a", "ab", "thequickbrown", "éßöab", "etaoinshrdlu")
+             for n in (3, 127, 129, 500, 4000)]
+    for word in words:
+        assert np.frombuffer(vocabulary.encode(word), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    assert all(vocabulary.merged_long(w.encode()) == b"".join(map(vocabulary.merged, [w.encode()[:128]])) for w in ["the" * 40, "ab", "a"])
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    start = time.time()
+    ids = vocabulary.encode(long)
+    assert time.time() - start < 30
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(long, add_special_tokens=False).ids
+    assert long not in vocabulary.words and vocabulary.decode(ids) == long
+
+
+def test_slices_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from epitide.llm import bpe
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 4, None, "b" * 40, "", "c" * 5, "d" * 5, "e"]})
+    assert [part.column("text").to_pylist() for part in bpe.small(batch)] == [["aaaa", None], ["b" * 40, "", "ccccc", "ddddd"][:1], ["", "ccccc", "ddddd"], ["e"]]

@@ -85,3 +85,14 @@ def test_edge_rows(spark):
     assert not any(r.contaminated for r in contamination(table, none).collect())
     assert drop_contaminated(table, none).count() == 4
     assert contamination(docs(spark, []), tests).count() == 0 and contamination(docs(spark, []), none).count() == 0
+
+
+def test_a_template_of_many_items_that_a_text_repeats(spark):
+    """1,000 items share their words, a text repeats them 1,000 times: the windows meet the items once, not at every place."""
+    words = " ".join(f"t{i}" for i in range(10))
+    items = spark.createDataFrame([(i, words, "x") for i in range(1000)], "item_id long, text string, doc_id string")
+    table = docs(spark, [f"{words} " * 1000, "other words"]).selectExpr("*", "5 AS _key")
+    hot = next(r for r in contamination(table, items, 10).collect() if r.doc_id == 0)
+    assert hot.n_hit == hot.n_words == 10_000 and len(hot["items"]) == 1000 and len(hot.hits) == 1000
+    kept = drop_contaminated(table, items, 10)
+    assert kept.columns == table.columns and [(r.text, r["_key"]) for r in kept.collect()] == [("other words", 5)]

@@ -140,8 +140,14 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     d, *_ = folder
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "secrets", "bpe"]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    inner = ["_fp", "_one", "_score", "_key", "_base", "_spans", "_hot", "_more0", "fp", "key", "base", "spans"]
+    named = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in inner])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+        out = stage(spark, named, d)
+        assert out.columns == named.columns and out.count() > 50, name
+        wrong = " OR ".join(f"NOT {n} <=> concat('{n}', doc_id)" for n in inner)
+        assert out.where(wrong).count() == 0, name
         assert stage(spark, docs.limit(0), d).count() == 0
 
 
