@@ -6,7 +6,6 @@ but the last return the columns of ``documents``; the last one returns tokens.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from epitide.llm import bpe, decontam, secret_scan, simhash, toxicity
@@ -37,6 +36,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, and the text that they decode to."""
+    import public_tokenizers  # only this stage needs it
+
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
