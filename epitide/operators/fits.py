@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitide.functions.model import MINUS_INF, at_grid_end, count_term, log_grid, new_case_rate, safe_ln
+from epitide.functions.model import at_grid_end, count_term, log_grid, new_case_rate, safe_ln
 from epitide.operators.search import Pairs, search
 from epitide.operators.series import last_row, mark_prefix_points, state_fold
 from epitide.operators.spread import join_keys, spread_rows
