@@ -7,6 +7,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +15,18 @@ from epitide.llm.common import text_key
 from epitide.llm.repeats import GRAM, NO_ID, names, scan, slices
 from epitide.session import cut
 
-#: A repeat of a text (``is`` NULL), or one window of it that is still to be compared with those of other tasks.
-FOUND = "key string, start long, stop long, earlier long, is binary"
-FOUND_ARROW = pa.schema([("key", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("earlier", pa.int64()), ("is", pa.binary())])
-#: A group of suffixes with more windows than this is not held in memory; its windows are compared by a join.
+#: A repeat of a text (``piece`` NULL), or of a piece of a group that goes on elsewhere: a window with its smallest
+#: (``earlier``) and largest (``stop``) id, or a suffix (id in ``earlier``) with the digests of its windows from ``start`` on.
+FOUND = "key string, start long, stop long, earlier long, piece long, window binary, windows binary"
+FOUND_ARROW = pa.schema([("key", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("earlier", pa.int64()),
+                         ("piece", pa.int64()), ("window", pa.binary()), ("windows", pa.binary())])
+REPEATS = "key string, start long, stop long, earlier long"
+REPEATS_ARROW = pa.schema([(c, FOUND_ARROW.field(c).type) for c in ("key", "start", "stop", "earlier")])
+#: A group of suffixes with more windows than this is cut into pieces, which are compared with each other.
 WINDOWS_AT_ONCE = 1 << 17
+#: Pieces that a task may number.
+PIECES = 1 << 32
+DIGEST = 16
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
@@ -65,14 +73,31 @@ def common(a: list[str], b: list[str]) -> int:
     return n
 
 
+def runs(key: str, number: int, found: list[tuple[int, bytes]], least: dict[bytes, int], length: int):
+    """Repeats (key, start, stop, earlier) of a suffix: its windows whose smallest id is below its own, joined where they follow each other."""
+    start = stop = earlier = None
+    for at, digest in found:
+        first = least.get(digest, number)
+        if first < number:
+            if stop is not None and at == stop - length + 1:
+                stop, earlier = at + length, min(earlier, first)
+                continue
+            if stop is not None:
+                yield key, start, stop, earlier
+            start, stop, earlier = at, at + length, first
+    if stop is not None:
+        yield key, start, stop, earlier
+
+
 def neighbours(length: int, gram: int, at_once: int = WINDOWS_AT_ONCE):
     """For ``mapInArrow`` over one range of the sorted suffixes: windows that a smaller id has as well.
 
     Neighbours that agree in ``gram`` words form a group; equal windows are in one group. A window that
     reaches further to the right than either neighbour agrees is unique. Of the others the smallest
     id of each is taken by a 128-bit digest of its words, whatever stands between its holders. Groups that may go on in another
-    range, the first and the last, and groups of more than ``at_once`` windows give their windows
-    instead, to be compared by :func:`sorted_matches`.
+    range, the first and the last, and groups of more than ``at_once`` windows are given in pieces of about
+    that size: each different window once, with its ids reduced to two, and the suffixes themselves. :func:`sorted_matches`
+    compares the windows of the pieces.
     """
 
     def rows(batches):
@@ -108,38 +133,36 @@ def neighbours(length: int, gram: int, at_once: int = WINDOWS_AT_ONCE):
                 if number < least.get(digest, NO_ID + 1):
                     least[digest] = number
         for key, number, found in group:
-            start = stop = earlier = None
-            for at, digest in found:
-                if least[digest] < number:
-                    if stop is not None and at == stop - length + 1:
-                        stop, earlier = at + length, min(earlier, least[digest])
-                        continue
-                    if stop is not None:
-                        yield key, start, stop, earlier, None
-                    start, stop, earlier = at, at + length, least[digest]
-            if stop is not None:
-                yield key, start, stop, earlier, None
+            for r in runs(key, number, found, least, length):
+                yield *r, None, None, None
 
-    def left_open(group):
+    def left_open(group, piece):
+        ends = {}
         for key, number, found in group:
-            for at, digest in found:
-                yield key, at, at + length, number, digest
+            for _, digest in found:
+                low, high = ends.get(digest, (number, number))
+                ends[digest] = min(low, number), max(high, number)
+            yield key, found[0][0], None, number, piece, None, b"".join(d for _, d in found)
+        for digest, (low, high) in ends.items():
+            yield None, None, high, low, piece, digest, None
 
     def found(batches):
+        task = TaskContext.get()
+        piece = (task.partitionId() if task else 0) * PIECES
         group, size, is_open, first = [], 0, True, True
         for row, begins, agree in groups(batches):
             if begins and not first:
-                yield from (left_open if is_open else repeats)(group)
-                group, size, is_open = [], 0, False
+                yield from left_open(group, piece) if is_open else repeats(group)
+                group, size, is_open, piece = [], 0, False, piece + 1
             first = False
             mine = windows(row, agree)
             if mine:
                 group.append((row[0], row[1], mine))
                 size += len(mine)
             if size > at_once:
-                yield from left_open(group)
-                group, size, is_open = [], 0, True
-        yield from left_open(group)
+                yield from left_open(group, piece)
+                group, size, is_open, piece = [], 0, True, piece + 1
+        yield from left_open(group, piece)
 
     def run(batches):
         out = {c: [] for c in FOUND_ARROW.names}
@@ -154,21 +177,39 @@ def neighbours(length: int, gram: int, at_once: int = WINDOWS_AT_ONCE):
     return run
 
 
+def marked(length: int):
+    """For a cogroup by piece: repeats of the piece's suffixes, given the smallest id of each window that several ids have."""
+
+    def run(suffixes: pa.Table, least: pa.Table) -> pa.Table:
+        first = dict(zip(least["window"].to_pylist(), least["least"].to_pylist()))
+        out = []
+        for key, start, number, digests in zip(*(suffixes[c].to_pylist() for c in ("key", "start", "earlier", "windows"))):
+            found = [(start + i // DIGEST, digests[i:i + DIGEST]) for i in range(0, len(digests), DIGEST)]
+            out.extend(runs(key, number, found, first, length))
+        return pa.Table.from_pydict(dict(zip(REPEATS_ARROW.names, map(list, zip(*out)))) if out else {c: [] for c in REPEATS_ARROW.names},
+                                    schema=REPEATS_ARROW)
+
+    return run
+
+
 def sorted_matches(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
     """key, start, stop, earlier: repeats in the global order of the suffixes, cut into ranges.
 
-    Ranges follow the suffixes themselves, so a minimiser with a third of all suffixes is cut like any other. The
-    windows of groups that one range may not hold alone are aggregated map-side to their smallest id and joined
-    back as plain tables, so that a window with very many holders can be split.
+    Ranges follow the suffixes themselves, so a minimiser with a third of all suffixes is cut like any other. Of
+    groups that one range may not hold alone, a piece has each different window once, however many suffixes
+    hold it: these meet in an aggregate, and the smallest ids go back to the pieces, which mark their own suffixes. A
+    piece has no more than about ``WINDOWS_AT_ONCE`` windows, so that what meets in one task is bounded.
     """
     order = ["right", "left", "id", "key", "pos"]
     laid = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     found = cut(laid.mapInArrow(neighbours(length, gram), FOUND), "ranges")
-    windows = found.where("is IS NOT NULL")
-    earliest = cut(windows.groupBy("is").agg(F.min("earlier").alias("least"), F.max("earlier").alias("most"))
-                   .where("least < most").select("is", "least"), "earliest")
-    across = windows.withColumnRenamed("earlier", "id").join(earliest, "is").where("least < id")
-    return found.where("is IS NULL").drop("is").unionByName(across.select("key", "start", "stop", F.col("least").alias("earlier")))
+    windows = found.where("window IS NOT NULL").select("piece", "window", "earlier", "stop")
+    earliest = cut(windows.groupBy("window").agg(F.min("earlier").alias("least"), F.max("stop").alias("most"))
+                   .where("least < most").select(F.col("window").alias("w"), "least"), "earliest")
+    back = windows.join(earliest, F.col("window") == F.col("w")).where("least < stop").select(F.col("piece").alias("p"), "window", "least")
+    open_rows = found.where("windows IS NOT NULL").select("piece", "key", "start", "earlier", "windows")
+    across = open_rows.groupBy("piece").cogroup(back.groupBy("p")).applyInArrow(marked(length), REPEATS)
+    return found.where("piece IS NULL").select("key", "start", "stop", "earlier").unionByName(across)
 
 
 def suffix_repeats(docs: DataFrame, length: int = 50, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

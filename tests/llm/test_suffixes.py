@@ -64,6 +64,21 @@ def test_hundreds_of_holders_over_many_ranges(spark, many_ranges):
     compared(spark, rows, 10, 3)
 
 
+def test_pieces_hold_each_window_once(spark, many_ranges, monkeypatch):
+    """Near copies cut into many small pieces: few windows meet across pieces, however many texts hold them."""
+    from epitide.llm import suffixes
+    monkeypatch.setattr(suffixes.neighbours, "__defaults__", (50,))
+    rng = random.Random(6)
+    words = prose(rng, 60, 5000).split()
+    rows = []
+    for i in range(150):
+        words_here = list(words)
+        words_here[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words_here)))
+    rng.shuffle(rows)
+    compared(spark, rows, 10, 3)
+
+
 def around(left, right, length, number):
     """Words that agree with the common ones in ``left`` words before a marker and ``right`` words from it on."""
     before = [f"l{j}" if j < left else f"x{number}l{j}" for j in range(length)][::-1]
@@ -89,8 +104,8 @@ def test_groups_inside_a_range(at_once):
             ("y", 9, 0, "c c c c ", "")]
     batch = pa.RecordBatch.from_pydict(dict(zip(("key", "id", "pos", "right", "left"), map(list, zip(*rows)))))
     found = [r for b in neighbours(5, 3, at_once)([batch]) for r in b.to_pylist()]
-    repeats = {(r["key"], r["start"], r["stop"], r["earlier"]) for r in found if r["is"] is None}
-    opened = {r["key"] for r in found if r["is"] is not None}
+    repeats = {(r["key"], r["start"], r["stop"], r["earlier"]) for r in found if r["piece"] is None}
+    opened = {r["key"] for r in found if r["windows"] is not None}
     if at_once == 2:
         assert not repeats and opened == {"k1", "k2", "k3"}
     else:
