@@ -16,11 +16,11 @@ from epitide.session import cut
 #: Key bytes: 8 of the order hash, 8 of the id, 8 of the row's place in the written table.
 KEY_BYTES = 24
 KEY_SPACE = 1 << (8 * KEY_BYTES)
-#: Probes that one round lays between the bounds of each splitter that is still open.
-PROBES = 8
+#: Probes that one round lays between the smallest and the largest key around each splitter that is still open.
+PROBES = 32
 #: A round never sends more probes than this; open splitters beyond it wait for the next round.
 PROBES_AT_MOST = 60_000
-ROUNDS_AT_MOST = 220
+ROUNDS_AT_MOST = 100
 
 
 def sortable(number: Column) -> Column:
@@ -35,32 +35,49 @@ def keyed(rows: DataFrame, order: Column, tie: Column, size: Column) -> DataFram
     return cut(rows.select("*", key.alias("_key"), size.cast("long").alias("_size")), "keyed")
 
 
-def histogram(table: DataFrame, probes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Exact bytes and rows below each probe.
+def gaps(table: DataFrame, probes: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
+    """Exact bytes and rows between neighbouring probes, and the smallest and largest key there.
 
-    Every partition counts its own rows between the probes; the counts are summed by Spark, and
-    the driver gets one row for each gap between two probes.
+    Gap g holds the keys from probe g - 1 on and below probe g. Every partition counts its own rows; the counts are
+    summed by Spark, and the driver gets one row for each gap that is not empty.
     """
     edges = np.array(probes, dtype=f"S{KEY_BYTES}")
 
     def count(batches):
         size = np.zeros(len(edges) + 1, dtype=np.int64)
         rows = np.zeros(len(edges) + 1, dtype=np.int64)
+        low, high = {}, {}
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=f"S{KEY_BYTES}")
+            if not len(keys):
+                continue
             gap = np.searchsorted(edges, keys, side="right")
             np.add.at(size, gap, batch.column(1).to_numpy(zero_copy_only=False))
             rows += np.bincount(gap, minlength=len(rows))
+            ordered = np.sort(keys)
+            found, first = np.unique(np.sort(gap), return_index=True)
+            for g, a, b in zip(found.tolist(), first, np.append(first[1:], len(keys)) - 1):
+                least, most = (k.ljust(KEY_BYTES, b"\0") for k in (ordered[a], ordered[b]))
+                low[g], high[g] = min(low.get(g, least), least), max(high.get(g, most), most)
         full = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(full.astype(np.int32)), pa.array(size[full]), pa.array(rows[full])], ["gap", "size", "rows"])
+            [pa.array(full.astype(np.int32)), pa.array(size[full]), pa.array(rows[full]),
+             pa.array([low[g] for g in full.tolist()], pa.binary()), pa.array([high[g] for g in full.tolist()], pa.binary())],
+            ["gap", "size", "rows", "low", "high"])
 
-    found = (table.select("_key", "_size").mapInArrow(count, "gap int, size long, rows long")
-             .groupBy("gap").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).collect())
+    got = (table.select("_key", "_size").mapInArrow(count, "gap int, size long, rows long, low binary, high binary")
+           .groupBy("gap").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+           .collect())
     size = np.zeros(len(probes) + 1, dtype=np.int64)
     rows = np.zeros(len(probes) + 1, dtype=np.int64)
-    for r in found:
+    for r in got:
         size[r["gap"]], rows[r["gap"]] = r["size"], r["rows"]
+    return size, rows, {r["gap"]: (int.from_bytes(r["low"], "big"), int.from_bytes(r["high"], "big")) for r in got}
+
+
+def histogram(table: DataFrame, probes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Exact bytes and rows below each probe."""
+    size, rows, _ = gaps(table, probes)
     return np.cumsum(size)[:-1], np.cumsum(rows)[:-1]
 
 
@@ -68,45 +85,41 @@ def splitters(table: DataFrame, parts: int, tolerance: float) -> tuple[list[byte
     """Boundaries of ``parts`` ranges of equal bytes, and the rows below each boundary.
 
     Each boundary starts between the ends of the key space. A round counts the exact bytes below
-    a few probes in every open interval, which shrinks to the two probes around its target; it is
-    closed as soon as one end is within ``tolerance`` of a part's bytes, or the ends are
-    neighbouring keys and no key lies between them.
+    a few probes in every open interval, which shrinks to the two probes around its target; the next probes lie
+    between the smallest and the largest key in there, so empty stretches of the key space cost no round. An interval is
+    closed as soon as one end is within ``tolerance`` of a part's bytes, or no more than one key lies between the ends.
     """
-    (total, count), = [tuple(r) for r in table.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).collect()]
+    total, count, least, most = table.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1)), F.min("_key"), F.max("_key")).first()
     if not total or parts < 2:
         return [], []
     targets = [total * i // parts for i in range(1, parts)]
     slack = int(tolerance * total / parts)
     known = {0: (0, 0), KEY_SPACE: (total, count)}
-    order = [0, KEY_SPACE]
-    sums = [0, total]
+    whole = (0, KEY_SPACE, int.from_bytes(least, "big"), int.from_bytes(most, "big"))
+    still = dict.fromkeys(range(len(targets)), whole)
     chosen: dict[int, int] = {}
     for _ in range(ROUNDS_AT_MOST):
-        probes: set[int] = set()
-        for i, target in enumerate(targets):
-            if i in chosen:
-                continue
-            at = bisect_left(sums, target)
-            low, high = order[max(at - 1, 0)], order[at]
-            for end in (low, high):
-                if abs(known[end][0] - target) <= slack and i not in chosen:
-                    chosen[i] = end
-            if i in chosen:
-                continue
-            if high - low <= 1 or known[high][1] - known[low][1] <= 1:
-                chosen[i] = min((low, high), key=lambda k: abs(known[k][0] - target))
-            elif len(probes) < PROBES_AT_MOST:
-                step = PROBES + 1
-                probes.update(low + (high - low) * j // step for j in range(1, step))
-        probes -= known.keys()
-        if not probes:
+        asked: set[int] = set()
+        waits = set()
+        for i, (low, high, first, last) in list(still.items()):
+            near = min((low, high), key=lambda k: abs(known[k][0] - targets[i]))
+            if abs(known[near][0] - targets[i]) <= slack or known[high][1] - known[low][1] <= 1:
+                chosen[i] = near
+                del still[i]
+            elif len(asked) < PROBES_AT_MOST:
+                asked |= {low, high, first + 1, *(first + (last - first) * j // PROBES for j in range(1, PROBES + 1))}
+            else:
+                waits.add(i)
+        if not still:
             break
-        asked = sorted(probes)
-        size, rows = histogram(table, [k.to_bytes(KEY_BYTES, "big") for k in asked])
-        known.update((k, (int(s), int(r))) for k, s, r in zip(asked, size, rows))
-        order = sorted(known)
-        sums = [known[k][0] for k in order]
-    if len(chosen) < len(targets):
+        probes = sorted(asked - {KEY_SPACE})
+        size, rows, keys = gaps(table, [k.to_bytes(KEY_BYTES, "big") for k in probes])
+        sums, counts = np.cumsum(size)[:-1].tolist(), np.cumsum(rows)[:-1].tolist()
+        known.update((k, (s, r)) for k, s, r in zip(probes, sums, counts))
+        for i in still.keys() - waits:
+            at = bisect_left(sums, targets[i])
+            still[i] = (probes[max(at - 1, 0)], probes[at] if at < len(probes) else KEY_SPACE, *keys[at])
+    if still:
         raise RuntimeError("splitters did not meet their tolerance")
     ends = [chosen[i] for i in range(len(targets))]
     return [min(k, KEY_SPACE - 1).to_bytes(KEY_BYTES, "big") for k in ends], [known[k][1] for k in ends]

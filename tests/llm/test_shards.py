@@ -1,10 +1,12 @@
 import random
 from collections import defaultdict
 
+import pytest
 from helpers import docs, prose
 from pyspark.sql import functions as F
 
-from epitide.llm.shards import histogram, keyed, shard_documents, splitters
+from epitide.llm import shards
+from epitide.llm.shards import gaps, histogram, keyed, shard_documents, splitters
 
 
 def check(rows, texts, shards, most):
@@ -67,3 +69,29 @@ def test_counts_are_exact(spark):
 def test_kept_columns(spark):
     out = shard_documents(docs(spark, ["a", "b"]), 2, text="text", body=F.col("text"))
     assert out.columns == ["doc_id", "size", "body", "shard", "slot"]
+
+
+@pytest.mark.parametrize("hot", [0, 2000])
+def test_few_rounds(spark, monkeypatch, hot):
+    """A handful of counting rounds, whether the keys are even or a third of all rows is one text."""
+    rounds = []
+    monkeypatch.setattr(shards, "gaps", lambda table, probes: rounds.append(len(probes)) or gaps(table, probes))
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice([3, 20, 60])) for _ in range(4000)] + ["the same text " * 8] * hot
+    rows = shard_documents(docs(spark, texts), 16).collect()
+    check(rows, texts, 16, 600)
+    assert len(rounds) <= 8, rounds
+
+
+def test_shards_equal_a_plain_sort(spark):
+    """Shards and slots follow one order of all documents: by the hash of the text, then the id."""
+    rng = random.Random(9)
+    texts = [prose(rng, rng.choice([2, 30])) for _ in range(500)] + ["same"] * 200
+    table = docs(spark, texts)
+    hashes = {r.doc_id: r.h for r in table.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    rows = shard_documents(table, 8).collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == sorted(hashes, key=lambda i: (hashes[i], i))
+    below, size = 0, sum(len(t) + 1 for t in texts)
+    for s in range(8):
+        below += sum(r.size for r in rows if r.shard == s)
+        assert abs(below - size * (s + 1) / 8) <= size / 8 * 0.02 + max(map(len, texts))
