@@ -23,13 +23,19 @@ CONTENT = frozenset("article main".split())
 #: Elements around the whole page, whose names say nothing of a branch.
 WHOLE = frozenset("html body".split())
 NOISE = frozenset("head title nav aside footer form button select option label textarea menu dialog input fieldset".split())
-#: Parts of class names and ids that say what a branch is for.
+#: Noise elements that some sites put around the whole page, and those whose end tag is often left out.
+FRAMES, PANELS = frozenset("form fieldset label".split()), frozenset("nav aside footer menu".split())
+#: Parts of class names and ids that say what a branch is for, and parts that say nothing.
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies "
     "respond disqus share social related subscribe newsletter login signup search widget".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons card cards col column container content cta desktop fixed footer form frame global group head "
+    "holder icons inner item items js left link links list logo main mobile module nav outer page panel post posts primary reader readers right row "
+    "section secondary site slot slots sticky tertiary text thread title top ui unit units user users view widgets wrap wrapper zone".split())
 #: An open element of these is never closed by what starts inside it.
 SCOPE = frozenset("html body article main section div ul ol dl table blockquote nav aside footer header form".split())
 
@@ -37,6 +43,8 @@ SCOPE = frozenset("html body article main section div ul ol dl table blockquote
 SHOWN, SAID, KEEP_FROM = 0.55, 0.45, 0.5
 #: Presentation of a node whose names call it content: it goes if its texts are the same on nearly all of many pages.
 CONTENT_SHOWN = 0.75
+#: Prior of a branch one of whose names has a noise word beside words of other kind (search-results, header-story).
+DOUBTFUL = 0.25
 #: What m pages of a host say weighs (m - 1) / (m - 1 + DOUBT); the rest is what one page says.
 DOUBT = 4.0
 BLOCK = "array<struct<text:string,node:bigint,prior:double>>"
@@ -50,8 +58,8 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         #: Open elements, each with its path and the number of its branch.
         self.stack: list[tuple[str, str, int]] = [("#", "", 0)]
-        #: Of each branch: the one above, its path, what its element and names say, article or main below it or not.
-        self.above, self.paths, self.says, self.holds = [0], [""], ["open"], [False]
+        #: Of each branch: the one above, its path, what its element and names say, article or main below it or not, end tag or not.
+        self.above, self.paths, self.says, self.holds, self.ended = [0], [""], ["open"], [False], [False]
         self.parts: list[str] = []
         self.silent = 0
         self.blocks: list[tuple[str, str]] = []
@@ -64,18 +72,31 @@ class Page(HTMLParser):
     def priors(self) -> dict[str, float]:
         """Least prior of the branches of each path: 1 in an article or main element, 0 in what is called noise, else 0.5.
 
-        One word in a class or id does not speak for a branch with an article in it, nor for the whole page.
+        One word in a class or id does not speak for a branch with an article in it, nor for the whole page. A form around an
+        article is a frame of the page; a menu, footer or the like without an end tag ends where an article begins: its own
+        texts are noise, the article is none. A name of which a noise word is a part only makes a branch ``DOUBTFUL``.
         """
-        each, least = [0.5], {"": 0.5}
+        each, ends, least = [0.5], [0.5], {"": 0.5}
         for i in range(1, len(self.above)):
-            prior, says = each[self.above[i]], self.says[i]
-            if says == "noise" or (says == "named" and not self.holds[i]) or (says == "header" and prior < 1):
+            prior, says, holds = each[self.above[i]], self.says[i], self.holds[i]
+            lifted = ends[self.above[i]] if holds or says == "content" else prior
+            below = None
+            if says == "panel" and holds and not self.ended[i]:
+                prior, below = 0.0, max(lifted, 0.5) if lifted > 0 else 0.0
+            elif says == "frame" and holds and lifted > 0:
+                prior = min(lifted, 0.5)
+            elif says in ("noise", "panel", "frame") or (says == "named" and not holds) or (says == "header" and prior < 1):
                 prior = 0.0
-            elif says == "content" and prior > 0:
+            elif says == "content" and lifted > 0:
                 prior = 1.0
-            elif says == "doubtful" and prior > 0:
+            elif says == "doubtful" and lifted > 0:
                 prior = 0.5
+            elif says == "partly" and not holds:
+                prior = min(prior, DOUBTFUL)
+            elif holds:
+                prior = lifted
             each.append(prior)
+            ends.append(prior if below is None else below)
             least[self.paths[i]] = min(prior, least.get(self.paths[i], prior))
         return least
 
@@ -108,15 +129,15 @@ class Page(HTMLParser):
                     break
         _, above, branch = self.stack[-1]
         names = [x for k, v in attrs if k in ("class", "id") and v for x in v.split()]
-        words = {w for n in names for w in n.lower().replace("_", "-").split("-")} | {
-            v for k, v in attrs if k == "role" and v}
+        parts = [set(filter(None, n.lower().replace("_", "-").split("-"))) for n in names]
+        words = {w for n in parts for w in n} | {v for k, v in attrs if k == "role" and v}
         name = f"{tag}.{names[0].lower()}" if names else tag
         path = above if above.rpartition("/")[2] == name else f"{above}/{name}"
-        named = bool(words & NOISE_NAMES) and tag not in WHOLE
+        plain = any(n & NOISE_NAMES and all(w in NOISE_NAMES or w in NEUTRAL or w.isdigit() for w in n) for n in [*parts, words - set().union(*parts)])
         if tag in NOISE:
-            says = "noise"
-        elif named:
-            says = "doubtful" if tag in CONTENT else "named"
+            says = "frame" if tag in FRAMES else "panel" if tag in PANELS else "noise"
+        elif words & NOISE_NAMES and tag not in WHOLE:
+            says = "doubtful" if tag in CONTENT else "named" if plain else "partly"
         else:
             says = "header" if tag == "header" else "content" if tag in CONTENT or "main" in words else "open"
         if says == "content":
@@ -125,7 +146,7 @@ class Page(HTMLParser):
                 self.holds[up] = True
                 up = self.above[up]
         self.children.setdefault(above, {})[name] = None
-        for column, value in ((self.above, branch), (self.paths, path), (self.says, says), (self.holds, False)):
+        for column, value in ((self.above, branch), (self.paths, path), (self.says, says), (self.holds, False), (self.ended, tag in VOID)):
             column.append(value)
         if tag not in VOID:
             self.stack.append((tag, path, len(self.above) - 1))
@@ -135,6 +156,8 @@ class Page(HTMLParser):
             self.end_block()
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
+                if tag not in INLINE and tag not in SILENT:
+                    self.ended[self.stack[i][2]] = True
                 self.silent -= sum(t in SILENT for t, _, _ in self.stack[i:])
                 del self.stack[i:]
                 return
@@ -210,7 +233,7 @@ def style_tree(blocks: DataFrame) -> DataFrame:
     trust = (F.col("pages") - 1) / (F.col("pages") - 1 + F.lit(DOUBT))
     content = F.when(F.col("pages") > 1, 1 - trust * F.least(F.lit(1.0), F.col("text_sum") / F.col("texts") / spread)).otherwise(1.0)
     styled = F.when(F.col("pages") > 1, 0.5 + trust * (0.5 - F.col("style_sum") / F.col("pages") / spread)).otherwise(0.5)
-    shown = F.when(F.col("prior") == 0.5, 0.25 + 0.5 * styled).when(F.col("prior") == 1, F.lit(CONTENT_SHOWN)).otherwise(F.col("prior"))
+    shown = F.when(F.col("prior") == 0.5, 0.25 + 0.5 * styled).when(F.col("prior") == DOUBTFUL, 0.1 + 0.3 * styled).when(F.col("prior") == 1, F.lit(CONTENT_SHOWN)).otherwise(F.col("prior"))
     return features.join(styles, ["host", "node"]).select(
         "host", "node", "pages", "prior", (SHOWN * shown + SAID * content).alias("importance"))
 
@@ -219,8 +242,9 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
     """page_id, url, text of every page: what is left when branches of low importance are removed.
 
     A branch that its names call a menu, footer, advert and so on is always below KEEP_FROM; for all others the
-    entropies of the host's pages decide, inside an article or main element from a higher importance. Blocks are joined in page order by an empty line, white space inside a
-    block is one space.
+    entropies of the host's pages decide, inside an article or main element from a higher importance, in a branch whose
+    names only hold such a word (search-results) from a lower one. An article in a form, or after the start of a menu
+    that never ends, stays. Blocks are joined in page order by an empty line, white space inside a block is one space.
 
     NULL and empty pages have an empty text, pages without a host share one tree. Repeated rows
     and NULL ids stay as they are, an empty table gives an empty one, other columns are not read.

@@ -107,3 +107,24 @@ def test_importance_moves_gradually_with_the_pages(spark):
     tree = {r.pages: r.importance for r in style_tree(blocks).orderBy(F.col("pages")).collect()}
     steps = [tree[m] - tree[m + 1] for m in range(2, 29)]
     assert all(0 < s < 0.1 for s in steps) and steps == sorted(steps, reverse=True)
+
+
+def test_frames_open_menus_and_partial_names(spark):
+    """A form around the page, a menu without an end tag and a name with more words than one keep their texts."""
+    article = "<article><p>All of it</p><form>Sign</form></article>"
+    pages = [f"<body><form id='aspnet'><div class='ad'>Buy</div>{article}<footer>Me</footer></form></body>",
+             f"<body><nav><ul><li>Menu</li></ul>{article}<footer>Me</footer></body>",
+             f"<body><nav><ul><li>Menu</li></ul><div id='wrap'><div class='menu'>More</div>{article}</div></body>",
+             "<body><div class='search-results'><p>All of it</p></div></body>",
+             "<body><div class='social-science'><p>All of it</p></div><div class='social-links'>Share</div></body>",
+             "<body><section id='header-story'><p>All of it</p><div class='comments-list'>Nice!</div></section></body>",
+             "<body><article><p>All of it</p></article><aside><article><p>Teaser</p></article></aside></body>",
+             "<body><fieldset><label>Name</label></fieldset><form><p>Sign here</p></form><p>All of it</p></body>"]
+    assert texts(spark, [(i, f"http://h{i}.org/", page) for i, page in enumerate(pages)]) == {i: "All of it" for i in range(len(pages))}
+
+
+def test_partial_names_go_where_a_host_repeats_them(spark):
+    """The same name: texts of their own stay, what all pages of the host repeat goes."""
+    page = "<body><div class='search-results'><p>text {} of its own</p></div><div class='header-story'><p>Story of the day</p></div></body>"
+    got = texts(spark, [(i, f"http://h.org/{i}", page.format(i)) for i in range(20)])
+    assert got == {i: f"text {i} of its own" for i in range(20)}
