@@ -178,16 +178,26 @@ def neighbours(length: int, gram: int, at_once: int = WINDOWS_AT_ONCE):
 
 
 def marked(length: int):
-    """For a cogroup by piece: repeats of the piece's suffixes, given the smallest id of each window that several ids have."""
+    """For ``mapInArrow`` over rows sorted by piece, the windows that several ids have (with the smallest) ahead of the suffixes: repeats.
 
-    def run(suffixes: pa.Table, least: pa.Table) -> pa.Table:
-        first = dict(zip(least["window"].to_pylist(), least["least"].to_pylist()))
-        out = []
-        for key, start, number, digests in zip(*(suffixes[c].to_pylist() for c in ("key", "start", "earlier", "windows"))):
-            found = [(start + i // DIGEST, digests[i:i + DIGEST]) for i in range(0, len(digests), DIGEST)]
-            out.extend(runs(key, number, found, first, length))
-        return pa.Table.from_pydict(dict(zip(REPEATS_ARROW.names, map(list, zip(*out)))) if out else {c: [] for c in REPEATS_ARROW.names},
-                                    schema=REPEATS_ARROW)
+    Suffixes stream by; only the windows of one piece are held.
+    """
+
+    def run(batches):
+        piece, first = None, {}
+        for batch in batches:
+            out = []
+            for at, window, key, start, number, digests in zip(
+                    *(batch.column(c).to_pylist() for c in ("piece", "window", "key", "start", "earlier", "windows"))):
+                if at != piece:
+                    piece, first = at, {}
+                if window is not None:
+                    first[window] = number
+                elif first:
+                    found = [(start + i // DIGEST, digests[i:i + DIGEST]) for i in range(0, len(digests), DIGEST)]
+                    out.extend(runs(key, number, found, first, length))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(REPEATS_ARROW.names, map(list, zip(*out)))), schema=REPEATS_ARROW)
 
     return run
 
@@ -206,9 +216,10 @@ def sorted_matches(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
     windows = found.where("window IS NOT NULL").select("piece", "window", "earlier", "stop")
     earliest = cut(windows.groupBy("window").agg(F.min("earlier").alias("least"), F.max("stop").alias("most"))
                    .where("least < most").select(F.col("window").alias("w"), "least"), "earliest")
-    back = windows.join(earliest, F.col("window") == F.col("w")).where("least < stop").select(F.col("piece").alias("p"), "window", "least")
-    open_rows = found.where("windows IS NOT NULL").select("piece", "key", "start", "earlier", "windows")
-    across = open_rows.groupBy("piece").cogroup(back.groupBy("p")).applyInArrow(marked(length), REPEATS)
+    back = windows.join(earliest, F.col("window") == F.col("w")).where("least < stop").select("piece", "window", F.col("least").alias("earlier"))
+    suffix_rows = found.where("windows IS NOT NULL").select("piece", "key", "start", "earlier", "windows")
+    stream = back.unionByName(suffix_rows, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", F.col("window").isNull())
+    across = stream.mapInArrow(marked(length), REPEATS)
     return found.where("piece IS NULL").select("key", "start", "stop", "earlier").unionByName(across)
 
 
