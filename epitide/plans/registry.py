@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from epitide.functions import calendar as cal
 from epitide.functions import model, text
 from epitide.operators import ensemble as en
-from epitide.operators import fits, reports, waiting
+from epitide.operators import fits, folds, reports, waiting
 from epitide.operators import series as se
 from epitide.operators.spread import join_keys
 from epitide.plans import products, surveillance, texts
@@ -689,6 +689,12 @@ def state_fold(spark, d):
     return rounded(folded, "I", "R")
 
 
+@query
+def state_fold_ranges(spark, d):
+    folded = folds.state_fold_ranges(v.series(spark, d), KEYS, ORDER, 0.24).select(*KEYS, "yw", "dS", "I", "R")
+    return rounded(folded, "I", "R")
+
+
 @query
 def state_fold_full_recovery(spark, d):
     return se.state_fold(v.series(spark, d), KEYS, ORDER, GAMMA).select(*KEYS, "yw", "dS", "I", "R")

@@ -346,6 +346,7 @@ SQL = {
              USING (region, year)""",
     # state and fits
     "state_fold": f'SELECT region, year, yw, "dS", "I", "R" FROM ({_FOLD})',
+    "state_fold_ranges": f'SELECT region, year, yw, "dS", "I", "R" FROM ({_FOLD})',
     "state_fold_full_recovery": 'SELECT region, year, yw, "dS", "I", "R" FROM observed',
     "actual_trajectories": f'SELECT region, year, week AS t, "I", "R", "dS" FROM ({_FOLD})',
     "poisson_llh": """

@@ -14,7 +14,7 @@ from epitide.plans.registry import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 SOME = ["scan_skip_preamble", "keys_from_path", "write_by_key", "param_query", "season_rekey", "prefix_points_thinned",
         "season_ids", "prefix_range_join", "weekly_counts", "valid_products", "median_over_replicates", "lag_diff",
-        "sample_products", "to_num", "state_fold", "profile_fit_sir", "profile_fit_bass", "grid_search_mle", "peak_report"]
+        "sample_products", "to_num", "state_fold", "state_fold_ranges", "profile_fit_sir", "profile_fit_bass", "grid_search_mle", "peak_report"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
