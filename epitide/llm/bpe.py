@@ -13,8 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the splitting pattern of byte-level vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the splitting pattern of byte-level vocabularies, with the letters, which are most frequent, first.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words encoded at a time, so that a very long text needs little more memory than its ids.
 WORDS_AT_ONCE = 1 << 16
 #: Known words of a Python worker, and known fragments, are forgotten when there are more than this.
@@ -41,8 +41,14 @@ class Vocabulary:
         self.tokens, self.added = tokens, added
         self.rank = {(tokens[a], tokens[b]): i for i, (a, b) in enumerate(merges)}
         self.result = [tokens[a + b] for a, b in merges]
+        none: dict[int, int] = {}
+        self.after = [none] * (max(tokens.values()) + 1)
+        for (a, b), i in self.rank.items():
+            if self.after[a] is none:
+                self.after[a] = {}
+            self.after[a][b] = i
         self.single = [tokens[bytes([b])] for b in range(256)]
-        self.inside = {t[i:i + 2] for t in tokens for i in range(len(t) - 1)}
+        self.inside = {pair for t in tokens for pair in zip(t, t[1:])}
         self.bytes_of: list[bytes] = [b""] * (max([*tokens.values(), *added.values()]) + 1)
         for t, i in tokens.items():
             self.bytes_of[i] = t
@@ -73,34 +79,27 @@ class Vocabulary:
     def cuts(self, word: bytes) -> list[bytes]:
         """``word`` cut between bytes that are neighbours in no token: no merge ever spans such a cut."""
         inside = self.inside
-        at = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in inside]
-        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)])]
+        at = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in inside]
+        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)])] if at else [word]
 
     def merged(self, fragment: bytes) -> bytes:
         """Ids of one fragment: the pair of lowest rank is merged wherever it occurs, until none is left.
 
-        Scans a short fragment for each merge; a long one keeps its pairs in order, see :meth:`merged_long`.
+        The ranks of the neighbours of a short fragment are scanned for each merge; a long one keeps them in order, see
+        :meth:`merged_long`. The leftmost pair goes first, and a merge only makes pairs of later ranks.
         """
         if len(fragment) > SCANNED_BYTES:
             return self.merged_long(fragment)
-        ids, rank, never = [self.single[b] for b in fragment], self.rank.get, len(self.result)
-        while len(ids) > 1:
-            best = never
-            for pair in zip(ids, ids[1:]):
-                r = rank(pair, never)
-                if r < best:
-                    best, (left, right) = r, pair
-            if best == never:
-                break
-            new, out, i, last = self.result[best], [], 0, len(ids) - 1
-            while i <= last:
-                if ids[i] == left and i < last and ids[i + 1] == right:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        ids, after, never = [self.single[b] for b in fragment], self.after, len(self.result)
+        ranks = [after[a].get(b, never) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)
+            ids[i] = new = self.result[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = after[new].get(ids[i + 1], never)
+            if i:
+                ranks[i - 1] = after[ids[i - 1]].get(new, never)
         return b"".join([self.packed[i] for i in ids])
 
     def merged_long(self, fragment: bytes) -> bytes:
@@ -131,13 +130,13 @@ class Vocabulary:
         return b"".join([self.packed[i] for i in ids if i >= 0])
 
     def word(self, word: str) -> bytes:
-        known = self.fragments
+        fragments, known = self.cuts(word.encode("utf-8", "surrogatepass")), self.fragments
         out = []
-        for fragment in self.cuts(word.encode("utf-8", "surrogatepass")):
+        for fragment in fragments:
             ids = known.get(fragment)
             if ids is None:
                 ids = self.merged(fragment)
-                if len(fragment) <= KNOWN_BYTES:
+                if len(fragment) <= KNOWN_BYTES and len(fragments) > 1:  # a whole word is kept as such
                     known[fragment] = ids
             out.append(ids)
         ids = b"".join(out)
