@@ -87,7 +87,7 @@ def index_steps(steps: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 # --- observed prefix followed by a replicate ----------------------------------------
 
 def _with_seeds(estimates: DataFrame, seeds: int) -> DataFrame:
-    """Estimates for every seed ``1..seeds``: a replicate may be empty and still counts."""
+    """Rows of estimates for every seed ``1..seeds``: a replicate may be empty and still counts."""
     return estimates.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
 
 
@@ -100,7 +100,7 @@ def stitched_series(
     observed       keys, step, I
     continuations  keys, t, seed, step (from 1), I, wait
     """
-    head = prefix_rows(_with_seeds(estimates.select(*keys, "t"), seeds), observed.select(*keys, "step", "I"), keys)
+    head = _with_seeds(prefix_rows(estimates.select(*keys, "t"), observed.select(*keys, "step", "I"), keys), seeds)
     head = head.select(*keys, "t", "seed", "step", F.col("step").cast("double").alias("clock"), F.col("I").cast("double").alias("I"))
     along = (
         Window.partitionBy(*keys, "t", "seed").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)

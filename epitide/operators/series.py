@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from epitide.functions.calendar import FOUR_YEARS_SECONDS, season_id, season_week, season_year, whole_weeks
 from epitide.functions.model import MINUS_INF
 from epitide.functions.text import region_number
-from epitide.operators.spread import attach_key_stats
+from epitide.operators.spread import attach_key_stats, join_keys
 from epitide.session import cut
 
 #: population bound of a product
@@ -227,17 +227,16 @@ def prefix_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], samp
 def prefix_rows(estimates: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each estimate with the observed rows up to its prefix length ``t``; NULL keys meet.
 
-    ``observed`` has its row number in ``step``. The pairs of one series are bounded by the
-    calendar length of the series.
+    ``observed`` has its row number, from 1, in ``step``. A series meets its estimates once, as a sorted
+    array, and a prefix is a slice of it, so no rows of one series are paired. The array is bounded by the
+    calendar length of the series. A NULL or negative ``t`` has no rows, a larger one than the series all.
     """
-    left = estimates.alias("e")
-    right = observed.alias("o")
-    on = [F.col(f"e.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys] + [F.col("o.step") <= F.col("e.t")]
-    cond = on[0]
-    for extra in on[1:]:
-        cond = cond & extra
-    rest = [F.col(f"o.{c}") for c in observed.columns if c not in keys]
-    return left.join(right, cond).select(*[F.col(f"e.{c}") for c in estimates.columns], *rest)
+    rest = F.struct(*[c for c in observed.columns if c not in keys])
+    in_order = F.sort_array(F.collect_list(F.struct(F.col("step").alias("_at"), rest.alias("_row"))))
+    series = observed.where("step IS NOT NULL").groupBy(*keys).agg(in_order.alias("_series"))
+    prefix = F.slice("_series", F.lit(1), F.greatest(F.col("t"), F.lit(0)).cast("int"))
+    met = join_keys(estimates.where("t IS NOT NULL"), series, keys)
+    return met.select(*estimates.columns, F.inline(prefix)).select(*estimates.columns, "_row.*")
 
 
 # --- crossings ----------------------------------------------------------------------

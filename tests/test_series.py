@@ -111,3 +111,19 @@ def test_key_grid(spark):
     bounds = spark.range(1).select(F.lit(2011).alias("a"), F.lit(2012).alias("b"))
     got = se.key_grid(bounds, year=F.sequence("a", "b"), kind=F.array(F.lit("x"), F.lit("y")))
     assert rows(got, "year", "kind") == [(2011, "x"), (2011, "y"), (2012, "x"), (2012, "y")]
+
+
+def test_prefixes_are_slices_of_their_series(spark):
+    """The rows up to ``t``, as a join by range gives them, without one; lengths beyond both ends, NULL keys."""
+    seen = spark.createDataFrame([(k, s, float(s * 7 % 5), s % 3) for k in ("a", "b", None) for s in range(1, 13)],
+                                 "k string, step int, I double, R int").repartition(5)
+    asked = [(k, t, t * 0.5) for k in ("a", None, "c") for t in (1, 5, 12)] + [("b", 40, 1.0), ("b", 0, 2.0), ("b", -1, 3.0), ("b", None, 4.0)]
+    estimates = spark.createDataFrame(asked, "k string, t long, beta double")
+    got = se.prefix_rows(estimates, seen, ["k"])
+    assert got.columns == ["k", "t", "beta", "step", "I", "R"]
+    want = [(k, t, beta, s, float(s * 7 % 5), s % 3) for k, t, beta in asked if k != "c" and t is not None
+            for s in range(1, 13) if s <= t]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "<= t" not in plan and "step#" not in next(x for x in plan.splitlines() if "Join" in x)
+    assert se.prefix_rows(estimates, seen.limit(0), ["k"]).count() == 0
