@@ -117,7 +117,7 @@ def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), whole: bool = False)
         upto = F.sum("_cnt").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_cnt").over(Window.partitionBy(*group))})
     else:
-        ranked = running(
-            lay_out(counts, group, [value]), group, [value], sums={"_upto": F.col("_cnt")}, totals={"_n": F.col("_cnt")}
-        )
+        counts = cut(counts, "counts")
+        laid = lay_out(counts, group, [value], size=counts.count())
+        ranked = running(laid, group, [value], sums={"_upto": F.col("_cnt")}, totals={"_n": F.col("_cnt")})
     return ranked.select(*by, value, (F.col("_upto") / F.col("_n")).alias("ecdf"))

@@ -158,19 +158,21 @@ def exact_median(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     A key whose values are all NULL has the median NULL; a NULL key is a key.
 
     Equal values are counted map-side first. The middle ranks are then found with running
-    counts, so that no buffer has to hold all values of a key.
+    counts, so that no buffer has to hold all values of a key. The counts are written, so that the
+    number of ranges can follow theirs.
     """
     doubles = [F.col(c).cast("double").alias(c) for c in columns]
-    counts = (
+    counts = cut(
         rows.select(*keys, *doubles)
         .unpivot(list(keys), list(columns), "_var", "_val")
         .where(F.col("_val").isNotNull())
         .groupBy(*keys, "_var", "_val")
-        .agg(F.count(F.lit(1)).alias("_cnt"))
+        .agg(F.count(F.lit(1)).alias("_cnt")),
+        "counts",
     )
     group = [*keys, "_var"]
     ranked = running(
-        lay_out(counts, group, ["_val"]),
+        lay_out(counts, group, ["_val"], size=counts.count()),
         group,
         ["_val"],
         sums={"_upto": F.col("_cnt")},

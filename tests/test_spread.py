@@ -88,3 +88,24 @@ def test_hot_rows_are_not_shuffled_for_key_stats(skewed):
     events = skewed.select(F.col("key").cast("string").alias("id"), "ts")
     plan = se.since_first(events)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Window" not in plan
+
+
+def test_more_values_make_more_ranges(spark, monkeypatch):
+    """Medians and distributions go by as many ranges as their values ask for, with the same rows."""
+    from epitide.operators import spread
+
+    df = spark.createDataFrame([(i % 2, float(i * 7919 % 4001)) for i in range(4000)], "key int, x double")
+    want = rows(exact_median(df, ["key"], ["x"]), "key", "x"), rows(reports.ecdf(df, "x", ["key"]), "key", "x", "ecdf")
+    made = []
+    real = spread.lay_out
+
+    def counted(*args, **named):
+        out = real(*args, **named)
+        made.append(out.select("_part").distinct().count())
+        return out
+
+    monkeypatch.setattr(spread, "RANGE_ROWS", 100)
+    monkeypatch.setattr(spread, "lay_out", counted)
+    monkeypatch.setattr(reports, "lay_out", counted)
+    assert want == (rows(exact_median(df, ["key"], ["x"]), "key", "x"), rows(reports.ecdf(df, "x", ["key"]), "key", "x", "ecdf"))
+    assert len(made) == 2 and min(made) > 8
