@@ -247,3 +247,47 @@ def test_series_streams_in_small_batches(spark):
     one = fits.refined_fit_sir(s, KEYS, ORDER, 0.24, samples=1).where("key = 'c'").first()
     assert (one.t, one.N, one.llh, one.m) == (1, None, None, 4.0)
     assert fits.refined_fit_sir(s.limit(0), KEYS, ORDER, 0.24).count() == 0
+
+
+def test_series_searched_together_are_those_searched_alone(monkeypatch):
+    from epitide.operators import search
+
+    rng = np.random.default_rng(5)
+    alone, rows, starts, figures = [], [], [], []
+    for n, high in ((1, 1e5), (2, 1e5), (7, 30.0), (40, 1e5), (5, 3.0), (300, 1e5), (3, np.nan)):
+        new = rng.integers(0, 6, n).astype(float)
+        infected, cases = 1 + rng.random(n) * 9, 1 + np.cumsum(rng.integers(0, 4, n)).astype(float)
+        low, norm = cases.max() + 1, infected.mean()
+        alone.append(search.search(search.Pairs(infected, cases, new), np.array([n]), low, high, norm, 12, 6, 5, 2))
+        starts.append(sum(len(r[0]) for r in rows))
+        rows.append((infected, cases, new))
+        figures.append((low, high, norm))
+    infected, cases, new = (np.concatenate([r[c] for r in rows]) for c in range(3))
+    low, high, norm = (np.array([f[c] for f in figures]) for c in range(3))
+    for together in (1, 18 * 8, 1 << 16):
+        monkeypatch.setattr(search, "TOGETHER", together)
+        got = search.search_together(search.Stack(infected, cases, new, np.array(starts), low, high, norm), 12, 6, 5, 2)
+        for name, values in got.items():
+            assert values == pytest.approx(np.concatenate([a[name] for a in alone]), rel=1e-9, nan_ok=True)
+    assert np.isnan(got["N"]).tolist() == [False, False, False, False, True, False, True]
+
+
+def test_whole_series_cut_by_batches(spark):
+    from functools import reduce
+
+    counts = {None: COUNTS, "b": [2.0, 0, 5], "c": [4.0], "d": COUNTS[::-1], "e": [1.0, 1]}
+    s = reduce(lambda a, b: a.unionByName(b), [series(spark, v, 500.0, k) for k, v in counts.items()])
+    found = []
+    for size in (10_000, 5, 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append([sorted(map(tuple, f(s.coalesce(1), KEYS, ORDER).collect()), key=str) for f in (fits.profile_fit_bass, fits.refined_fit_bass)])
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2]
+    assert [[r[0] for r in x] for x in found[0]] == [["b", "d", "e", None]] * 2
+
+
+def test_bass_grid_is_not_laid_out_as_rows(spark):
+    plan = fits.profile_fit_bass(series(spark, COUNTS), KEYS, ORDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
