@@ -119,3 +119,26 @@ def test_ends_and_impossible_keys(spark):
     assert waiting.weighted_mle(states.limit(0), ["user"], a=0.0, gamma=0.1).count() == 0
     fixed = waiting.weighted_mle(states, ["user"], a=0.0, beta=0.2, gamma=0.1, size=5e5).where("user = 'big'").first()
     assert (fixed.N, fixed.beta, fixed.N_is_ub) == (5e5, 0.2, False)
+
+
+def test_keys_of_a_batch_are_given_block_by_block(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(streams, "BLOCK", 6 * 10)
+    names = np.repeat([f"k{i:03}" for i in range(200)], [1 + i % 3 for i in range(200)])
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(names), "x": pa.array(np.arange(len(names), dtype=float))})
+    given = []
+
+    def finish(heads, sums):
+        given.append(len(sums))
+        return streams.with_sums(heads, sums)
+
+    run = streams.fold(["key"], ["key", "x"], 10, lambda b: np.repeat(streams.column(b, "x")[:, None], 10, axis=1), finish)
+    for batches in ([batch], [batch.slice(0, 7), batch.slice(7, 0), batch.slice(7, 100), batch.slice(107)]):
+        given.clear()
+        got = [r for out in run(iter(batches)) for r in out.to_pylist()]
+        assert sum(given) == 200 and max(given) <= 2 * 6
+        assert [r["key"] for r in got] == sorted(set(names))
+        for r in got:
+            at = np.flatnonzero(names == r["key"])
+            assert r["x"] == at[0] and r["sums"] == [float(at.sum())] * 10
