@@ -216,7 +216,8 @@ def weighted_mle(
 
     The box is searched ``levels`` times: a lattice of ``points`` values an axis (the size on a log scale), then the box
     between the neighbours of the best point. One level is one pass over the states, which meet the
-    key's box in groups no larger than a range. Likelihoods are compared to 3 digits; the smaller size,
+    key's box in groups no larger than a range, where only the logarithms depend on both state and point: all other terms come
+    from the key's sums. Likelihoods are compared to 3 digits; the smaller size,
     then the smaller rate wins among equals. States of weight zero add nothing. A key without a finite likelihood, or with no size
     above its cases, has NULL estimates.
     """
@@ -229,8 +230,9 @@ def weighted_mle(
     stats = rows.groupBy(*keys).agg(
         (F.max(c) + 1).alias("_low"), F.sum(w).alias("_sw"),
         F.sum(w * wait * infected).alias("_bi"), F.sum(w * wait * infected * c).alias("_bic"),
-        F.sum(w * wait).alias("_ai"), F.sum(w * wait * c).alias("_aic"))
-    bounds = ["_low", "_sw", "_bi", "_bic", "_ai", "_aic"]
+        F.sum(w * wait).alias("_ai"), F.sum(w * wait * c).alias("_aic"),
+        F.sum(w * infected).alias("_wi"))
+    bounds = ["_low", "_sw", "_bi", "_bic", "_ai", "_aic", "_wi"]
     box = [f"_{x}_{end}" for x in AXES for end in ("lo", "hi")]
     best = [*AXES, "llh"]
     whole = cut(stats.select(*keys, *bounds, *[F.lit(0.0 if b.endswith("lo") else 1.0).alias(b) for b in box]), "boxes")
@@ -259,15 +261,25 @@ def weighted_mle(
         return out
 
     def score(batch):
-        i, r, wait, w = (column(batch, c).astype(np.float64) for c in ("I", "R", "wait", "_w"))
+        i, r, w = (column(batch, c).astype(np.float64)[:, None, None, None, None] for c in ("I", "R", "_w"))
         n, b, a0, g = lattice(batch)
-        i, r = (x[:, None, None, None, None] for x in (i, r))
-        left = 1 - (i + r) / n
-        full = (len(w), *shape)
-        rate = np.broadcast_to((a0 + b * i) * left, full).reshape(len(w), width)
-        return _weighted_terms(rate, np.broadcast_to(g * i, full).reshape(len(w), width), wait, w)
+        out = np.empty((len(w), *shape))
+        np.add((a0 + b * i) * (1 - (i + r) / n), g * i, out=out)
+        np.maximum(out, 0.0, out=out)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            np.log(out, out=out)
+            out *= w
+        return out.reshape(len(w), width)
+
+    def linear(heads: pa.RecordBatch) -> np.ndarray:
+        """The terms ``(g I - T rate) w`` summed over a key's states, at every point: they need no more than the key's figures."""
+        n, b, a0, g = lattice(heads)
+        ai, aic, bi, bic, wi = (column(heads, c)[:, None, None, None, None] for c in ("_ai", "_aic", "_bi", "_bic", "_wi"))
+        values = g * wi - a0 * (ai - aic / n) - b * (bi - bic / n)
+        return np.broadcast_to(values, (heads.num_rows, *shape)).reshape(heads.num_rows, width)
 
     def finish(heads, sums):
+        sums = sums + linear(heads)
         ranked = np.where(np.isnan(sums), -np.inf, np.rint(sums * 1e3))
         at = np.unravel_index(np.argmax(ranked, axis=1), shape)
         row = np.arange(len(sums))

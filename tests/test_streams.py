@@ -142,3 +142,15 @@ def test_keys_of_a_batch_are_given_block_by_block(monkeypatch):
         for r in got:
             at = np.flatnonzero(names == r["key"])
             assert r["x"] == at[0] and r["sums"] == [float(at.sum())] * 10
+
+
+def test_lattice_works_out_logarithms_only(spark, monkeypatch):
+    """Terms that are linear in the parameters come from a key's sums, and the likelihood is the whole one."""
+    monkeypatch.setattr(waiting, "_weighted_terms", None)
+    rows, states = log(spark, SIZES)
+    found = waiting.weighted_mle(states, ["user"], gamma_max=1.0, points={"N": 3, "beta": 3, "a": 3, "gamma": 3}, levels=2).collect()
+    assert len(found) == len(SIZES) - 1  # a user of one state has no waiting time
+    for r in found:
+        i, c, wait = (np.array(x) for x in zip(*((x[2], x[2] + x[3], x[4]) for x in rows if x[0] == r.user and x[4] is not None)))
+        rate = (r.a + r.beta * i) * (1 - c / r.N)
+        assert r.llh == pytest.approx(float((i * (np.log(rate + r.gamma * i) - wait * rate + r.gamma * i)).sum()), rel=1e-9)
