@@ -291,3 +291,10 @@ def test_whole_series_cut_by_batches(spark):
 def test_bass_grid_is_not_laid_out_as_rows(spark):
     plan = fits.profile_fit_bass(series(spark, COUNTS), KEYS, ORDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "explode" not in plan
+
+
+def test_no_outside_rate_without_an_estimate(spark):
+    s = series(spark, [4.0, 0, 3, 0, 0, 2])
+    fitted = [f(s, KEYS, ORDER, 1.0).orderBy("t") for f in (fits.profile_fit_sir, fits.refined_fit_sir)]
+    assert fitted[0].columns == fitted[1].columns
+    assert [[(r.t, r.a) for r in df.collect() if r.N is None] for df in fitted] == [[(t, 0.0) for t in (3, 4, 5, 6)]] * 2
