@@ -16,7 +16,7 @@ from epitide.llm.repeats import GRAM, NO_ID, names, scan, slices
 from epitide.session import cut
 
 #: A repeat of a text (``piece`` NULL), or of a piece of a group that goes on elsewhere: a window with its smallest
-#: (``earlier``) and largest (``stop``) id, or a suffix (id in ``earlier``) with the digests of its windows from ``start`` on.
+#: (``earlier``) and largest (``stop``) id, or a text (id in ``earlier``) with the digests of its windows from ``start`` on.
 FOUND = "key string, start long, stop long, earlier long, piece long, window binary, windows binary"
 FOUND_ARROW = pa.schema([("key", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("earlier", pa.int64()),
                          ("piece", pa.int64()), ("window", pa.binary()), ("windows", pa.binary())])
@@ -24,6 +24,8 @@ REPEATS = "key string, start long, stop long, earlier long"
 REPEATS_ARROW = pa.schema([(c, FOUND_ARROW.field(c).type) for c in ("key", "start", "stop", "earlier")])
 #: A group of suffixes with more windows than this is cut into pieces, which are compared with each other.
 WINDOWS_AT_ONCE = 1 << 17
+#: Windows of a text that one row holds at most, and bytes and rows of a batch.
+WINDOWS_A_ROW, BATCH_BYTES, BATCH_ROWS = 512, 1 << 23, 10_000
 #: Pieces that a task may number.
 PIECES = 1 << 32
 DIGEST = 16
@@ -74,7 +76,7 @@ def common(a: list[str], b: list[str]) -> int:
 
 
 def runs(key: str, number: int, found: list[tuple[int, bytes]], least: dict[bytes, int], length: int):
-    """Repeats (key, start, stop, earlier) of a suffix: its windows whose smallest id is below its own, joined where they follow each other."""
+    """Repeats (key, start, stop, earlier) of a text: of the windows given in order, those whose smallest id is below its own, joined where they follow each other."""
     start = stop = earlier = None
     for at, digest in found:
         first = least.get(digest, number)
@@ -96,8 +98,11 @@ def neighbours(length: int, gram: int, at_once: int = WINDOWS_AT_ONCE):
     reaches further to the right than either neighbour agrees is unique. Of the others the smallest
     id of each is taken by a 128-bit digest of its words, whatever stands between its holders. Groups that may go on in another
     range, the first and the last, and groups of more than ``at_once`` windows are given in pieces of about
-    that size: each different window once, with its ids reduced to two, and the suffixes themselves. :func:`sorted_matches`
+    that size: each different window once, with its ids reduced to two, and the windows of each text. :func:`sorted_matches`
     compares the windows of the pieces.
+
+    A text whose words recur has many suffixes in one group: their windows are joined before anything is given, so
+    that rows go by the texts of a group and not by its suffixes.
     """
 
     def rows(batches):
@@ -128,59 +133,73 @@ def neighbours(length: int, gram: int, at_once: int = WINDOWS_AT_ONCE):
 
     def repeats(group):
         least = {}
-        for _, number, found in group:
-            for _, digest in found:
+        for (_, number), found in group.items():
+            for digest in found.values():
                 if number < least.get(digest, NO_ID + 1):
                     least[digest] = number
-        for key, number, found in group:
-            for r in runs(key, number, found, least, length):
+        for (key, number), found in group.items():
+            for r in runs(key, number, sorted(found.items()), least, length):
                 yield *r, None, None, None
 
+    def stretches(found):
+        """Start and digests of windows that follow each other."""
+        start, digests = None, []
+        for at, digest in sorted(found.items()):
+            if digests and (at != start + len(digests) or len(digests) == WINDOWS_A_ROW):
+                yield start, b"".join(digests)
+                digests = []
+            if not digests:
+                start = at
+            digests.append(digest)
+        yield start, b"".join(digests)
+
     def left_open(group, piece):
         ends = {}
-        for key, number, found in group:
-            for _, digest in found:
+        for (key, number), found in group.items():
+            for digest in found.values():
                 low, high = ends.get(digest, (number, number))
                 ends[digest] = min(low, number), max(high, number)
-            yield key, found[0][0], None, number, piece, None, b"".join(d for _, d in found)
+            for start, digests in stretches(found):
+                yield key, start, None, number, piece, None, digests
         for digest, (low, high) in ends.items():
             yield None, None, high, low, piece, digest, None
 
     def found(batches):
         task = TaskContext.get()
         piece = (task.partitionId() if task else 0) * PIECES
-        group, size, is_open, first = [], 0, True, True
+        group, size, is_open, first = {}, 0, True, True
         for row, begins, agree in groups(batches):
             if begins and not first:
                 yield from left_open(group, piece) if is_open else repeats(group)
-                group, size, is_open, piece = [], 0, False, piece + 1
+                group, size, is_open, piece = {}, 0, False, piece + 1
             first = False
             mine = windows(row, agree)
             if mine:
-                group.append((row[0], row[1], mine))
+                group.setdefault(row[:2], {}).update(mine)
                 size += len(mine)
             if size > at_once:
                 yield from left_open(group, piece)
-                group, size, is_open, piece = [], 0, True, piece + 1
+                group, size, is_open, piece = {}, 0, True, piece + 1
         yield from left_open(group, piece)
 
     def run(batches):
-        out = {c: [] for c in FOUND_ARROW.names}
+        out, size = {c: [] for c in FOUND_ARROW.names}, 0
         for row in found(batches):
             for c, v in zip(out, row):
                 out[c].append(v)
-            if len(out["key"]) >= 10_000:
+            size += len(row[-1] or b"")
+            if len(out["key"]) >= BATCH_ROWS or size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pydict(out, schema=FOUND_ARROW)
-                out = {c: [] for c in FOUND_ARROW.names}
+                out, size = {c: [] for c in FOUND_ARROW.names}, 0
         yield pa.RecordBatch.from_pydict(out, schema=FOUND_ARROW)
 
     return run
 
 
 def marked(length: int):
-    """For ``mapInArrow`` over rows sorted by piece, the windows that several ids have (with the smallest) ahead of the suffixes: repeats.
+    """For ``mapInArrow`` over rows sorted by piece, the windows that several ids have (with the smallest) ahead of the texts: repeats.
 
-    Suffixes stream by; only the windows of one piece are held.
+    Texts stream by; only the windows of one piece are held.
     """
 
     def run(batches):
@@ -207,7 +226,7 @@ def sorted_matches(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
 
     Ranges follow the suffixes themselves, so a minimiser with a third of all suffixes is cut like any other. Of
     groups that one range may not hold alone, a piece has each different window once, however many suffixes
-    hold it: these meet in an aggregate, and the smallest ids go back to the pieces, which mark their own suffixes. A
+    hold it: these meet in an aggregate, and the smallest ids go back to the pieces, which mark the windows of their own texts. A
     piece has no more than about ``WINDOWS_AT_ONCE`` windows, so that what meets in one task is bounded.
     """
     order = ["right", "left", "id", "key", "pos"]
@@ -217,8 +236,8 @@ def sorted_matches(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
     earliest = cut(windows.groupBy("window").agg(F.min("earlier").alias("least"), F.max("stop").alias("most"))
                    .where("least < most").select(F.col("window").alias("w"), "least"), "earliest")
     back = windows.join(earliest, F.col("window") == F.col("w")).where("least < stop").select("piece", "window", F.col("least").alias("earlier"))
-    suffix_rows = found.where("windows IS NOT NULL").select("piece", "key", "start", "earlier", "windows")
-    stream = back.unionByName(suffix_rows, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", F.col("window").isNull())
+    text_rows = found.where("windows IS NOT NULL").select("piece", "key", "start", "earlier", "windows")
+    stream = back.unionByName(text_rows, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", F.col("window").isNull())
     across = stream.mapInArrow(marked(length), REPEATS)
     return found.where("piece IS NULL").select("key", "start", "stop", "earlier").unionByName(across)
 

@@ -79,6 +79,52 @@ def test_pieces_hold_each_window_once(spark, many_ranges, monkeypatch):
     compared(spark, rows, 10, 3)
 
 
+def test_rows_by_texts_where_words_recur(spark, many_ranges, monkeypatch):
+    """Two words in turn, a hundred times in each of 40 texts: rows go by texts and ranges, not by the 4,000 places of a text."""
+    from epitide.llm import suffixes
+    counts, whole = [], suffixes.sorted_matches
+
+    def counted(*given):
+        out = suffixes.cut(whole(*given), "counted")
+        counts.append((given[0].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(suffixes, "sorted_matches", counted)
+    rng = random.Random(7)
+    rows = [(i, f"{prose(rng, 12, 5000)} {'tick tock ' * 100}{prose(rng, 12, 5000)}") for i in range(40)]
+    rng.shuffle(rows)
+    compared(spark, rows, 10, 3)
+    (places, repeats), = counts
+    assert places > 3_000 and repeats < 400, counts
+
+
+@pytest.mark.parametrize("at_once", [30, 1 << 17])
+def test_windows_of_a_text_are_joined(at_once):
+    """Windows of many suffixes of a text are one row, or one for each gap, also where rows of an id come twice."""
+    import pyarrow as pa
+
+    from epitide.llm.suffixes import marked, neighbours
+    rows = [(k, i, p, "a b a b a ", "b" if p else "") for k, i in (("k1", 1), ("k2", 2)) for p in (0, 2, 4, 6, 20, 22) for _ in range(2)]
+    rows = [("y", 9, 0, "_ _ _ _ _ ", ""), *rows, ("z", 9, 0, "c c c c c ", "")]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("key", "id", "pos", "right", "left"), map(list, zip(*rows)))))
+    found = [r for b in neighbours(5, 3, at_once)([batch]) for r in b.to_pylist()]
+    opened = [r for r in found if r["windows"] is not None]
+    got = {(r["key"], r["start"], r["stop"], r["earlier"]) for r in found if r["piece"] is None}
+    assert len(got) + len(opened) <= 2 * 2 * (2 if at_once == 30 else 1)
+    least = {}
+    for r in found:
+        if r["window"] is not None:
+            least[r["window"]] = min(r["earlier"], least.get(r["window"], 9))
+    stream = [{**r, "earlier": least[r["window"]]} if r["window"] is not None else r for r in found if r["piece"] is not None]
+    stream.sort(key=lambda r: (r["piece"], r["window"] is None))
+    names = ("piece", "window", "key", "start", "earlier", "windows")
+    again = pa.RecordBatch.from_pydict({c: [r[c] for r in stream] for c in names}, schema=pa.schema([
+        ("piece", pa.int64()), ("window", pa.binary()), ("key", pa.string()), ("start", pa.int64()), ("earlier", pa.int64()), ("windows", pa.binary())]))
+    got |= {tuple(r.values()) for b in marked(5)([again]) for r in b.to_pylist()}
+    words = {(k, e, j) for k, start, stop, e in got for j in range(start, stop)}
+    assert words == {("k2", 1, j) for j in (*range(11), *range(19, 27))}
+
+
 def around(left, right, length, number):
     """Words that agree with the common ones in ``left`` words before a marker and ``right`` words from it on."""
     before = [f"l{j}" if j < left else f"x{number}l{j}" for j in range(length)][::-1]
